@@ -1 +1,9 @@
 """Security-alert analytics expressed as PySpark DataFrame and Structured Streaming operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy
+# of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -22,10 +22,9 @@ def _dec(value: str) -> Column:
 
 
 def _lookup(key: Column, table: Mapping[str, str], default: str) -> Column:
-    expr = None
-    for name, value in table.items():
-        expr = F.when(key == name, _dec(value)) if expr is None else expr.when(key == name, _dec(value))
-    return expr.otherwise(_dec(default))
+    """Table lookup that mentions ``key`` once, so pushed-down filters stay small."""
+    pairs = [part for name, value in table.items() for part in (F.lit(name), _dec(value))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), _dec(default))
 
 
 def _capped(c: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that count as white space in Unicode.
@@ -25,6 +25,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a one-element ``explode``.
+
+    Filters on the new column stay above the generator; a plain projection would
+    let the optimiser copy the expression into the pushed-down filter and run it
+    twice per row.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
 
@@ -39,7 +49,7 @@ def word_count(c: Column) -> Column:
 
 def contains_any(c: Column, phrases: Sequence[str]) -> Column:
     """True when the (already lower-cased) text holds one of ``phrases``."""
-    return reduce(lambda a, b: a | b, [c.contains(p) for p in phrases])
+    return c.rlike("|".join(re.escape(p) for p in phrases))
 
 
 def ends_sentence(c: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake import fixed
+from alertlake.functions.text import computed_once, let
 from alertlake.operators.ranking import first_n_per_group
 
 FALSY_JSON = ("0", "0.0", "-0", "-0.0", "false", "[]", "{}")
@@ -30,11 +31,18 @@ def _list(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<string>")
 
 
+def _is_text(v: Column) -> Column:
+    return F.schema_of_variant(v) == "STRING"
+
+
 def truthy_text(v: Column) -> Column:
     """Text of a JSON value; empty text, zero, false and empty containers -> null."""
-    text = _text(v)
-    falsy = (text == "") | ((F.schema_of_variant(v) != "STRING") & text.isin(*FALSY_JSON))
-    return F.when(~falsy, text)
+    return let(
+        _text(v),
+        lambda text: F.when(
+            ~((text == "") | (text.isin(*FALSY_JSON) & ~_is_text(v))), text
+        ),
+    )
 
 
 def normalize_vendor(vendor: Column) -> Column:
@@ -54,28 +62,39 @@ def map_severity(
     Words apply to JSON text, bands to JSON numbers. ``cast_text=True`` lets a
     number sent as text use the bands as well.
     """
-    is_text = F.schema_of_variant(value) == "STRING"
-    word = F.lower(F.try_variant_get(value, "$", "string"))
-    number = F.try_variant_get(value, "$", "double")
-    if cast_text:
-        number = F.coalesce(number, word.try_cast("double"))
-        numeric = number.isNotNull()
-    else:
-        numeric = ~is_text
-    level = number.cast("long")
-    out = None
+    entries = [
+        part
+        for name, table in words.items()
+        for text, result in table.items()
+        for part in (F.lit(f"{name}:{text}"), F.lit(result))
+    ]
+    parts = F.struct(
+        _is_text(value).alias("is_text"),
+        F.lower(_text(value)).alias("word"),
+        F.try_variant_get(value, "$", "double").alias("number"),
+        vendor.alias("vendor"),
+    )
 
-    def add(cond: Column, result: str):
-        nonlocal out
-        out = F.when(cond, result) if out is None else out.when(cond, result)
+    def resolve(p: Column) -> Column:
+        number = p["number"]
+        if cast_text:
+            number = F.coalesce(number, p["word"].try_cast("double"))
+            numeric = F.lit(True)
+        else:
+            numeric = ~p["is_text"]
+        level = number.cast("long")
+        by_word = F.when(
+            p["is_text"],
+            F.try_element_at(F.create_map(*entries), F.concat_ws(":", p["vendor"], p["word"])),
+        )
+        by_level = [
+            F.when((p["vendor"] == name) & numeric & level.between(low, high), result)
+            for name, table in bands.items()
+            for low, high, result in table
+        ]
+        return F.coalesce(by_word, *by_level, F.lit(fixed.DEFAULT_SEVERITY))
 
-    for name, table in words.items():
-        for text, result in table.items():
-            add((vendor == name) & is_text & (word == text), result)
-    for name, table in bands.items():
-        for low, high, result in table:
-            add((vendor == name) & numeric & level.between(low, high), result)
-    return out.otherwise(fixed.DEFAULT_SEVERITY)
+    return let(parts, resolve)
 
 
 def parse_alert_ts(value: Column, *, override: Column | None = None, fallback: Column) -> Column:
@@ -84,19 +103,21 @@ def parse_alert_ts(value: Column, *, override: Column | None = None, fallback: C
     Offsets are honoured. ``fallback`` is used when nothing parses; pass the
     ingest time so that a replay gives the same result.
     """
-    is_text = F.schema_of_variant(value) == "STRING"
-    text = F.try_variant_get(value, "$", "string")
-    seconds = F.try_variant_get(value, "$", "double")
-    from_number = F.when(~is_text, F.timestamp_micros((seconds * 1_000_000).cast("long")))
-    dated = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text)
-    from_text = F.when(
-        is_text,
-        F.coalesce(
+    parts = F.struct(
+        _is_text(value).alias("is_text"), _text(value).alias("text"),
+        F.try_variant_get(value, "$", "double").alias("seconds"),
+    )
+
+    def resolve(p: Column) -> Column:
+        from_number = F.timestamp_micros((p["seconds"] * 1_000_000).cast("long"))
+        dated = F.when(p["text"].rlike(r"^\d{4}-\d{2}-\d{2}"), p["text"])
+        from_text = F.coalesce(
             dated.try_cast("timestamp"),
             F.try_to_timestamp(dated, F.lit("yyyy-MM-dd'T'HH:mm:ssXX")),
-        ),
-    )
-    candidates = [from_number, from_text, fallback]
+        )
+        return F.when(p["is_text"], from_text).otherwise(from_number)
+
+    candidates = [let(parts, resolve), fallback]
     if override is not None:
         candidates.insert(0, override.try_cast("timestamp"))
     return F.coalesce(*candidates)
@@ -180,15 +201,12 @@ def normalize_alerts(
     One narrow projection: the payload is parsed once, no shuffle. ``keep`` names
     input columns to carry along.
     """
-    parsed = (
-        df.withColumn("_vendor", normalize_vendor(F.col(vendor)))
-        .withColumn("_v", F.try_parse_json(F.col(raw)))
-        .withColumn(
-            "reason",
-            F.when(F.coalesce(F.col(vendor), F.lit("")) == "", "vendor_required")
-            .when(~F.col("_vendor").isin(*mappings), "unsupported_vendor")
-            .when(F.col("_v").isNull(), "invalid_json"),
-        )
+    named = df.withColumn("_vendor", normalize_vendor(F.col(vendor)))
+    parsed = computed_once(named, "_v", F.try_parse_json(F.col(raw))).withColumn(
+        "reason",
+        F.when(F.coalesce(F.col(vendor), F.lit("")) == "", "vendor_required")
+        .when(~F.col("_vendor").isin(*mappings), "unsupported_vendor")
+        .when(F.col("_v").isNull(), "invalid_json"),
     )
     rejected = parsed.filter(F.col("reason").isNotNull()).select(*df.columns, "reason")
 
@@ -210,8 +228,7 @@ def normalize_alerts(
         )
 
     def joined(field: str, sep: str) -> Column:
-        items = _list(value(field))
-        return F.when(items.isNotNull(), F.array_join(items, sep)).otherwise(_text(value(field)))
+        return F.coalesce(F.array_join(_list(value(field)), sep), _text(value(field)))
 
     alert_id = F.coalesce(optional("alert_id"), F.sha2(F.col(raw), 256))
     title = F.coalesce(joined("title", " | "), F.lit(fixed.DEFAULT_TITLE))
@@ -254,55 +271,53 @@ def canonicalize(
     fields get their defaults. Rows with bad JSON, severity or timestamp go to the
     second DataFrame with a ``reason``.
     """
-    doc = df.withColumn("_m", F.from_json(F.col(value), "map<string,variant>"))
+    fallback = F.col(ingest_ts).cast("timestamp") if ingest_ts else F.current_timestamp()
+    doc = computed_once(df, "_m", F.from_json(F.col(value), "map<string,variant>"))
 
     def field(name: str) -> Column:
         return F.try_element_at(F.col("_m"), F.lit(name))
 
-    def text(name: str) -> Column:
-        return F.try_variant_get(field(name), "$", "string")
-
-    extras = F.map_filter("_m", lambda k, _: ~k.isin(*fixed.CANONICAL_FIELDS))
-    base = F.coalesce(
-        F.try_variant_get(field("raw_data"), "$", "map<string,variant>"),
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>")),
+    doc = doc.withColumns({
+        "_severity": _text(field("severity")),
+        "_severity_is_text": _is_text(field("severity")),
+        "_ts": _text(field("timestamp")),
+        "_parsed_ts": parse_alert_ts(field("timestamp"), fallback=F.lit(None).cast("timestamp")),
+    })
+    sev = F.col("_severity")
+    severity = F.coalesce(
+        F.when(F.col("_severity_is_text"),
+               F.concat(F.upper(F.substring(sev, 1, 1)), F.lower(F.substring(sev, 2, 2**31 - 1)))),
+        sev, F.lit(fixed.DEFAULT_SEVERITY),
     )
-    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(F.col("_extras"), k))
-    sev = text("severity")
-    sev_is_text = F.schema_of_variant(field("severity")) == "STRING"
-    severity = F.when(
-        sev_is_text,
-        F.concat(F.upper(F.substring(sev, 1, 1)), F.lower(F.substring(sev, 2, 2**31 - 1))),
-    ).otherwise(sev)
-    has_ts = field("timestamp").isNotNull() & (F.schema_of_variant(field("timestamp")) != "VOID")
-    fallback = F.col(ingest_ts).cast("timestamp") if ingest_ts else F.current_timestamp()
-    missing_sev = sev.isNull()
-    defaults = {
-        "tenant_id": "unknown", "source": "unknown", "normalized_title": fixed.DEFAULT_TITLE,
-    }
-    staged = doc.withColumn("_extras", extras).withColumn("_ts", F.when(
-        has_ts, parse_alert_ts(field("timestamp"), fallback=F.lit(None).cast("timestamp"))
-    ).otherwise(fallback))
-    checked = staged.withColumn(
+    stamp = F.when(F.col("_ts").isNotNull(), F.col("_parsed_ts")).otherwise(fallback)
+    checked = doc.withColumn(
         "reason",
         F.when(F.col("_m").isNull(), "invalid_json")
-        .when(~missing_sev & ~severity.isin(*fixed.SEVERITIES), "invalid_severity")
-        .when(F.col("_ts").isNull(), "invalid_timestamp"),
+        .when(~severity.isin(*fixed.SEVERITIES), "invalid_severity")
+        .when(stamp.isNull(), "invalid_timestamp"),
     )
     rejected = checked.filter(F.col("reason").isNotNull()).select(*df.columns, "reason")
+    raw_data = F.try_variant_get(field("raw_data"), "$", "map<string,variant>")
+    extras = F.map_filter("_m", lambda k, _: ~k.isin(*fixed.CANONICAL_FIELDS))
+
+    def merged(added: Column) -> Column:
+        base = F.map_filter(raw_data, lambda k, _: ~F.map_contains_key(added, k))
+        return F.to_json(F.coalesce(F.map_concat(base, added), added))
+
+    defaults = {
+        "alert_id": F.sha2(F.col(value), 256), "tenant_id": F.lit("unknown"),
+        "source": F.lit("unknown"), "normalized_title": F.lit(fixed.DEFAULT_TITLE),
+    }
 
     def column(name: str) -> Column:
-        if name == "alert_id":
-            return F.coalesce(text(name), F.sha2(F.col(value), 256))
         if name == "timestamp":
-            return F.col("_ts")
+            return stamp
         if name == "severity":
-            return F.coalesce(severity, F.lit(fixed.DEFAULT_SEVERITY))
+            return severity
         if name == "raw_data":
-            return F.to_json(F.map_concat(kept, F.col("_extras")))
-        if name in defaults:
-            return F.coalesce(text(name), F.lit(defaults[name]))
-        return text(name)
+            return let(extras, merged)
+        text = _text(field(name))
+        return F.coalesce(text, defaults[name]) if name in defaults else text
 
     ok = checked.filter(F.col("reason").isNull()).select(
         *[column(name).alias(name) for name in fixed.CANONICAL_FIELDS], *keep

@@ -212,8 +212,8 @@ def _greedy_sql(source: str, key: list[str], id_: str, seconds: int = 3600) -> s
     same = " AND ".join(f"p.{k} = q.{k}" for k in key)
     return f"""
 p AS (SELECT {keys}, t, min({id_}) AS first_id FROM {source} GROUP BY {keys}, t),
-nxt AS (SELECT {', '.join('p.' + k for k in key)}, p.t, q.t AS nt FROM p ASOF LEFT JOIN p q
-  ON {same} AND p.t + INTERVAL {seconds} SECOND <= q.t),
+nxt AS (SELECT *, min(t) OVER (PARTITION BY {keys} ORDER BY t
+  RANGE BETWEEN INTERVAL {seconds} SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nt FROM p),
 chain AS (
   SELECT {keys}, min(t) AS t FROM p GROUP BY {keys}
   UNION ALL
@@ -373,7 +373,7 @@ def enriched_alerts(spark, sf_dir):
     _, forwarded = scoring.route_alerts(_scored(spark, sf_dir))
     return scoring.to_enriched(forwarded).groupBy("tenant_id", "source", "incident_grade").agg(
         F.count(F.lit(1)).alias("alerts"),
-        F.round(F.avg(F.col("risk_score").cast("decimal(10,2)")), 4).cast("double").alias("mean_risk"),
+        (F.sum(F.col("risk_score").cast("decimal(10,2)")).cast("double") / F.count(F.lit(1))).alias("mean_risk"),
         F.min("asset_criticality").cast("double").alias("low_asset"),
     )
 
@@ -381,7 +381,7 @@ def enriched_alerts(spark, sf_dir):
 ENRICHED_SQL = f"""
 WITH {SCORED_SQL}
 SELECT tenant_id, lower(vendor) AS source, grade AS incident_grade, count(*) AS alerts,
-  CAST(round(CAST(sum(CAST(risk AS DECIMAL(10,2))) AS DECIMAL(38,10)) / count(*), 4) AS DOUBLE) AS mean_risk,
+  CAST(sum(CAST(risk AS DECIMAL(10,2))) AS DOUBLE) / count(*) AS mean_risk,
   CAST(min(asset) AS DOUBLE) AS low_asset
 FROM g GROUP BY ALL"""
 
