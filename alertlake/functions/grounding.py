@@ -88,10 +88,13 @@ def lead_summary(text: Column, max_chars: int = 300) -> Column:
 
 
 def _without_prefixes(summary: Column) -> Column:
+    def without(text: Column, prefix: str) -> Column:
+        return let(text, lambda s: F.when(
+            F.lower(s).startswith(prefix.lower()), strip(F.substring(s, len(prefix) + 1, 2**31 - 1))).otherwise(s))
+
     out = strip(summary)
     for prefix in fixed.SUMMARY_PREFIXES:
-        out = let(out, lambda s, p=prefix: F.when(
-            F.lower(s).startswith(p.lower()), strip(F.substring(s, len(p) + 1, 2**31 - 1))).otherwise(s))
+        out = without(out, prefix)
     return out
 
 

@@ -35,6 +35,20 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def unnest(df: DataFrame, keep: Sequence[str | Column], value: Column, *, pos: str | None = None,
+           name: str = "item") -> DataFrame:
+    """``explode`` of a computed array: one row per element, columns ``keep`` and ``name``.
+
+    Spark derives a "not empty" filter from an explode and would push it, with the
+    whole array expression, below the projection; the array is therefore pinned
+    first.
+    """
+    pinned = computed_once(df, "_items", value)
+    if pos:
+        return pinned.select(*keep, F.posexplode("_items").alias(pos, name))
+    return pinned.select(*keep, F.explode("_items").alias(name))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A[{SPACES}]+|[{SPACES}]+\z", "")
 

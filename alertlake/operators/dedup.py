@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alertlake.functions.text import unnest
 from alertlake.operators.joins import balanced_lookup, heavy_threshold, small_or_plain
 from alertlake.operators.ranking import first_per_group
 from alertlake.session import materialize
@@ -91,11 +92,8 @@ def _accepted_plain(pairs: DataFrame, key: Sequence[str], ttl: int) -> DataFrame
         ).otherwise(acc)
 
     walked = F.aggregate(F.col("_ts"), start, step, lambda acc: acc["out"])
-    return (
-        pairs.groupBy(*key)
-        .agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
-        .select(*key, F.explode(walked).alias("_t"))
-    )
+    grouped = pairs.groupBy(*key).agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
+    return unnest(grouped, key, walked, name="_t")
 
 
 def _run(times: np.ndarray, last: int, ttl: int) -> list[int]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import SPACES, let, match_spans, strip, unicode_pattern
+from alertlake.functions.text import SPACES, computed_once, let, match_spans, strip, unicode_pattern, unnest
 
 ENTITY = ("struct<text:string,label:string,start:int,end:int,confidence:double,"
           "ioc_type:string,ioc_validated:boolean>")
@@ -154,13 +154,13 @@ def repair_cve(text: Column, entities: Column) -> Column:
 
 def _candidates(text: Column) -> Column:
     """All pattern hits in pattern order, each with type and label."""
-    parts = []
-    for pattern, kind, label in fixed.RECOVERY_PATTERNS:
-        hits = match_spans(text, unicode_pattern(pattern))
-        parts.append(F.transform(hits, lambda h, kind=kind, label=label: F.struct(
+
+    def hits(pattern: str, kind: str, label: str) -> Column:
+        return F.transform(match_spans(text, unicode_pattern(pattern)), lambda h: F.struct(
             h["value"].alias("text"), h["start"].alias("start"), h["end"].alias("end"),
-            F.lit(kind).alias("ioc_type"), F.lit(label).alias("label"))))
-    return F.concat(*parts)
+            F.lit(kind).alias("ioc_type"), F.lit(label).alias("label")))
+
+    return F.concat(*[hits(*row) for row in fixed.RECOVERY_PATTERNS])
 
 
 def recover_iocs(text: Column, entities: Column) -> Column:
@@ -241,7 +241,7 @@ def detected_events(text: Column) -> Column:
 
 def detect_events(df: DataFrame, *, id: str, text: str) -> DataFrame:
     """One row per document and event type."""
-    return df.select(id, F.inline(detected_events(F.col(text))))
+    return unnest(df, [id], detected_events(F.col(text))).select(id, "item.*")
 
 
 # ---------------------------------------------------------------- rule-only extract
@@ -288,7 +288,7 @@ def rule_events(text: Column) -> Column:
 
 def extract_iocs(df: DataFrame, *, id: str, text: str) -> DataFrame:
     """``id, pos, text, label, ioc_type``: one row per extracted entity."""
-    return df.select(id, F.posexplode(rule_entities(F.col(text))).alias("pos", "e")).select(id, "pos", "e.*")
+    return unnest(df, [id], rule_entities(F.col(text)), pos="pos").select(id, "pos", "item.*")
 
 
 # ------------------------------------------------------------------ stored replies
@@ -328,7 +328,7 @@ def parse_entity_replies(df: DataFrame, *, reply: str, text: str) -> DataFrame:
         F.replace(F.replace(body, F.lit("```json"), F.lit("")), F.lit("```"), F.lit("")))).otherwise(body)
     repaired = let(F.coalesce(first_json_object(unfenced), unfenced), lambda c: F.coalesce(
         F.try_parse_json(c), F.try_parse_json(F.regexp_replace(c, rf",[{SPACES}]*([}}\]])", "$1"))))
-    parsed = df.withColumn("_v", repaired)
+    parsed = computed_once(df, "_v", repaired)
 
     def listed(key: str, kind: str, fallback: Column) -> Column:
         got = F.try_variant_get("_v", f"$.{key}", f"array<{kind}>")
@@ -365,9 +365,8 @@ def locate_entities(text: Column, entities: Column) -> Column:
 
 def iocs_from_entities(df: DataFrame, *, alert_id: str, tenant: str, entities: str, source: str = "NER") -> DataFrame:
     """Entity arrays -> rows of the indicator table."""
-    return df.select(
-        F.col(alert_id).alias("alert_id"), F.col(tenant).alias("tenant_id"), F.explode(entities).alias("e")
-    ).select(
+    keys = [F.col(alert_id).alias("alert_id"), F.col(tenant).alias("tenant_id")]
+    return unnest(df, keys, F.col(entities), name="e").select(
         "alert_id", "tenant_id", F.coalesce("e.ioc_type", F.lit("Unknown")).alias("ioc_type"),
         F.col("e.text").alias("value"), F.lit(source).alias("source"),
         F.coalesce("e.confidence", F.lit(0.0)).alias("confidence"))

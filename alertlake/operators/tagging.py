@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import let, token_spans
+from alertlake.functions.text import computed_once, let, token_spans
 
 ENTITY = "struct<text:string,label:string,start:int,end:int>"
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -98,8 +98,8 @@ def collect_spans(df: DataFrame, *, id: str, content: str = "content", events: s
         F.try_element_at(F.create_map(*pairs), a["type"]).alias("label")))
     known = F.filter(spans, lambda s: s["start"].isNotNull() & s["end"].isNotNull() & s["label"].isNotNull())
     return (
-        df.filter(F.length(content) > 0)
-        .select(id, F.col(content).alias("content"), known.cast(SPANS).alias("spans"))
+        computed_once(df.filter(F.length(content) > 0), "spans", known.cast(SPANS))
+        .select(id, F.col(content).alias("content"), "spans")
         .filter(F.size("spans") > 0)
     )
 
@@ -130,13 +130,13 @@ def tag_tokens(df: DataFrame, *, text: str, spans: str, min_tokens: int = 3) ->
     previous token, so no running state. Rows with ``min_tokens`` or fewer tokens
     are dropped. Everything stays inside the row.
     """
-    located = df.withColumn("_tok", token_spans(F.col(text)))
+    located = computed_once(df, "_tok", token_spans(F.col(text)))
 
     def covering(s: Column) -> Column:
         return F.transform(F.col("_tok"), lambda t: F.get(F.filter(
             s, lambda x: (x["start"] <= t["start"]) & (t["start"] < x["end"])), F.lit(0)))
 
-    located = located.withColumn("_cover", let(F.col(spans), covering))
+    located = computed_once(located, "_cover", let(F.col(spans), covering))
 
     def tag(t: Column, i: Column, cover: Column) -> Column:
         own = F.get(cover, i)
@@ -144,10 +144,10 @@ def tag_tokens(df: DataFrame, *, text: str, spans: str, min_tokens: int = 3) ->
         label = F.concat(F.when(first, "B-").otherwise("I-"), own["label"])
         return F.when(own.isNotNull() & label.isin(*fixed.TAGS), label).otherwise("O")
 
+    tags = F.transform("_tok", lambda t, i: tag(t, i, F.col("_cover")))
     return (
-        located.withColumn("tokens", F.transform("_tok", lambda t: t["value"]))
-        .withColumn("ner_tags", F.transform("_tok", lambda t, i: tag(t, i, F.col("_cover"))))
-        .filter(F.size("tokens") > min_tokens)
+        computed_once(located.filter(F.size("_tok") > min_tokens), "ner_tags", tags)
+        .withColumn("tokens", F.transform("_tok", lambda t: t["value"]))
         .drop("_tok", "_cover")
     )
 

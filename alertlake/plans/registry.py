@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from alertlake.operators import dedup, normalize, scoring
-from alertlake.plans import alerts, feeds, learning, texts
+from alertlake.plans import alerts, feeds, learning, stored, texts
 
-_PLANS = (alerts, learning, texts)
+_PLANS = (alerts, learning, texts, stored)
 QUERIES = {name: fn for plan in _PLANS for name, fn in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
 

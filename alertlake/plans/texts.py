@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from alertlake import fixed
 from alertlake.functions import grounding
-from alertlake.functions.text import match_spans, sentences, token_spans, unicode_pattern
+from alertlake.functions.text import computed_once, match_spans, sentences, token_spans, unicode_pattern, unnest
 from alertlake.operators import entities, evaluation, features, summaries, tables, tagging, training
 from alertlake.plans.feeds import table
 from alertlake.plans.learning import _chat_columns, labelled_alerts
@@ -78,9 +78,9 @@ MAPPED_SQL = """CASE tag WHEN 'B-Tool' THEN 'B-Malware' WHEN 'B-Person' THEN 'B-
 
 def _tagged_sentences(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    s = d.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
-    s = s.withColumn("tokens", F.transform(token_spans(F.col("sentence")), lambda t: t["value"]))
-    return s.select("doc_id", "pos", "tokens").withColumn("tags", F.transform("tokens", _tag_of))
+    s = unnest(d, ["doc_id"], sentences(F.col("text")), pos="pos", name="sentence")
+    s = computed_once(s, "tokens", F.transform(token_spans(F.col("sentence")), lambda t: t["value"]))
+    return computed_once(s, "tags", F.transform("tokens", _tag_of)).select("doc_id", "pos", "tokens", "tags")
 
 
 def read_conll(spark, sf_dir):
@@ -112,9 +112,9 @@ SELECT n_tokens, count(*) AS sentences, CAST(sum(tagged) AS BIGINT) AS tagged, C
 
 def map_tags(spark, sf_dir):
     s = _tagged_sentences(spark, sf_dir)
-    mapped = s.select(F.explode(F.arrays_zip(
+    mapped = unnest(s, [], F.arrays_zip(
         F.col("tags"), tagging.map_tags(F.col("tags")).alias("mapped"),
-        tagging.tag_ids(tagging.map_tags(F.col("tags"))).alias("tag_id"))).alias("r"))
+        tagging.tag_ids(tagging.map_tags(F.col("tags"))).alias("tag_id")), name="r")
     return mapped.groupBy("r.tags", "r.mapped", "r.tag_id").agg(F.count(F.lit(1)).alias("tokens"))
 
 
@@ -126,8 +126,8 @@ SELECT tag AS tags, {MAPPED_SQL} AS mapped, CASE {MAPPED_SQL} WHEN 'O' THEN 0 WH
 
 
 def decode_bio(spark, sf_dir):
-    s = _tagged_sentences(spark, sf_dir).select(
-        "doc_id", F.explode(tagging.decode_bio(F.col("tokens"), tagging.map_tags(F.col("tags")))).alias("e"))
+    s = _tagged_sentences(spark, sf_dir)
+    s = unnest(s, ["doc_id"], tagging.decode_bio(F.col("tokens"), tagging.map_tags(F.col("tags"))), name="e")
     return s.groupBy("doc_id", "e.label").agg(
         F.count(F.lit(1)).alias("entities"), F.sum(F.length("e.text")).alias("chars"), F.max(F.col("e.end") - F.col("e.start")).alias("longest"))
 
@@ -249,7 +249,7 @@ def span_json(spark, sf_dir):
 # ---------------------------------------------------------------- offsets and tags
 def tokens_with_offsets(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    t = d.select("doc_id", F.inline(token_spans(F.col("text"))))
+    t = unnest(d, ["doc_id"], token_spans(F.col("text"))).select("doc_id", "item.*")
     return t.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("tokens"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
@@ -291,7 +291,7 @@ def _located(spark, sf_dir):
     """Documents with every e-mail, address or URL-like hit as a span."""
     d = _planted(spark, sf_dir)
     pattern = unicode_pattern(rf"{fixed.EMAIL}|{fixed.IPV4}|https?://\S+|CVE-\d{{4}}-\d{{4,}}")
-    return d.withColumn("hits", match_spans(F.col("text"), pattern))
+    return computed_once(d, "hits", match_spans(F.col("text"), pattern))
 
 
 def drop_overlaps(spark, sf_dir):
@@ -301,8 +301,7 @@ def drop_overlaps(spark, sf_dir):
         F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lit("Indicator").alias("label")),
         F.struct(h["start"].alias("start"), (h["end"] + 40).alias("end"), F.lit("System").alias("label")),
         F.struct((h["end"] - 2).alias("start"), (h["end"] + 60).alias("end"), F.lit("Malware").alias("label")))))
-    out = d.withColumn("kept", tagging.drop_overlaps(wide.cast(tagging.SPANS)))
-    return out.select("doc_id", F.inline("kept"))
+    return unnest(d, ["doc_id"], tagging.drop_overlaps(wide.cast(tagging.SPANS))).select("doc_id", "item.*")
 
 
 # Greedy choice per document by repeated "first span at or after the last end".
@@ -358,8 +357,9 @@ def align_labels(spark, sf_dir):
     pieces = F.flatten(F.transform("tokens", lambda t, i: F.array_repeat(i, F.ceil(F.length(t) / 4).cast("int"))))
     special = F.array(F.lit(None).cast("int"))
     s = s.select("doc_id", F.concat(special, pieces, special).alias("word_ids"), ids.alias("ids"))
-    s = s.withColumn("labels", tagging.align_labels(F.col("word_ids"), F.col("ids")))
-    return s.select("doc_id", F.explode("labels").alias("label")).groupBy("doc_id", "label").agg(
+    s = computed_once(s.select("doc_id", F.struct("word_ids", "ids").alias("w")), "p", F.col("w"))
+    s = unnest(s, ["doc_id"], tagging.align_labels(F.col("p.word_ids"), F.col("p.ids")), name="label")
+    return s.groupBy("doc_id", "label").agg(
         F.count(F.lit(1)).alias("pieces"))
 
 
@@ -391,7 +391,7 @@ SELECT split, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars FROM
 # ---------------------------------------------------------------------- indicators
 def classify_ioc(spark, sf_dir):
     """Every word of the planted documents and every link of the pages."""
-    w = _planted(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("v"))
+    w = unnest(_planted(spark, sf_dir), [], F.array_distinct(F.split("text", r"\s+")), name="v")
     links = table(spark, sf_dir, "pages").select(F.explode(F.array(
         F.col("url"), F.regexp_extract("url", "^https?://([^/]+)", 1), F.concat(F.lit("10.0.0."), F.col("page_id") % 300),
         F.concat(F.lit(" fe80::"), F.hex(F.col("page_id")), F.lit("\n")), F.sha2("url", 256))).alias("v"))
@@ -446,7 +446,7 @@ SELECT doc_id, text, label, ioc_type FROM f UNION ALL SELECT doc_id, text, label
 
 
 def rule_events(spark, sf_dir):
-    d = _planted(spark, sf_dir).select("doc_id", F.inline(entities.rule_events(F.col("text"))))
+    d = unnest(_planted(spark, sf_dir), ["doc_id"], entities.rule_events(F.col("text"))).select("doc_id", "item.*")
     return d.groupBy("type", "keyword").agg(F.count(F.lit(1)).alias("texts"), F.sum("doc_id").alias("ids"))
 
 
@@ -475,8 +475,8 @@ SELECT type, keyword, count(*) AS texts, CAST(sum(doc_id) AS BIGINT) AS ids FROM
 
 
 def _indicator_rows(spark, sf_dir):
-    d = _planted(spark, sf_dir).withColumn("entities", entities.locate_entities(
-        F.col("text"), entities.rule_entities(F.col("text"))))
+    d = computed_once(_planted(spark, sf_dir), "found", entities.rule_entities(F.col("text")))
+    d = computed_once(d, "entities", entities.locate_entities(F.col("text"), F.col("found")))
     return entities.iocs_from_entities(
         d.withColumn("alert_id", F.concat(F.lit("d"), F.col("doc_id"))), alert_id="alert_id", tenant="lang", entities="entities")
 
@@ -516,7 +516,7 @@ def _fragments(spark, sf_dir):
     """Entities as a token model would cut them: the front half of each hit, unvalidated."""
     d = _located(spark, sf_dir)
     cut = F.transform("hits", lambda h: let_fragment(h))
-    return d.withColumn("entities", cut.cast(f"array<{entities.ENTITY}>"))
+    return computed_once(d, "entities", cut.cast(f"array<{entities.ENTITY}>"))
 
 
 def let_fragment(h):
@@ -530,16 +530,16 @@ def let_fragment(h):
 
 
 def recover_iocs(spark, sf_dir):
-    d = _fragments(spark, sf_dir).select("doc_id", F.inline(entities.recover_iocs(F.col("text"), F.col("entities"))))
-    return d.select("doc_id", "text", "label", "start", "end", "confidence", "ioc_type", "ioc_validated")
+    d = unnest(_fragments(spark, sf_dir), ["doc_id"], entities.recover_iocs(F.col("text"), F.col("entities")))
+    return d.select("doc_id", "item.*").select("doc_id", "text", "label", "start", "end", "confidence", "ioc_type", "ioc_validated")
 
 
 def repair_cve(spark, sf_dir):
-    d = _fragments(spark, sf_dir).select("doc_id", "text", F.inline(entities.repair_cve(F.col("text"), F.col("entities"))).alias(
-        "value", "label", "start", "end", "confidence", "ioc_type", "ioc_validated"))
+    d = unnest(_fragments(spark, sf_dir), ["doc_id", F.col("text").alias("whole")],
+               entities.repair_cve(F.col("text"), F.col("entities"))).select("doc_id", "whole", "item.*")
     return d.groupBy("label", "ioc_type", "ioc_validated", "confidence").agg(
-        F.count(F.lit(1)).alias("entities"), F.sum(F.length("value")).alias("chars"),
-        F.sum((F.substr("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("value")).cast("int")).alias("aligned"))
+        F.count(F.lit(1)).alias("entities"), F.sum(F.length("text")).alias("chars"),
+        F.sum((F.substr("whole", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("text")).cast("int")).alias("aligned"))
 
 
 REPAIR_SQL = f"""
@@ -553,20 +553,20 @@ SELECT CASE WHEN v LIKE 'CVE-%' THEN 'Vulnerability' ELSE 'Indicator' END AS lab
 
 def _predicted(spark, sf_dir):
     """Token predictions derived from the words: labels by length, confidence by position."""
-    d = table(spark, sf_dir, "documents").withColumn("tok", token_spans(F.col("text")))
+    d = computed_once(table(spark, sf_dir, "documents"), "tok", token_spans(F.col("text")))
     n = F.size("tok")
     offsets = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))),
                        F.transform("tok", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
     ids = F.concat(F.array(F.lit(0)), F.transform("tok", lambda t: (F.when(F.length(t["value"]) % 3 == 0, F.length(t["value"]) % 11).otherwise(0)).cast("int")))
     conf = F.concat(F.array(F.lit(1.0)), F.transform("tok", lambda t, i: (F.lit(50) + i % 50) / F.lit(100.0)))
-    return d.filter(n > 0).select("doc_id", "text", offsets.alias("offsets"), ids.alias("ids"), conf.alias("conf"))
+    made = F.struct(offsets.alias("offsets"), ids.alias("ids"), conf.alias("conf"))
+    return computed_once(d.filter(n > 0), "made", made).select("doc_id", "text", "made")
 
 
 def spans_from_predictions(spark, sf_dir):
     p = _predicted(spark, sf_dir)
-    e = p.select("doc_id", "text", F.inline(entities.spans_from_predictions(
-        F.col("text"), F.col("offsets"), F.col("ids"), F.col("conf"))).alias(
-            "value", "label", "start", "end", "confidence", "ioc_type", "ioc_validated"))
+    e = unnest(p, ["doc_id"], entities.spans_from_predictions(
+        F.col("text"), F.col("made.offsets"), F.col("made.ids"), F.col("made.conf"))).select("doc_id", "item.*")
     return e.groupBy("doc_id", "label").agg(
         F.count(F.lit(1)).alias("entities"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
@@ -596,11 +596,10 @@ def spans_from_predictions_fixed_labels(spark, sf_dir):
 
 
 def locate_entities(spark, sf_dir):
-    d = _planted(spark, sf_dir).withColumn("e", entities.rule_entities(F.col("text")))
-    at = d.select("doc_id", "text", F.inline(entities.locate_entities(F.col("text"), F.concat("e", F.array(F.struct(
-        F.lit("not there at all").alias("text"), F.lit("Tool").alias("label"), F.lit("Unknown").alias("ioc_type")))))).alias(
-            "value", "label", "start", "end", "confidence", "ioc_type", "ioc_validated"))
-    return at.select("doc_id", "value", "label", "start", "end", "ioc_validated")
+    absent = F.array(F.struct(F.lit("not there at all").alias("text"), F.lit("Tool").alias("label"), F.lit("Unknown").alias("ioc_type")))
+    d = computed_once(_planted(spark, sf_dir), "e", F.concat(entities.rule_entities(F.col("text")), absent))
+    at = unnest(d, ["doc_id"], entities.locate_entities(F.col("text"), F.col("e"))).select("doc_id", "item.*")
+    return at.select("doc_id", F.col("text").alias("value"), "label", "start", "end", "ioc_validated")
 
 
 LOCATE_SQL = EXTRACT_SQL.rsplit("SELECT doc_id, text, label, ioc_type FROM f UNION", 1)[0] + r""",
@@ -654,11 +653,11 @@ def _summaries(spark, sf_dir):
     """First sentence, a mixed sentence, a repeat and an invented tail as generated summary."""
     d = table(spark, sf_dir, "documents")
     s = sentences(F.col("text"))
-    d = d.withColumn("s", s).filter(F.size("s") > 0)
+    d = computed_once(d, "s", s).filter(F.size("s") > 0)
     summary = F.concat_ws(" ", F.lit("Summary:"), F.get("s", F.lit(0)), F.get("s", F.lit(2)),
                           F.when(F.col("doc_id") % 3 == 0, F.get("s", F.lit(0))),
                           F.lit("Wholly invented words, nobody wrote anything similar, breaking news about San Francisco."))
-    return d.select("doc_id", "text", summary.alias("summary"))
+    return computed_once(d, "summary", summary).select("doc_id", "text", "summary")
 
 
 def clean_summaries(spark, sf_dir):
@@ -683,8 +682,8 @@ WITH t AS (SELECT doc_id, regexp_replace(text || CASE doc_id % 4 WHEN 0 THEN ' ,
     WHEN 2 THEN ' ;- a new study' ELSE '' END, '^\s+|\s+$', '', 'g') AS x FROM documents),
 m AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?s)(<\|user\|>|<\|assistant\|>|<\|system\|>|```).*$', ''), '\s+$', '', 'g') AS x FROM t),
 p AS (SELECT doc_id, x, list_min(list_filter([strpos(lower(x), 'san francisco'), strpos(lower(x), '(kron)'), strpos(lower(x), 'a new study'),
-  strpos(lower(x), 'breaking news')], lambda i: i > 1)) AS at FROM m),
-c AS (SELECT doc_id, x, CASE WHEN at IS NOT NULL THEN regexp_replace(regexp_replace(substr(x, 1, at - 1), '\s+$', ''), '[,;:-]+$', '') END AS c FROM p)
+  strpos(lower(x), 'breaking news')], lambda i: i > 1)) AS hit_at FROM m),
+c AS (SELECT doc_id, x, CASE WHEN hit_at IS NOT NULL THEN regexp_replace(regexp_replace(substr(x, 1, hit_at - 1), '\s+$', ''), '[,;:-]+$', '') END AS c FROM p)
 SELECT doc_id, md5(CASE WHEN c IS NULL OR len(regexp_extract_all(c, '\S+')) < 8 THEN x
   WHEN regexp_matches(c, '[.!?]$') THEN c ELSE c || '.' END) AS cut_md5 FROM c"""
 

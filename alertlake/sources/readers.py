@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertlake.functions.text import computed_once
+
 SPAN_SCHEMA = (
     "content string, cyberevent struct<hopper:array<struct<events:array<struct<"
     "argument:array<struct<type:string,startOffset:int,endOffset:int,text:string>>>>>>>, "
@@ -91,7 +93,7 @@ def read_conll(spark: SparkSession, path: str, *, line_ending: str | None = None
 
     rows = F.filter(F.transform(lines, fields), lambda r: r.isNotNull())
     return (
-        sentence.select("file", "record", "part", rows.alias("rows"))
+        computed_once(sentence, "rows", rows)
         .filter(F.size("rows") > 0)
         .select(
             "file", (F.col("record") * 1_000_000 + F.col("part")).cast("decimal(38,0)").alias("sentence_id"),
