@@ -15,6 +15,8 @@ ENTITY = ("struct<text:string,label:string,start:int,end:int,confidence:double,"
           "ioc_type:string,ioc_validated:boolean>")
 RULE_ENTITY = "struct<text:string,label:string,ioc_type:string>"
 RULE_EVENT = "struct<type:string,keyword:string>"
+OPEN_SPAN = ("struct<label:string,start:int,end:int,"
+             "tokens:array<struct<start:int,end:int,conf:double>>>")
 ENTITY_LABELS = ("Malware", "Tool", "Indicator", "System", "Vulnerability", "Organization")
 CVE_WINDOW = 30
 HASH_WINDOW = 20
@@ -74,14 +76,16 @@ def spans_from_predictions(text: Column, offsets: Column, label_ids: Column, con
     ``offsets`` is ``array<struct<start,end>>``; (0,0) marks a special token and
     closes the open entity. ``B-`` merges into an open entity of the same label
     that ends at most one character before, ``I-`` of the same label extends.
-    Confidence is the mean over the tokens inside the final span.
+    Confidence is the mean over the entity's tokens inside the final span; the
+    tokens are carried with the open entity, so the whole is linear. Offsets must
+    be in text order.
     """
     names = F.array(*[F.lit(t) for t in tags])
-    zero = F.struct(F.array().cast("array<struct<label:string,start:int,end:int>>").alias("done"),
-                    F.lit(None).cast("struct<label:string,start:int,end:int>").alias("open"))
-    rows = F.transform(F.arrays_zip(offsets.alias("o"), label_ids.alias("l")), lambda r: F.struct(
-        r["o"]["start"].cast("int").alias("start"), r["o"]["end"].cast("int").alias("end"),
-        F.coalesce(F.get(names, r["l"]), F.lit("O")).alias("tag")))
+    zero = F.struct(_empty(OPEN_SPAN).alias("done"), F.lit(None).cast(OPEN_SPAN).alias("open"))
+    rows = F.transform(
+        F.arrays_zip(offsets.alias("o"), label_ids.alias("l"), confidences.alias("c")), lambda r: F.struct(
+            r["o"]["start"].cast("int").alias("start"), r["o"]["end"].cast("int").alias("end"),
+            F.coalesce(F.get(names, r["l"]), F.lit("O")).alias("tag"), r["c"].cast("double").alias("conf")))
 
     def closed(acc: Column) -> Column:
         return F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
@@ -91,23 +95,25 @@ def spans_from_predictions(text: Column, offsets: Column, label_ids: Column, con
         prefix, label = F.substring(r["tag"], 1, 2), F.substring(r["tag"], 3, 2**31 - 1)
         same = F.coalesce(acc["open"]["label"] == label, F.lit(False))
         joins = ((prefix == "B-") & same & (r["start"] <= acc["open"]["end"] + 1)) | ((prefix == "I-") & same)
+        token = F.struct(r["start"].alias("start"), r["end"].alias("end"), r["conf"].alias("conf"))
 
-        def entity(begin: Column) -> Column:
-            return F.struct(label.alias("label"), begin.alias("start"), r["end"].alias("end"))
+        def entity(begin: Column, tokens: Column) -> Column:
+            return F.struct(label.alias("label"), begin.alias("start"), r["end"].alias("end"),
+                            tokens.alias("tokens")).cast(OPEN_SPAN)
 
+        longer = entity(acc["open"]["start"], F.array_append(acc["open"]["tokens"], token))
         return (
-            F.when(~special & joins, F.struct(acc["done"].alias("done"), entity(acc["open"]["start"]).alias("open")))
-            .when(~special & (prefix == "B-"), F.struct(closed(acc).alias("done"), entity(r["start"]).alias("open")))
-            .otherwise(F.struct(closed(acc).alias("done"),
-                                F.lit(None).cast("struct<label:string,start:int,end:int>").alias("open")))
+            F.when(~special & joins, F.struct(acc["done"].alias("done"), longer.alias("open")))
+            .when(~special & (prefix == "B-"), F.struct(
+                closed(acc).alias("done"), entity(r["start"], F.array(token)).alias("open")))
+            .otherwise(F.struct(closed(acc).alias("done"), F.lit(None).cast(OPEN_SPAN).alias("open")))
         )
 
-    spans = F.aggregate(rows, zero, step, closed)
-    return F.transform(spans, lambda s: finish_entity(text, s, offsets, confidences))
+    return F.transform(F.aggregate(rows, zero, step, closed), lambda s: finish_entity(text, s))
 
 
-def finish_entity(text: Column, span: Column, offsets: Column, confidences: Column) -> Column:
-    """Classify a span, narrow an unvalidated indicator, and average confidences."""
+def finish_entity(text: Column, span: Column) -> Column:
+    """Classify a span, narrow an unvalidated indicator, average its tokens' confidences."""
     label = F.when(span["label"].isin(*ENTITY_LABELS), span["label"]).otherwise("Indicator")
     raw = strip(F.substr(text, span["start"] + 1, span["end"] - span["start"]))
 
@@ -119,20 +125,19 @@ def finish_entity(text: Column, span: Column, offsets: Column, confidences: Colu
             F.coalesce(n["ioc_type"], b["kind"]["ioc_type"]).alias("ioc_type"),
             (b["kind"]["validated"] | n.isNotNull()).alias("ioc_validated")))
 
-    base = F.struct(raw.alias("raw"), classify_ioc(raw).alias("kind"), label.alias("label"),
-                    span["start"].alias("start"), span["end"].alias("end"))
+    def named(value: Column) -> Column:
+        return F.struct(value.alias("raw"), classify_ioc(value).alias("kind"), label.alias("label"),
+                        span["start"].alias("start"), span["end"].alias("end"))
 
     def scored(e: Column) -> Column:
-        inside = F.filter(F.arrays_zip(offsets.alias("o"), confidences.alias("c")), lambda r: (
-            (r["o"]["start"] >= e["start"]) & (r["o"]["end"] <= e["end"])
-            & ~((r["o"]["start"] == 0) & (r["o"]["end"] == 0))))
-        mean = let(F.transform(inside, lambda r: r["c"].cast("double")), lambda c: F.try_divide(
+        inside = F.filter(span["tokens"], lambda t: (t["start"] >= e["start"]) & (t["end"] <= e["end"]))
+        mean = let(F.transform(inside, lambda t: t["conf"]), lambda c: F.try_divide(
             F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.size(c).cast("double")))
         return F.struct(e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"),
                         e["end"].alias("end"), F.coalesce(F.bround(mean, 4), F.lit(0.0)).alias("confidence"),
                         e["ioc_type"].alias("ioc_type"), e["ioc_validated"].alias("ioc_validated"))
 
-    return let(let(base, shaped), scored).cast(ENTITY)
+    return let(let(let(raw, named), shaped), scored).cast(ENTITY)
 
 
 # ------------------------------------------------------------- repair and recovery

@@ -151,9 +151,13 @@ def dedup_stream_processing(spark, sf_dir):
     source, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "checkpoint"))
     e.write.parquet(source)
     stream = spark.readStream.schema(e.schema).parquet(source)
+    empty_batches = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty_batches)
+    spark.conf.set(empty_batches, "false")
     marked = stream_dedup.dedup_stream(stream, key=["user_id", "event_type"], ttl_seconds=7 * 86400, mark=True)
     marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
         "append").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(empty_batches, before)
     return spark.read.parquet(out).groupBy("user_id", "event_type").agg(
         F.count(F.lit(1)).alias("alerts"), F.sum(F.col("deduplicated").cast("int")).alias("repeats"))
 

@@ -26,8 +26,9 @@ class FirstWithinTtl(StatefulProcessor):
     and id; otherwise arrival order and the expiry of the state decide.
     """
 
-    def __init__(self, ttl_us: int, event_time: bool, mark: bool):
+    def __init__(self, ttl_us: int, event_time: bool, mark: bool, columns: Sequence[str]):
         self.ttl_us, self.event_time, self.mark = ttl_us, event_time, mark
+        self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = None if self.event_time else self.ttl_us // 1000
@@ -36,10 +37,9 @@ class FirstWithinTtl(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         known = self.last.get()
         last = None if known is None else known[0]
+        chunks = (chunk.set_axis(self.columns, axis=1) for chunk in rows)  # names of computed columns are not kept
         if self.event_time:
-            chunks = [pd.concat(list(rows)).sort_values(["_t", "_id"], kind="stable")]
-        else:
-            chunks = rows
+            chunks = [pd.concat(list(chunks)).sort_values(["_t", "_id"], kind="stable")]
         for chunk in chunks:
             passed = []
             for t in chunk["_t"].tolist():
@@ -65,7 +65,8 @@ def dedup_stream(
     """First row of a key passes and blocks the key for the TTL.
 
     ``clock="processing"``: the block lasts TTL on the wall clock, exact but not
-    repeatable. ``clock="event"``: same rule on ``ts``; repeatable when rows
+    repeatable. Bounded runs (``availableNow``) need
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false`` to end. ``clock="event"``: same rule on ``ts``; repeatable when rows
     arrive in time order, late rows count as blocked. ``clock="watermark"``: the
     built-in dedup; state is dropped by the watermark, so a key may stay blocked
     longer than the TTL.
@@ -80,6 +81,6 @@ def dedup_stream(
     if mark:
         fields.append(T.StructField("deduplicated", T.BooleanType()))
     return keyed.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=FirstWithinTtl(int(ttl_seconds) * 1_000_000, event, mark),
+        statefulProcessor=FirstWithinTtl(int(ttl_seconds) * 1_000_000, event, mark, keyed.columns),
         outputStructType=T.StructType(fields), outputMode="Append",
         timeMode="None" if event else "ProcessingTime")
