@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from alertlake.operators.ranking import first_per_group
 from alertlake.session import materialize
 
 NEVER = -(2**62)  # "nothing accepted yet"
+FAN_IN = 16
 
 
 def dedup_exact(df: DataFrame, *, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -134,7 +135,7 @@ def _segment_steps(times: np.ndarray, begin: int, ttl: int) -> tuple[np.ndarray,
 def _compose(
     left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], begin: int, ttl: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of two neighbouring segments."""
+    """Step function of two neighbouring stretches of time; ``begin`` is the start of the left one."""
     (lhi, lout), (rhi, rout) = left, right
     slot = np.searchsorted(rhi, lout + ttl)
     through = lout.copy()
@@ -151,79 +152,81 @@ def _accepted_hot(
 
     Time is cut into segments of at least one TTL. What a segment does depends
     only on the last time accepted before it, and that dependence is a monotone
-    step function with at most one step per time inside one TTL. Neighbouring
-    functions are composed pairwise (log2(segments) rounds), the incoming times
+    step function with at most one step per time inside one TTL. Functions of
+    ``FAN_IN`` neighbours are composed per round (log rounds), the incoming times
     are then handed down the same tree, and every segment is walked on its own.
     """
     span = high - low + 1
     wanted = max(1, math.ceil(rows / hot_rows) * 8)
     width = max(ttl, math.ceil(span / wanted))
-    segments = math.ceil(span / width)
-    levels = max(0, math.ceil(math.log2(segments)))
+    levels, reach = 1, FAN_IN * width
+    while reach < span:
+        levels, reach = levels + 1, reach * FAN_IN
     key = list(key)
     fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
     key_ddl = ", ".join(f"`{k}` {fields[k]}" for k in key)
-    steps_ddl = f"{key_ddl}, _node bigint, _hi bigint, _out bigint"
     placed = pairs.withColumn("_node", F.expr(f"(_t - {low}L) div {width}L"))
 
-    def frame(head: pd.DataFrame, node: int, steps: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
-        out = pd.DataFrame({"_node": node, "_hi": steps[0], "_out": steps[1]})
+    def with_key(head: pd.DataFrame, data: dict) -> pd.DataFrame:
+        out = pd.DataFrame(data)
         for position, name in enumerate(key):
-            out.insert(position, name, [head[name].iloc[0]] * len(out))
+            out.insert(position, name, pd.Series([head[name].iloc[0]] * len(out), dtype=object))
         return out
 
+    def steps_frame(head: pd.DataFrame, node: int, steps: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+        return with_key(head, {"_node": np.full(len(steps[0]), node, np.int64), "_hi": steps[0], "_out": steps[1]})
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         node = int(pdf["_node"].iloc[0])
         times = np.sort(pdf["_t"].to_numpy(np.int64))
-        return frame(pdf, node, _segment_steps(times, low + node * width, ttl))
+        return steps_frame(pdf, node, _segment_steps(times, low + node * width, ttl))
+
+    def children(pdf: pd.DataFrame) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
+        for node, part in pdf.sort_values(["_node", "_hi"]).groupby("_node"):
+            yield int(node), (part["_hi"].to_numpy(np.int64), part["_out"].to_numpy(np.int64))
 
     def merge_at(level: int):
         def merge(pdf: pd.DataFrame) -> pd.DataFrame:
             parent = int(pdf["_parent"].iloc[0])
-            sides = []
-            for child in (2 * parent, 2 * parent + 1):
-                part = pdf[pdf["_node"] == child].sort_values("_hi")
-                sides.append((part["_hi"].to_numpy(np.int64), part["_out"].to_numpy(np.int64)))
-            return frame(pdf, parent, _compose(*sides, low + (parent << level) * width, ttl))
+            begin = low + parent * FAN_IN**level * width
+            merged = None
+            for _, steps in children(pdf):
+                merged = steps if merged is None else _compose(merged, steps, begin, ttl)
+            return steps_frame(pdf, parent, merged)
         return merge
 
+    def hand_down(pdf: pd.DataFrame) -> pd.DataFrame:
+        last = int(pdf["_last"].iloc[0])
+        nodes, lasts = [], []
+        for node, (hi, out) in children(pdf):
+            nodes.append(node)
+            lasts.append(last)
+            slot = int(np.searchsorted(hi, last + ttl))
+            last = int(out[slot]) if slot < len(hi) else last
+        return with_key(pdf, {"_node": np.array(nodes, np.int64), "_last": np.array(lasts, np.int64)})
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["_t"].to_numpy(np.int64))
+        return with_key(pdf, {"_t": np.array(_run(times, int(pdf["_last"].iloc[0]), ttl), np.int64)})
+
+    def entered(rows: DataFrame, entry: DataFrame, at: str) -> DataFrame:
+        e = entry.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(key)], F.col("_node").alias("_enode"), "_last")
+        on = [rows[k].eqNullSafe(e[f"_e{i}"]) for i, k in enumerate(key)]
+        return rows.join(e, on + [rows[at] == e["_enode"]]).select(*rows.columns, "_last")
+
+    steps_ddl = f"{key_ddl}, _node bigint, _hi bigint, _out bigint"
+    parent = F.expr(f"_node div {FAN_IN}").alias("_parent")
     tree = [materialize(placed.groupBy(*key, "_node").applyInPandas(build, steps_ddl), "dedup-steps")]
     for level in range(1, levels):
-        below = tree[-1].withColumn("_parent", F.shiftright("_node", 1))
         tree.append(materialize(
-            below.groupBy(*key, "_parent").applyInPandas(merge_at(level), steps_ddl), "dedup-steps"
-        ))
+            tree[-1].select("*", parent).groupBy(*key, "_parent").applyInPandas(merge_at(level), steps_ddl), "dedup-steps"))
     entry = pairs.select(*key).distinct().select(
-        *key, F.lit(0).cast("long").alias("_node"), F.lit(NEVER).cast("long").alias("_last")
-    )
+        *key, F.lit(0).cast("long").alias("_node"), F.lit(NEVER).cast("long").alias("_last"))
     for level in range(levels - 1, -1, -1):
-        left = entry.withColumn("_node", F.col("_node") * 2)
-        steps = tree[level].select(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(key)],
-                                   F.col("_node").alias("_snode"), "_hi", "_out")
-        on = [left[k].eqNullSafe(steps[f"_s{i}"]) for i, k in enumerate(key)]
-        on += [left["_node"] == steps["_snode"], steps["_hi"] >= left["_last"] + F.lit(ttl)]
-        after = left.join(steps, on, "left").groupBy(*key, "_node", "_last").agg(
-            F.min_by("_out", "_hi").alias("_out")
-        )
-        right = after.select(
-            *key, (F.col("_node") + 1).alias("_node"),
-            F.coalesce("_out", "_last").alias("_last"),
-        )
-        entry = materialize(left.unionByName(right), "dedup-entry")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_t"].to_numpy(np.int64))
-        kept = _run(times, int(pdf["_last"].iloc[0]), ttl)
-        out = pd.DataFrame({"_t": kept}, dtype="int64")
-        for position, name in enumerate(key):
-            out.insert(position, name, [pdf[name].iloc[0]] * len(out))
-        return out
-
-    e = entry.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(key)],
-                     F.col("_node").alias("_enode"), "_last")
-    on = [placed[k].eqNullSafe(e[f"_e{i}"]) for i, k in enumerate(key)]
-    started = placed.join(e, on + [placed["_node"] == e["_enode"]]).select(*key, "_node", "_t", "_last")
-    return started.groupBy(*key, "_node").applyInPandas(walk, f"{key_ddl}, _t bigint")
+        below = entered(tree[level].select("*", parent), entry, "_parent")
+        entry = materialize(below.groupBy(*key, "_parent").applyInPandas(
+            hand_down, f"{key_ddl}, _node bigint, _last bigint"), "dedup-entry")
+    return entered(placed, entry, "_node").groupBy(*key, "_node").applyInPandas(walk, f"{key_ddl}, _t bigint")
 
 
 # ------------------------------------------------------- compute once per content

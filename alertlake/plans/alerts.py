@@ -247,7 +247,7 @@ def dedup_ttl_hot_keys(spark, sf_dir):
     """Five keys hold all rows; ``hot_rows`` is set so that they take the segmented path."""
     e = table(spark, sf_dir, "events")
     return dedup.dedup_batch(
-        e, key=["event_type"], ts="ts", id="event_id", mark=True, hot_rows=100
+        e, key=["event_type"], ts="ts", id="event_id", mark=True, hot_rows=1000
     ).select("event_id", "event_type", "deduplicated")
 
 

@@ -48,7 +48,8 @@ class FirstWithinTtl(StatefulProcessor):
                     last = int(t)
                     self.last.update((last,))
                 passed.append(fresh)
-            out = chunk.drop(columns=["_t", "_id"])
+            out = chunk.drop(columns=["_t", "_id"]).astype({
+                c: object for c in chunk.columns if pd.api.types.is_string_dtype(chunk[c]) and c not in ("_t", "_id")})
             if self.mark:
                 yield out.assign(deduplicated=[not p for p in passed])
             else:
