@@ -13,6 +13,7 @@ SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+BLOCK = 64
 SPAN_TYPE = "struct<value:string,start:int,end:int>"
 
 
@@ -75,59 +76,55 @@ def unicode_pattern(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def _running_ends(lengths: Column) -> Column:
+    """Running sum of an int array.
+
+    Appending copies the array, so sums run over blocks of ``BLOCK`` elements and
+    the block totals are added afterwards.
+    """
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def add(acc: Column, n: Column) -> Column:
+        return let(acc["at"] + n, lambda at: F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out")))
+
+    def ends(values: Column) -> Column:
+        return F.aggregate(values, empty, add, lambda acc: acc["out"])
+
+    def join_blocks(blocks: Column) -> Column:
+        totals = ends(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(totals, lambda t: F.flatten(F.transform(blocks, lambda b, i: F.transform(
+            b, lambda e: e + F.when(i > 0, F.get(t, i - 1)).otherwise(0)))))
+
+    def run(values: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / BLOCK).cast("int")),
+            lambda b: ends(F.slice(values, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(blocks, join_blocks)
+
+    return let(lengths, lambda v: F.when(F.size(v) > BLOCK, run(v)).otherwise(ends(v)))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All matches with offsets: ``array<struct<value,start,end>>``.
 
     The gaps left by ``split`` and the matches interleave, so the running sum of
-    both lengths gives every offset.
+    both lengths gives every end. Texts without a match are scanned once.
     """
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = let(
-        hits,
-        lambda h: F.zip_with(
-            F.slice(gaps, F.lit(1), F.size(h)),
-            h,
-            lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
-        ),
-    )
-    empty = F.struct(
-        F.lit(0).alias("at"), F.array().cast(f"array<{SPAN_TYPE}>").alias("out")
-    )
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        end = start + F.length(pair["hit"])
-        span = F.struct(pair["hit"].alias("value"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-    return F.when(
-        text.rlike(pattern), F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    ).otherwise(F.array().cast(f"array<{SPAN_TYPE}>"))
+
+    def place(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        lengths = F.zip_with(gaps, hits, lambda gap, hit: F.length(gap) + F.length(hit))
+        return F.zip_with(hits, _running_ends(lengths), lambda hit, end: F.struct(
+            hit.alias("value"), (end - F.length(hit)).alias("start"), end.alias("end")))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(found, lambda hits: F.when(F.size(hits) > 0, place(hits)).otherwise(
+        F.array().cast(f"array<{SPAN_TYPE}>")))
 
 
 def token_spans(text: Column) -> Column:
-    """White-space separated tokens with offsets, linear in the text length."""
-
-    def starts(chars: Column) -> Column:
-        def solid(i: Column) -> Column:
-            return ~F.get(chars, i).isin(*SPACES)
-
-        return F.filter(
-            F.sequence(F.lit(0), F.size(chars) - 1),
-            lambda i: solid(i) & ((i == 0) | ~solid(i - 1)),
-        )
-
-    spans = F.zip_with(
-        words(text),
-        let(F.split(text, ""), starts),
-        lambda w, s: F.struct(
-            w.alias("value"), s.alias("start"), (s + F.length(w)).alias("end")
-        ),
-    )
-    return F.when(F.length(text) > 0, spans).otherwise(
-        F.array().cast(f"array<{SPAN_TYPE}>")
-    )
+    """White-space separated tokens with offsets."""
+    return match_spans(text, rf"[^{SPACES}]+")
 
 
 def sentences(text: Column) -> Column:

@@ -250,6 +250,13 @@ def detect_events(df: DataFrame, *, id: str, text: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- rule-only extract
+def _hits(text: Column, pattern: str, kind: str) -> Column:
+    """Matches of a pattern; texts without its fixed part are not scanned."""
+    found = F.regexp_extract_all(text, F.lit(unicode_pattern(pattern)), F.lit(0))
+    needs = {"CVE_ID": F.lower(text).contains("cve-"), "URL": text.contains("http"), "Email_Address": text.contains("@")}
+    return F.when(needs[kind], found).otherwise(F.array().cast("array<string>")) if kind in needs else found
+
+
 def rule_entities(text: Column) -> Column:
     """Indicators, known names and contextual words by rules alone.
 
@@ -267,7 +274,7 @@ def rule_entities(text: Column) -> Column:
     groups = {}
     out = []
     for pattern, label, kind in fixed.RULE_PATTERNS:
-        hits = F.regexp_extract_all(text, F.lit(unicode_pattern(pattern)), F.lit(0))
+        hits = _hits(text, pattern, kind)
         seen = groups.get(label)
         fresh = F.array_except(hits, seen) if seen is not None else F.array_distinct(hits)
         groups[label] = F.concat(seen, hits) if seen is not None else hits

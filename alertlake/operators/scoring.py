@@ -69,8 +69,8 @@ def route_alerts(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def to_enriched(forwarded: DataFrame) -> DataFrame:
-    """The 21-column output message; carried extra columns are dropped."""
-    return forwarded.select(*ENRICHED_COLUMNS)
+    """The 21-column output message plus an empty ``ioc_ids``; carried columns are dropped."""
+    return forwarded.select(*ENRICHED_COLUMNS, F.array().cast("array<string>").alias("ioc_ids"))
 
 
 def score_alerts(

@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertlake.session import prepare
+from alertlake.session import prepare, spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *, heavy: bool = False) -> DataFrame:
+    """One shared table; ``heavy`` announces costly work per row."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
 VENDOR_NAMES = ["Wazuh", "splunk", "Elastic-SIEM", "CrowdStrike", "QRadar"]
@@ -32,7 +34,7 @@ def _pick(values, index):
 
 def alert_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the attributes of an alert as plain columns."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", heavy=True)
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         "event_id", "ts", "user_id", "event_type", "value",

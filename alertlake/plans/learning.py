@@ -309,7 +309,7 @@ FROM a WHERE event_id % 7 <> 6"""
 
 def _turn_pairs(spark, sf_dir):
     """User turns with the assistant turn that answers them."""
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", heavy=True)
     user = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("reference"))
     reply = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from alertlake import fixed
 from alertlake.functions import grounding
-from alertlake.functions.text import computed_once, match_spans, sentences, token_spans, unicode_pattern, unnest
+from alertlake.functions.text import computed_once, match_spans, sentences, token_spans, unicode_pattern, unnest, words
 from alertlake.operators import entities, evaluation, features, summaries, tables, tagging, training
 from alertlake.plans.feeds import table
 from alertlake.plans.learning import _chat_columns, labelled_alerts
@@ -77,9 +77,9 @@ MAPPED_SQL = """CASE tag WHEN 'B-Tool' THEN 'B-Malware' WHEN 'B-Person' THEN 'B-
 
 
 def _tagged_sentences(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     s = unnest(d, ["doc_id"], sentences(F.col("text")), pos="pos", name="sentence")
-    s = computed_once(s, "tokens", F.transform(token_spans(F.col("sentence")), lambda t: t["value"]))
+    s = computed_once(s, "tokens", words(F.col("sentence")))
     return computed_once(s, "tags", F.transform("tokens", _tag_of)).select("doc_id", "pos", "tokens", "tags")
 
 
@@ -248,7 +248,7 @@ def span_json(spark, sf_dir):
 
 # ---------------------------------------------------------------- offsets and tags
 def tokens_with_offsets(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     t = unnest(d, ["doc_id"], token_spans(F.col("text"))).select("doc_id", "item.*")
     return t.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("tokens"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
@@ -266,7 +266,7 @@ PLANTED = " contact CVE-2024-%04d at https://evil.example.com/p?id=%d file hash
 
 def _planted(spark, sf_dir):
     """Documents with indicators appended, built from the document id."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     n = F.col("doc_id")
     sha1 = F.sha1(n.cast("string"))
     tail = F.concat(
@@ -553,7 +553,7 @@ SELECT CASE WHEN v LIKE 'CVE-%' THEN 'Vulnerability' ELSE 'Indicator' END AS lab
 
 def _predicted(spark, sf_dir):
     """Token predictions derived from the words: labels by length, confidence by position."""
-    d = computed_once(table(spark, sf_dir, "documents"), "tok", token_spans(F.col("text")))
+    d = computed_once(table(spark, sf_dir, "documents", heavy=True), "tok", token_spans(F.col("text")))
     n = F.size("tok")
     offsets = F.concat(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))),
                        F.transform("tok", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
@@ -638,7 +638,7 @@ FROM q JOIN cnt USING (doc_id) JOIN ev USING (doc_id) JOIN fst USING (doc_id)"""
 
 # ----------------------------------------------------------------------- summaries
 def lead_summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     return d.select("doc_id", grounding.lead_summary(F.col("text")).alias("summary"))
 
 
@@ -651,7 +651,7 @@ SELECT doc_id, CASE WHEN len(ss) = 0 THEN regexp_replace(substr(text, 1, 200), '
 
 def _summaries(spark, sf_dir):
     """First sentence, a mixed sentence, a repeat and an invented tail as generated summary."""
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     s = sentences(F.col("text"))
     d = computed_once(d, "s", s).filter(F.size("s") > 0)
     summary = F.concat_ws(" ", F.lit("Summary:"), F.get("s", F.lit(0)), F.get("s", F.lit(2)),
@@ -671,7 +671,7 @@ def clean_generated_summaries(spark, sf_dir):
 
 
 def cut_drift(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(
+    d = table(spark, sf_dir, "documents", heavy=True).select("doc_id", F.concat(
         "text", F.when(F.col("doc_id") % 4 == 0, " , San Francisco (KRON) again").when(F.col("doc_id") % 4 == 1, "\n<|user|> more")
         .when(F.col("doc_id") % 4 == 2, " ;- a new study").otherwise("")).alias("summary"))
     return d.select("doc_id", F.md5(grounding.cut_drift(F.col("summary"))).alias("cut_md5"))
@@ -689,7 +689,7 @@ SELECT doc_id, md5(CASE WHEN c IS NULL OR len(regexp_extract_all(c, '\S+')) < 8
 
 
 def normalize_grounding(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents", heavy=True)
     n = grounding.normalize_grounding(F.col("text"))
     return d.select("doc_id", F.md5(n).alias("norm_md5"), F.size(sentences(F.col("text"))).alias("sentences"))
 

@@ -30,7 +30,7 @@ def read_alert_stream(
 
 def to_messages(df: DataFrame, *, key: str = "alert_id") -> DataFrame:
     """``key, value`` rows for a topic sink."""
-    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns)).alias("value"))
+    return df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def write_alert_stream(
