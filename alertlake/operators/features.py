@@ -86,6 +86,9 @@ def engineer_features(
 
 
 # --------------------------------------------------------------- target encoding
+TINY = 16  # categories that fit a literal map
+
+
 def fit_target_encoder(
     df: DataFrame, *, cols: Sequence[str], label: str, min_samples_leaf: int = 1,
     smoothing: float = 1.0, singleton_to_prior: bool = True,
@@ -124,7 +127,8 @@ def apply_target_encoder(
 ) -> DataFrame:
     """Replace categories by their encoding; unknown and missing become the prior.
 
-    Columns with few categories (counted first) are broadcast. Columns with many
+    The categories per column are counted first: at most ``TINY`` become a literal
+    map, up to ``broadcast_rows`` are broadcast. Columns with more
     share one shuffle: their values are unpivoted, looked up with heavy categories
     broadcast, and pivoted back on the unique ``id``; without an ``id`` each such
     column is looked up in turn.
@@ -135,9 +139,15 @@ def apply_target_encoder(
     }
     small = [c for c in cols if sizes.get(c, 0) <= broadcast_rows]
     large = [c for c in cols if c not in small]
+    tiny: dict[str, list[Column]] = {c: [] for c in small if sizes.get(c, 0) <= min(TINY, broadcast_rows)}
+    for r in enc.filter(F.col("column").isin(*tiny)).collect() if tiny else []:
+        tiny[r["column"]] += [F.lit(r["category"]), F.lit(r["enc"])]
     prior = enc.agg(F.max("prior")).scalar()
     out = df
-    for c in small:
+    for c, pairs in tiny.items():
+        known = F.try_element_at(F.create_map(*pairs), F.col(c).cast("string")) if pairs else F.lit(None).cast("double")
+        out = out.withColumn(f"_e_{c}", known)
+    for c in [c for c in small if c not in tiny]:
         part = enc.filter(F.col("column") == c).select(
             F.col("category").alias(f"_k_{c}"), F.col("enc").alias(f"_e_{c}"))
         out = out.join(F.broadcast(part), F.col(c).cast("string") == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")

@@ -12,7 +12,7 @@ from alertlake.functions.text import computed_once, match_spans, sentences, toke
 from alertlake.operators import entities, evaluation, features, summaries, tables, tagging, training
 from alertlake.plans.feeds import table
 from alertlake.plans.learning import _chat_columns, labelled_alerts
-from alertlake.session import scratch_path
+from alertlake.session import materialize, scratch_path
 from alertlake.sources import readers, writers
 
 
@@ -204,11 +204,10 @@ def feature_table(spark, sf_dir):
     engineered = features.engineer_features(rows).withColumn("label", features.encode_label(F.col("IncidentGrade")))
     parts = training.hash_split(engineered, key="event_id", test=0.2)
     train, test = (parts.filter(F.col("split") == s) for s in ("train", "test"))
-    enc = features.fit_target_encoder(train, cols=fixed.CATEGORY_COLUMNS, label="label")
+    enc = materialize(features.fit_target_encoder(train, cols=fixed.CATEGORY_COLUMNS, label="label"), "encoder")
     path = scratch_path(spark, "features")
     shaped = [features.assemble_features(
-        features.apply_target_encoder(p.withColumns({f"has_{c}": F.col(f"has_{c}") for c in fixed.SPARSE_COLUMNS}), enc,
-                                      cols=fixed.CATEGORY_COLUMNS), keep=("label",)) for p in (train, test)]
+        features.apply_target_encoder(p, enc, cols=fixed.CATEGORY_COLUMNS), keep=("label",)) for p in (train, test)]
     writers.write_feature_table(*shaped, path, label="label", features=fixed.FEATURES, categories=fixed.CATEGORY_COLUMNS)
     return spark.read.schema(
         "train_samples long, test_samples long, class_distribution string, n_features int, n_categorical int, n_numeric int"
