@@ -247,18 +247,20 @@ def score_once_per_content(
     ``score`` receives a DataFrame with the ``text`` column and must add
     ``result``. ``cached`` is false on the row that was scored: the lowest ``id``
     of the content, or, with ``ttl_seconds``, the first row of each TTL window.
+    The input is read twice: once for the distinct contents, which are written
+    out, once for the join.
     Contents repeated very often are joined by broadcast (their number is bounded
     by :func:`heavy_threshold`), the others by shuffle.
     """
     content = F.struct(F.col(text), F.col(mode)) if mode else F.struct(F.col(text))
     hashed = df.withColumn("_hash", F.sha2(F.to_json(content), 256))
     keys = [*partition, "_hash"]
-    distinct = hashed.groupBy(*keys).agg(
+    distinct = materialize(hashed.groupBy(*keys).agg(
         F.first(text).alias(text),
         F.min(id).alias("_first"),
         F.count(F.lit(1)).alias("_n"),
         *([F.first(mode).alias(mode)] if mode else []),
-    )
+    ), "distinct-content")
     limit = heavy_threshold(distinct, "_n")
 
     def scored(part: DataFrame) -> DataFrame:

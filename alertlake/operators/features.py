@@ -13,6 +13,7 @@ from alertlake import fixed
 from alertlake.functions.text import SPACES, computed_once, let
 from alertlake.operators.joins import BROADCAST_ROWS, balanced_lookup, heavy_threshold
 from alertlake.operators.normalize import truthy_text
+from alertlake.session import materialize
 
 
 # ------------------------------------------------------------ engineered columns
@@ -100,14 +101,15 @@ def fit_target_encoder(
     seen once gets the prior, as some releases of the published encoder do.
 
     One scan for all columns: the unpivoted rows are combined before the shuffle,
-    so only distinct (column, category) pairs travel, and the prior is read off
-    the same shuffled table.
+    so only distinct (column, category) pairs travel. They are written out, as
+    the prior is read off the same table.
     """
     long = df.filter(F.col(label).isNotNull()).select(label, *[F.col(c).cast("string").alias(c) for c in cols])
-    stats = (
+    stats = materialize(
         long.unpivot([label], list(cols), "column", "category")
         .groupBy("column", "category")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("total"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("total")),
+        "encoder-stats",
     )
     prior = stats.filter(F.col("column") == cols[0]).agg(F.sum("total") / F.sum("n")).scalar()
     weight = 1 / (1 + F.exp(-(F.col("n") - min_samples_leaf) / F.lit(float(smoothing))))

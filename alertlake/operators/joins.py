@@ -37,7 +37,7 @@ def balanced_lookup(
     keys: Sequence[str],
     value: str,
 ) -> DataFrame:
-    """Left-join ``value`` onto ``facts``.
+    """Left-join ``value`` onto ``facts``; null keys match null keys.
 
     ``heavy`` holds the few frequent keys (at most ``SHARE`` rows, see
     :func:`heavy_threshold`) and is broadcast. ``light`` holds all other keys and
@@ -51,8 +51,8 @@ def balanced_lookup(
     cold = light.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)],
                         F.lit(0).alias("_lsalt"),
                         F.struct(F.col(value).alias("v")).alias("_cold"))
-    on_hot = [F.col(k) == F.col(f"_h{i}") for i, k in enumerate(keys)]
-    on_cold = [F.col(k) == F.col(f"_l{i}") for i, k in enumerate(keys)]
+    on_hot = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+    on_cold = [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(keys)]
     spread = F.when(
         F.col("_hot").isNull(), F.lit(0)
     ).otherwise(F.pmod(F.xxhash64(*facts.columns), F.lit(4096)).cast("int") + 1)
