@@ -33,7 +33,7 @@ def dedup_batch(
     id: str,
     ttl_seconds: int = 3600,
     mark: bool = False,
-    hot_rows: int = 500_000,
+    hot_rows: int = 20_000,
 ) -> DataFrame:
     """Greedy time-limited dedup over a stored table.
 
