@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertlake.llm import language, urls
+from alertlake.llm import decontaminate, language, mixing, simhash, urls
 from alertlake.llm.common import table
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -16,5 +28,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_url_filter, op9_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f for f in (
+        op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op7_url_filter, op9_language_id)
+}
+ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE}
