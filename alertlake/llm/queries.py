@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertlake.llm import decontaminate, language, mixing, simhash, urls
+from alertlake.llm import decontaminate, language, mixing, quality, simhash, toxicity, urls
 from alertlake.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -28,8 +32,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f for f in (
-        op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op7_url_filter, op9_language_id)
+        op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op5_quality_rules,
+        op7_url_filter, op9_language_id, op10_toxicity)
 }
 ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE}
