@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertlake.llm import decontaminate, language, mixing, quality, simhash, toxicity, urls
+from alertlake.llm import decontaminate, language, mixing, quality, simhash, suffixes, toxicity, urls
 from alertlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op5_quality_rules,
-        op7_url_filter, op9_language_id, op10_toxicity)
+        op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity)
 }
 ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE}
