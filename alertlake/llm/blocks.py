@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from alertlake.llm.common import text_bytes
 
-BLOCK_BYTES = 8 << 20
-PART_KEYS = 2_000_000
+BLOCK_BYTES = 4 << 20
+PART_KEYS = 1_000_000
 LAST = (1 << 63) - 1  # a null id sorts behind all others
 
 

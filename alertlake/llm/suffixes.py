@@ -26,6 +26,7 @@ LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM          # bytes of a context before its anchor
 WIDE = BEFORE + LENGTH          # bytes of a context
 STEP = 1 << 20                  # bytes of a text worked on at a time
+CHUNK = 8192                    # anchors whose contexts are built at a time
 HOT = 2000                      # contexts of an anchor up to which they are indexed together
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -181,8 +182,8 @@ def _anchored(rows: pd.DataFrame) -> Iterator[tuple]:
     """(row, data, positions, hashes, context bytes, before, after, context keys) of the candidates of a block."""
     for row in rows.itertuples(index=False):
         data, at, h = np.frombuffer(row.data, np.uint8), np.frombuffer(row.at, np.int64), np.frombuffer(row.h, np.uint64)
-        for s in range(0, len(at), STEP // 16):
-            part = slice(s, s + STEP // 16)
+        for s in range(0, len(at), CHUNK):
+            part = slice(s, s + CHUNK)
             wide, before, after = contexts(data, at[part])
             yield row, at[part], h[part], wide, before, after, context_keys(wide, before, after)
 
