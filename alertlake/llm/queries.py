@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertlake.llm import decontaminate, language, mixing, quality, simhash, suffixes, toxicity, urls
+from alertlake.llm import decontaminate, language, mixing, paragraphs, quality, simhash, suffixes, toxicity, urls
 from alertlake.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.dedup_substrings(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op5_quality_rules,
+        op1_substring_dedup, op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op5_quality_rules,
         op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity)
 }
 ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE}
