@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertlake.llm import decontaminate, language, mixing, paragraphs, quality, simhash, suffixes, toxicity, urls
+from alertlake.llm import decontaminate, language, lm, mixing, paragraphs, quality, simhash, suffixes, toxicity, urls
 from alertlake.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("score")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op5_quality_rules,
-        op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity)
+        op6_lm_scoring, op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity)
 }
 ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE}
