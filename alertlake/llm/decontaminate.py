@@ -97,6 +97,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text
         F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text",
+                      item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` as they are, without those that hold any window of any item."""
+    key = F.struct(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("h"))
+    windows = materialize(item_windows(items, item_id, item_text, size).select("window").distinct(), "windows")
+    rows = docs.select(key.alias("key"), words_of(F.col(text)).alias("words"))
+    hit = materialize(find_windows(rows, windows, size).select("key").distinct(), "hits")
+    return docs.join(hit, key.eqNullSafe(hit.key), "left_anti")
+
+
 ORACLE = r"""
 with w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

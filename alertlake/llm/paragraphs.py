@@ -285,9 +285,35 @@ def cut_spans(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
+def _with_spans(docs: DataFrame, passages: DataFrame, id: str, text: str) -> DataFrame:
+    """``docs`` with _key, _hash and the ranges to remove (null: none) in _spans."""
+    rows = docs.withColumns({
+        "_key": F.coalesce(F.col(id).cast("long"), F.lit(blocks.LAST)), "_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    found = passages.select(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
+    return rows.join(found, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_th")), "left").drop("_id", "_th")
+
+
+def remove_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS,
+                    block_bytes: int = blocks.BLOCK_BYTES, size: str | None = None) -> DataFrame:
+    """The rows of ``docs`` with repeated passages cut out of ``text``; a text of which nothing is left goes.
+
+    A column ``size`` is set to the characters of a text that was cut. Rows without a repeated
+    passage stay as they are, empty ones too.
+    """
+    passages = repeated_passages(docs, id, text, run_words, block_bytes)
+    cut = F.pandas_udf(lambda t, s: pd.Series([x if y is None else cut_spans(x, y) for x, y in zip(t, s)], dtype=object), "string")
+    rows = _with_spans(docs.drop("_key", "_hash", "_spans"), passages, id, text)
+    rows = rows.withColumn("_left", F.when(F.col("_spans").isNotNull(), cut(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
+    rows = rows.where(F.col("_spans").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {text: F.col("_left")}
+    if size:
+        changed[size] = F.when(F.col("_spans").isNotNull(), F.length("_left").cast("long")).otherwise(F.col(size))
+    return rows.withColumns(changed).select(*docs.columns)
+
+
 def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS,
-                     block_bytes: int = blocks.BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``id``, component_id, n_words, n_removed, spans, kept_sha256, kept_text and ``keep``.
+                     block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+    """One row per input row: ``id``, component_id, n_words, n_removed, spans, kept_sha256, kept_text.
 
     Paragraphs of different documents are alike if the Jaccard of their five-word shingles is 0.8
     or more; alike paragraphs form components, and all occurrences but those in the smallest id
@@ -302,12 +328,7 @@ def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     passages = repeated_passages(docs, id, text, run_words, block_bytes)
     linked = components(passages.select("id", F.explode("keepers").alias("other")), "id", "other")
-    rows = docs.select(
-        F.struct(F.col(id).alias(id), *keep).alias("_row"), F.col(text).alias("_text")).withColumns({
-            "_key": F.coalesce(F.col(f"_row.{id}").cast("long"), F.lit(blocks.LAST)),
-            "_hash": F.xxhash64(F.coalesce("_text", F.lit("")))})
-    found = passages.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
-    rows = rows.join(found, (F.col("_key") == F.col("_id")) & (F.col("_hash") == F.col("_th")), "left")
+    rows = _with_spans(docs.select(F.col(id).alias(id), F.col(text).alias("_text")), passages, id, "_text")
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in batches:
@@ -319,9 +340,9 @@ def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
             yield pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text", "kept_sha256"])
 
     done = F.pandas_udf(cut, "n_words long, n_removed long, kept_text string, kept_sha256 string")
-    rows = rows.select("_row", "_key", "spans", done("_text", "spans").alias("_r"))
+    rows = rows.select(id, "_key", "_spans", done("_text", "_spans").alias("_r"))
     rows = rows.join(linked, F.col("_key") == F.col("node"), "left")
     none = F.array().cast("array<struct<start: int, end: int>>")
     return rows.select(
-        "_row.*", F.coalesce("root", F.col(f"_row.{id}").cast("long")).alias("component_id"), "_r.n_words", "_r.n_removed",
-        F.coalesce("spans", none).alias("spans"), "_r.kept_sha256", "_r.kept_text")
+        id, F.coalesce("root", F.col(id).cast("long")).alias("component_id"), "_r.n_words", "_r.n_removed",
+        F.coalesce("_spans", none).alias("spans"), "_r.kept_sha256", "_r.kept_text")

@@ -66,18 +66,39 @@ def fingerprint_links(prints: DataFrame, fp: str, radius: int = 2) -> DataFrame:
     return chained.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
 
 
-def simhash_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
-    """One row per input row: ``id``, fingerprint (16 hex digits), component_id.
+def simhash_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = 2, keep: tuple = ()) -> DataFrame:
+    """One row per input row: ``id``, fingerprint (16 hex digits), component_id and the ``keep`` columns.
 
     Documents whose fingerprints differ in at most ``radius`` bits are linked; component_id is
     the least id reachable. Null, empty and blank texts have fingerprint 0, linked like any
     other. A null id never becomes a component_id unless it is alone. Repeated rows are kept,
     an empty table gives an empty result, extra columns are ignored.
     """
-    prints = materialize(fingerprints(docs, text, "fp", [F.col(id).alias("id")]), "prints")
+    prints = materialize(fingerprints(docs, text, "fp", [F.col(id).alias("id"), *keep]), "prints")
     roots = components(fingerprint_links(prints, "fp", radius), "a", "b")
     least = prints.groupBy("fp").agg(F.min("id").alias("first"))
     rooted = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id")).join(rooted, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
-        F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id",
+        *[c for c in prints.columns if c not in ("id", "fp")])
+
+
+def drop_near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
+    """The rows of ``docs``, one of each component: the one with the least id, among equal ids the least text hash.
+
+    Rows that agree in id and text are one document, of which one row stays; a component of null
+    ids keeps one row too.
+    """
+    names = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th")
+    rows = materialize(simhash_components(docs, id=id, text=text, radius=radius, keep=(names,)), "components")
+    known = rows.withColumn("_id", F.struct(F.col(id).isNull().alias("no"), F.col(id).alias("id"), F.col("_th").alias("th")))
+    # Without any id in a component, its fingerprint's texts are told apart by hash alone.
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    kept = known.groupBy(group.alias("g")).agg(F.min("_id").alias("k"), F.count(F.lit(1)).alias("n"))
+    kept = kept.select(F.col("k.id").alias("_kept"), F.col("k.th").alias("_kept_th"))
+    found = docs.withColumn("_th", names).join(kept, F.col(id).eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th")))
+    repeated = rows.groupBy(id, "_th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not repeated.isEmpty():
+        found = found.dropDuplicates(["_kept", "_kept_th"])
+    return found.select(*docs.columns)

@@ -264,17 +264,9 @@ def spans_of(text: str, marginals: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic",
-                   label_id: str = "doc_id", held_out=None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``id``, held_out, score, predicted, spans, and the ``keep`` columns.
-
-    Labels of ``held_out`` rows are never read. Null, empty and blank texts have no words and get
-    the score of a text without toxic words. Without labels of both classes every text gets the
-    share of label 1 (held within 0.001 and 0.999). Repeated rows are kept, an empty table gives
-    an empty result, extra columns are ignored.
-    """
-    held = remainder(F.col(id), 4) == 2 if held_out is None else held_out
-    model = fit_toxicity(docs, labels, id=id, text=text, label=label, label_id=label_id, held_out=held)
+def toxicity_column(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label: str, label_id: str, held_out):
+    """Column of struct (score, spans) for the rows of ``docs``; fits the model now."""
+    model = fit_toxicity(docs, labels, id=id, text=text, label=label, label_id=label_id, held_out=held_out)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -288,9 +280,30 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", te
                 spans += [[{"start": a, "end": b} for a, b in spans_of(*z)] for z in zip(part, marginals)]
             yield pd.DataFrame({"score": np.concatenate(scores) if scores else [], "spans": spans})
 
-    scored = F.pandas_udf(score, "score double, spans array<struct<start: int, end: int>>")
-    rows = docs.select(F.col(id).alias(id), F.coalesce(held, F.lit(False)).alias("held_out"), scored(F.col(text)).alias("_s"), *keep)
-    return rows.select(id, "held_out", "_s.score", (F.col("_s.score") >= threshold).cast("int").alias("predicted"), "_s.spans", *keep)
+    return F.pandas_udf(score, "score double, spans array<struct<start: int, end: int>>")(F.col(text))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic",
+                   label_id: str = "doc_id", held_out=None, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: ``id``, held_out, score, predicted, spans.
+
+    Labels of ``held_out`` rows are never read. Null, empty and blank texts have no words and get
+    the score of a text without toxic words. Without labels of both classes every text gets the
+    share of label 1 (held within 0.001 and 0.999). Repeated rows are kept, an empty table gives
+    an empty result, extra columns are ignored.
+    """
+    held = remainder(F.col(id), 4) == 2 if held_out is None else held_out
+    judged = toxicity_column(docs, labels, id=id, text=text, label=label, label_id=label_id, held_out=held)
+    rows = docs.select(F.col(id).alias(id), F.coalesce(held, F.lit(False)).alias("held_out"), judged.alias("_s"))
+    return rows.select(id, "held_out", "_s.score", (F.col("_s.score") >= threshold).cast("int").alias("predicted"), "_s.spans")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic",
+               label_id: str = "doc_id", held_out=None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` as they are, without those that score ``threshold`` or more."""
+    held = remainder(F.col(id), 4) == 2 if held_out is None else held_out
+    judged = toxicity_column(docs, labels, id=id, text=text, label=label, label_id=label_id, held_out=held)
+    return docs.where(judged["score"] < threshold)
 
 
 def _portions(texts: list[str], chars: int = 4 << 20) -> Iterator[list[str]]:

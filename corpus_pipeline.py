@@ -1,13 +1,57 @@
-"""The corpus pipeline; its stages are filled in below as operators land."""
+"""From raw documents to a training mix: each stage works on all that the one before it kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from alertlake.llm import decontaminate, mixing, paragraphs, simhash, toxicity
+from alertlake.llm.common import table
+from alertlake.session import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity field scores below its threshold."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash neighbours: the one with the least id."""
+    return simhash.drop_near_copies(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; n_chars follows."""
+    return paragraphs.remove_passages(docs, size="n_chars")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a ten-word window of a benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, with how often each is taken (copies) and how many words that is (taken)."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    mixed = mixing.mix_sources(rows, keep=("_row",)).where("copies > 0").select("_row", "copies", "taken")
+    return rows.join(mixed, "_row").drop("_row")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("benchmark_decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+]
+
+# Toxicity has no SQL form; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return docs
