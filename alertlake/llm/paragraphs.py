@@ -114,7 +114,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _units(rows: pd.DataFrame) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """Paragraphs of a block as (row, start, end, words), their shingles and shingle counts."""
-    units = [(i, *u) for i, t in enumerate(rows["text"]) for u in paragraphs(t)]
+    units = [(i, *u) for i, t in enumerate(rows["data"]) for u in paragraphs(t.decode("utf-8", "surrogatepass"))]
     return units, *shingles_of([u[3] for u in units])
 
 
@@ -131,11 +131,10 @@ UNITS = "id long, th long, unit int, words int, start int, end int, uh long, shi
 
 def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Paragraphs of a block with a band key that another document has too."""
-    rows = rows.drop_duplicates(["id", "th"]).reset_index(drop=True)
-    table, out = blocks.known(asked, "keys"), []
+    rows, table, out = blocks.documents(rows), blocks.known(asked, "keys"), []
     if len(table) and len(rows):
         units, shingles, counts = _units(rows)
-        hit = blocks.is_in(band_keys(signatures(shingles, counts)).ravel(), table).reshape(-1, BANDS).any(axis=1)
+        hit = blocks.is_in(blocks.short(band_keys(signatures(shingles, counts)).ravel()), table).reshape(-1, BANDS).any(axis=1)
         starts, ids, ths, number = np.cumsum(counts) - counts, rows["id"].tolist(), rows["th"].tolist(), {}
         for i, (row, start, end, words) in enumerate(units):
             number[row] = n = number.get(row, -1) + 1

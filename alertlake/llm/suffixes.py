@@ -4,8 +4,9 @@ content-anchored contexts, scanned for maximal repeats.
 A passage of ``LENGTH`` bytes holds an anchor: the ``GRAM`` bytes with the least hash in it. Only
 anchors that occur in two documents matter, and around each the ``LENGTH``-byte strings through it
 lie inside one context of ``2 * LENGTH - GRAM`` bytes. Equal contexts are settled by their least
-document. Different contexts of one anchor are indexed together by a suffix array with common
-prefixes, and a stack scan of its intervals gives the maximal repeats with all occurrences.
+document. Different contexts that agree around the anchor and on one side of it are indexed
+together by a suffix array with common prefixes, and a stack scan of its intervals gives the
+maximal repeats with all occurrences.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM          # bytes of a context before its anchor
 WIDE = BEFORE + LENGTH          # bytes of a context
 STEP = 1 << 20                  # bytes of a text worked on at a time
+MIDDLE = BEFORE // 2
 CHUNK = 8192                    # anchors whose contexts are built at a time
 HOT = 2000                      # contexts of an anchor up to which they are indexed together
 
@@ -76,20 +78,26 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contexts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes around each anchor, zero beyond the text; bytes there are before it; from it on)."""
     before, after = np.minimum(at, BEFORE), np.minimum(len(data) - at, LENGTH)
-    where = at[:, None] + np.arange(-BEFORE, LENGTH)[None, :]
-    inside = (where >= 0) & (where < len(data))
-    return np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8), before, after
+    low, high = max(0, int(at.min()) - BEFORE), min(len(data), int(at.max()) + LENGTH)
+    padded = np.zeros(int(at.max() - at.min()) + WIDE, np.uint8)
+    padded[low - int(at.min()) + BEFORE:high - int(at.min()) + BEFORE] = data[low:high]
+    return np.lib.stride_tricks.sliding_window_view(padded, WIDE)[at - at.min()], before, after
 
 
-def context_keys(wide: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    padded = np.zeros((len(wide), -(-WIDE // 8) * 8), np.uint8)
-    padded[:, :WIDE] = wide
-    key = _mix((before * 64 + after).astype(np.uint64) + M3)
+def _bytes_key(rows: np.ndarray, seed) -> np.ndarray:
+    """Hash of the bytes of each row."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, :rows.shape[1]] = rows
+    key = np.broadcast_to(seed, len(rows))
     for column in padded.view("<u8").T:
         key = _mix((key ^ column) * M2 + M1)
     return key
 
 
+def context_keys(wide: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return _bytes_key(wide, _mix((before * 64 + after).astype(np.uint64) + M3))
+
+
 # --- suffix array ------------------------------------------------------------
 
 def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -159,69 +167,89 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _sketch(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Anchor hashes of a block; an owner is a document."""
     numbers = pd.factorize(rows["id"])[0]
-    found = [(anchors(np.frombuffer(raw(t), np.uint8))[1], n) for t, n in zip(rows["text"], numbers)]
+    found = [(anchors(np.frombuffer(t, np.uint8))[1], n) for t, n in zip(rows["data"], numbers)]
     return np.concatenate([h for h, _ in found]), np.concatenate([np.full(len(h), n) for h, n in found])
 
 
 def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a block that hold anchors found in two documents, with those anchors."""
-    block, table, out = key[0], blocks.known(asked, "keys"), []
-    for id, th, text in rows.drop_duplicates(["id", "th"])[["id", "th", "text"]].itertuples(index=False):
-        data = raw(text)
-        at, h = anchors(np.frombuffer(data, np.uint8)) if len(table) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        hit = blocks.is_in(h, table)
+    """The documents of a block that hold anchors found in two documents, packed, with those anchors."""
+    table, out, places, hashes = blocks.known(asked, "keys"), [], [], []
+    for row in blocks.documents(rows).itertuples(index=False) if len(table) else ():
+        at, h = anchors(np.frombuffer(row.data, np.uint8))
+        hit = blocks.is_in(blocks.short(h), table)
         if hit.any():
-            out.append((block, id, th, data, at[hit].tobytes(), h[hit].tobytes()))
-    return pd.DataFrame(out, columns=["block", "id", "th", "data", "at", "h"])
-
-
-CANDIDATES = "block int, id long, th long, data binary, at binary, h binary"
-
-
-def _anchored(rows: pd.DataFrame) -> Iterator[tuple]:
-    """(row, data, positions, hashes, context bytes, before, after, context keys) of the candidates of a block."""
-    for row in rows.itertuples(index=False):
-        data, at, h = np.frombuffer(row.data, np.uint8), np.frombuffer(row.at, np.int64), np.frombuffer(row.h, np.uint64)
-        for s in range(0, len(at), CHUNK):
-            part = slice(s, s + CHUNK)
-            wide, before, after = contexts(data, at[part])
-            yield row, at[part], h[part], wide, before, after, context_keys(wide, before, after)
+            out.append(row)
+            places.append(at[hit])
+            hashes.append(h[hit])
+    if not out:
+        return pd.DataFrame([], columns=["block", "docs", "n", "at", "h"])
+    n = np.array([len(a) for a in places], np.int64)
+    return pd.DataFrame([(
+        key[0], blocks.pack(*map(list, zip(*out))), n.tobytes(), np.concatenate(places).tobytes(), np.concatenate(hashes).tobytes(),
+    )], columns=["block", "docs", "n", "at", "h"])
+
+
+CANDIDATES = "block int, docs binary, n binary, at binary, h binary"
+
+
+class _Anchors:
+    """All candidate anchors of a block: their document, place, hash, context and keys."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.names, doc, parts = [], [], []
+        for row in rows.itertuples(index=False):
+            places, hashes, end = np.frombuffer(row.at, np.int64), np.frombuffer(row.h, np.uint64), 0
+            for n, (id, th, text) in zip(np.frombuffer(row.n, np.int64).tolist(), blocks.unpack(row.docs)):
+                data, end = np.frombuffer(text, np.uint8), end + n
+                doc.append(np.full(n, len(self.names)))
+                self.names.append((id, th))
+                for s in range(end - n, end, CHUNK):
+                    at = places[s:min(end, s + CHUNK)]
+                    parts.append((at, hashes[s:min(end, s + CHUNK)], *contexts(data, at)))
+        self.at, self.h, self.wide, self.before, self.after = (np.concatenate(x) for x in zip(*parts))
+        self.doc = np.concatenate(doc)
+        self.id = np.array([id for id, _ in self.names], np.int64)[self.doc]
+        self.k = context_keys(self.wide, self.before, self.after)
+        # Strings that begin MIDDLE or more bytes before the anchor share the left side, others the right side.
+        self.left = np.where(self.before >= MIDDLE, _bytes_key(self.wide[:, BEFORE - MIDDLE:LENGTH], M2), np.uint64(0))
+        self.right = np.where(self.after >= LENGTH - MIDDLE, _bytes_key(self.wide[:, BEFORE:WIDE - MIDDLE], M3), np.uint64(0))
+
+    def side(self, i: int, left: bool) -> tuple[int, bytes]:
+        """(place, bytes) of the part of a context that holds the strings of one side."""
+        before = int(self.before[i]) if left else min(int(self.before[i]), MIDDLE)
+        after = min(int(self.after[i]), LENGTH - MIDDLE) if left else int(self.after[i])
+        return int(self.at[i]) - before, self.wide[i, BEFORE - before:BEFORE + after].tobytes()
 
 
 def _least_documents(candidates: DataFrame, total: int, hot: int) -> DataFrame:
-    """(block, h, k, least, kind): for each context (h, k) of a block the least document that has it.
+    """(block, kind, h, k, value): for each context (h, k) of a block the least document that has it (kind 1).
 
-    ``kind`` is 0 if the anchor has this context only, 1 if it has others, 2 if it has more than
-    ``hot``. One part holds a hash range of contexts; what an anchor has in all is counted in a
-    part of anchors, where a block has one entry per anchor.
+    For each side (kind 0) that several contexts have, the value is 1, or 2 if they are more than
+    ``hot``; a block has one entry per side and one per context (kind 1), and a part holds a hash
+    range of them.
     """
     parts = blocks.parts_for(total / 40)
 
-    def local(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
-        found = [(h, k, np.full(len(h), row.id)) for row, _, h, *_, k in _anchored(rows)]
-        h, k, ids = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((ids, k, h))
-        h, k, ids = h[order], k[order], ids[order]
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-        return h[first], k[first], ids[first]
+    def entries(block: int, kind: int, g: np.ndarray, k: np.ndarray, n: np.ndarray, by: np.ndarray) -> list[tuple]:
+        """Rows for the parts, cut by the sorted keys ``by``."""
+        b = blocks.cut(by, parts)
+        return [
+            (p, kind, block, *(x[b[p]:b[p + 1]].tobytes() for x in (g, k, n.astype(np.int64))))
+            for p in range(parts) if b[p] < b[p + 1]]
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, rows in blocks.blocks_of(frames):
-            h, k, ids = local(rows)
-            first = np.nonzero(np.concatenate([[True], h[1:] != h[:-1]]))[0]
-            n = np.diff(np.append(first, len(h)))
-            out, b = [], blocks.cut(h[first], parts)
-            for p in range(parts):
-                if b[p] < b[p + 1]:
-                    x = first[b[p]:b[p + 1]]
-                    out.append((p, 0, block, h[x].tobytes(), k[x].tobytes(), n[b[p]:b[p + 1]].tobytes()))
-            order = np.lexsort((h, k))
-            h, k, ids = h[order], k[order], ids[order]
-            b = blocks.cut(k, parts)
-            for p in range(parts):
-                if b[p] < b[p + 1]:
-                    x = slice(b[p], b[p + 1])
-                    out.append((p, 1, block, h[x].tobytes(), k[x].tobytes(), ids[x].tobytes()))
+            a = _Anchors(rows)
+            order = np.lexsort((a.id, a.h, a.k))
+            h, k, ids = a.h[order], a.k[order], a.id[order]
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
+            out = entries(block, 1, h[first], k[first], ids[first], k[first])
+            g, k = np.concatenate([a.left, a.right])[np.tile(order[first], 2) + np.repeat([0, len(order)], first.sum())], np.tile(k[first], 2)
+            order = np.lexsort((k, g))[np.count_nonzero(g == 0):]
+            g, k = g[order], k[order]
+            if len(g):
+                at = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+                out += entries(block, 0, g[at], k[at], np.diff(np.append(at, len(g))), g[at])
             yield pd.DataFrame(out, columns=["part", "kind", "block", "h", "k", "n"])
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -275,33 +303,38 @@ class _Answers:
 
 
 def _settle(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """For a block: removed ranges that whole contexts settle, and the contexts still to be indexed.
+    """For a block: removed ranges that whole contexts settle, and the sides still to be indexed.
 
-    A context is still open where this document is the least that has it, and its anchor has
-    others. Of a hot anchor every string is sent by itself, to be settled by a minimum.
+    A context is open where this document is the least that has it; a side of it is indexed if
+    other contexts have that side too. Of a hot side every string is sent by itself, to be
+    settled by a minimum.
     """
+    columns = ["id", "th", "kind", "spans", "h", "at", "text"]
     if not len(rows):
-        return pd.DataFrame([], columns=["id", "th", "kind", "spans", "h", "at", "text"])
-    rows = rows.drop_duplicates(["id", "th"])
-    least, kinds, out, seen = _Answers(answers, 1), _Answers(answers, 0), [], {}
-    for row, at, h, wide, before, after, k in _anchored(rows):
-        for x in (h.astype(np.uint64) * M1 ^ k).tolist():
-            seen[x] = min(seen.get(x, row.id), row.id)
-    for row, at, h, wide, before, after, k in _anchored(rows):
-        in_block = np.array([seen[x] for x in (h.astype(np.uint64) * M1 ^ k).tolist()], dtype=np.int64)
-        first = np.minimum(least.get(h, k, np.iinfo(np.int64).max), in_block)
-        done = first < row.id
-        spans = merged(list(zip((at - before)[done].tolist(), (at + after)[done].tolist())))
-        if spans:
-            out.append((row.id, row.th, 0, np.array(spans, np.int64).tobytes(), 0, 0, b""))
-        kind = kinds.get(h, k, 0)
-        for i in np.nonzero(~done & (kind == 1))[0]:
-            text = wide[i, BEFORE - before[i]:BEFORE + after[i]].tobytes()
-            out.append((row.id, row.th, 1, b"", h[i].astype(np.int64), at[i] - before[i], text))
-        for i in np.nonzero(~done & (kind == 2))[0]:
-            text = wide[i, BEFORE - before[i]:BEFORE + after[i]].tobytes()
-            out += [(row.id, row.th, 2, b"", 0, at[i] - before[i] + j, text[j:j + LENGTH]) for j in range(len(text) - LENGTH + 1)]
-    return pd.DataFrame(out, columns=["id", "th", "kind", "spans", "h", "at", "text"])
+        return pd.DataFrame([], columns=columns)
+    a, least, kinds, out = _Anchors(rows), _Answers(answers, 1), _Answers(answers, 0), []
+    order = np.lexsort((a.id, a.h, a.k))
+    new = np.concatenate([[True], (a.h[order][1:] != a.h[order][:-1]) | (a.k[order][1:] != a.k[order][:-1])])
+    here = np.empty(len(order), np.int64)
+    here[order] = a.id[order][new][np.cumsum(new) - 1]
+    done = np.minimum(least.get(a.h, a.k, np.iinfo(np.int64).max), here) < a.id
+    doc, start, end = a.doc[done], (a.at - a.before)[done], (a.at + a.after)[done]
+    if len(doc):  # anchors stand in order, so ranges do
+        fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
+        last = np.concatenate([fresh[1:], [True]])
+        doc, spans = doc[fresh], np.stack([start[fresh], end[last]], axis=1)
+        cuts = np.nonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))[0]
+        for d, part in zip(doc[cuts], np.split(spans, cuts[1:])):
+            out.append((*a.names[d], 0, part.tobytes(), 0, 0, b""))
+    for left, group in ((True, a.left), (False, a.right)):
+        kind = np.where(done | (group == 0), 0, kinds.get(group, a.k, 0))
+        for i in np.nonzero(kind)[0]:
+            name, (at, text) = a.names[a.doc[i]], a.side(i, left)
+            if kind[i] == 1:
+                out.append((*name, 1, b"", group[i].astype(np.int64), at, text))
+            else:
+                out += [(*name, 2, b"", 0, at + j, text[j:j + LENGTH]) for j in range(len(text) - LENGTH + 1)]
+    return pd.DataFrame(out, columns=columns)
 
 
 SETTLED = "id long, th long, kind int, spans binary, h long, at long, text binary"
@@ -312,10 +345,15 @@ def _index(frames: Iterator[pd.DataFrame], batch: int = 4000) -> Iterator[pd.Dat
     held: list[pd.DataFrame] = []
 
     def flush(rows: pd.DataFrame) -> pd.DataFrame:
-        found = covered(list(rows["text"]), rows["id"].to_numpy())
-        out = [
-            (r.id, r.th, np.array([(r.at + a, r.at + b) for a, b in merged(spans)], np.int64).tobytes())
-            for r, spans in zip(rows.itertuples(index=False), found) if spans]
+        first = rows.groupby("text")["id"].min()  # equal strings are settled by their least document
+        texts = list(first.index)
+        found = dict(zip(texts, zip(first, map(merged, covered(texts, first.to_numpy())))))
+        out = []
+        for r in rows.itertuples(index=False):
+            least, spans = found[r.text]
+            spans = [(0, len(r.text))] if least < r.id else spans
+            if spans and len(r.text) >= LENGTH:
+                out.append((r.id, r.th, np.array([(r.at + a, r.at + b) for a, b in spans], np.int64).tobytes()))
         return pd.DataFrame(out, columns=["id", "th", "spans"])
 
     for frame in frames:
