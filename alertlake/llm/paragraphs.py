@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.llm import blocks
-from alertlake.llm.common import raw
+from alertlake.llm.common import SPACES, raw
 from alertlake.llm.components import components
 from alertlake.session import materialize
 
@@ -23,8 +20,9 @@ BANDS, ROWS = 5, 2         # a pair at the threshold collides with probability 1
 RUN_WORDS = 25             # repeated paragraphs go if they stand together for so many words
 BUCKET = 500               # paragraphs of a band up to which every pair is verified
 
-BREAK = re.compile(r"[.!?,;:]+\s+|\n+")
-CHARS = re.compile(r"[^\x20\x09-\x0D]+")
+IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
+IS_STOP = np.isin(np.arange(256), list(b".!?,;:"))
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 LONG = 20                  # words from which a unit without punctuation is cut further
 SEEDS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 M = np.uint64(0xD6E8FEB86659FD93)
@@ -36,61 +34,93 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def pieces(text: str, begin: int, end: int, words: list[bytes]) -> list[tuple[int, int, list[bytes]]]:
-    """Cuts a long unit behind words picked by their hash, so that equal stretches are cut alike."""
-    starts = [m.start() for m in CHARS.finditer(text, begin, end)]
-    out, first = [], 0
-    for i, word in enumerate(words):
-        if i + 1 - first >= SHINGLE and len(words) - i - 1 >= SHINGLE and zlib.crc32(word) % 4 == 0:
-            out.append((begin if not first else starts[first], starts[i + 1], words[first:i + 1]))
-            first = i + 1
-    return [*out, (begin if not first else starts[first], end, words[first:])]
+class Units:
+    """The units of comparison of some texts, called paragraphs, with their words hashed.
 
+    A unit ends at a line break or at punctuation, but takes further parts of its line until it
+    has ``SHINGLE`` words; a shorter rest of a line joins what is before it, and a line with too
+    few words in all gives no unit. A unit of ``LONG`` words or more is cut behind words picked by
+    their hash, so that equal stretches are cut alike. Small units find a passage inside other
+    text, and one word changed in a copy costs one unit only.
 
-def paragraphs(text: str) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, lower-case words) of the paragraphs of a text.
-
-    The unit of comparison, called paragraph, ends at a line break or at punctuation, but takes
-    further parts of its line until it has ``SHINGLE`` words; a shorter rest of a line joins what
-    is before it, and a line with too few words in all gives no paragraph. Small units find a
-    passage inside other text, and one word changed in a copy costs one unit only.
+    ``doc`` is the number of the text, ``start`` and ``end`` are bytes in it (to the next word),
+    ``words`` the word count, ``name`` a hash of all words; ``shingles`` are hashes, ``counts`` of each.
     """
-    out: list[tuple[int, int, list[bytes]]] = []
-    begin, words, at, line = 0, [], 0, 0
-    ends = [(m.start(), m.end(), "\n" in m[0]) for m in BREAK.finditer(text)] + [(len(text), len(text), True)]
-    for stop, follow, line_end in ends:
-        words += raw(text[at:follow]).lower().split()
-        at = follow
-        if len(words) >= SHINGLE:
-            out += [(begin, follow, words)] if len(words) < LONG else pieces(text, begin, follow, words)
-            begin, words = follow, []
-        elif line_end:
-            if words and len(out) > line:
-                first, _, before = out.pop()
-                out.append((first, follow, before + words))
-            begin, words = follow, []
-        if line_end:
-            line = len(out)
-    return out
 
-
-def shingles_of(units: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all shingles of all units, number of shingles of each); every unit has ``SHINGLE`` words."""
-    digest, cache = xxhash.xxh64_intdigest, {}
-    flat = [cache[w] if w in cache else cache.setdefault(w, digest(w)) for u in units for w in u]
-    words = np.array(flat, dtype=np.uint64)
-    n = np.array([len(u) for u in units], dtype=np.int64)
-    if not len(n):
-        return np.zeros(0, np.uint64), n
-    h = words[: len(words) - SHINGLE + 1]
-    for i in range(1, SHINGLE):
-        h = _mix(h) + words[i: len(words) - SHINGLE + 1 + i]
-    h = _mix(h)
-    ends = np.cumsum(n)
-    inside = np.ones(len(words), bool)
-    for i in range(1, SHINGLE):
-        inside[ends - i] = False
-    return h[inside[: len(h)]], n - (SHINGLE - 1)
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        begins = np.cumsum(sizes) - sizes
+        data = LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+        space = IS_SPACE[data]
+        edge = np.diff(np.concatenate([[1], space, [1]]).astype(np.int8))
+        at, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        place = np.arange(len(data)) - np.repeat(np.concatenate([[0], at]), np.diff(np.concatenate([[0], at, [len(data)]])))
+        self.doc = self.start = self.end = self.words = np.zeros(0, np.int64)
+        self.name, self.shingles, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if not len(at):
+            return
+        term = (data.astype(np.uint64) + np.uint64(1)) * _powers(int((stop - at).max()) + 1)[np.minimum(place, int((stop - at).max()))]
+        term[space] = 0
+        word = _mix(np.add.reduceat(term, at) + (stop - at).astype(np.uint64))
+        line = np.cumsum(data == 10)[at]
+        ends = np.concatenate([line[1:] != line[:-1], [True]])
+        first, last = self._cut(ends, ends | IS_STOP[data[stop - 1]], (word & np.uint64(3)) == 0)
+        if not len(first):
+            return
+        self.words = last - first
+        following = np.concatenate([at, [len(data)]])[last]
+        self.doc = np.searchsorted(begins, at[first], side="right") - 1
+        self.start = at[first] - begins[self.doc]
+        self.end = np.minimum(following - begins[self.doc], sizes[self.doc] - 1)
+        inside = np.repeat(first, self.words) + _counting(self.words)
+        self.name = _mix(np.add.reduceat(word[inside] * _powers(int(self.words.max()))[_counting(self.words)], np.cumsum(self.words) - self.words))
+        h = word[: len(word) - SHINGLE + 1]
+        for i in range(1, SHINGLE):
+            h = _mix(h) + word[i: len(word) - SHINGLE + 1 + i]
+        self.counts = self.words - (SHINGLE - 1)
+        self.shingles = _mix(h)[np.repeat(first, self.counts) + _counting(self.counts)]
+
+    @staticmethod
+    def _cut(line_end: np.ndarray, stop: np.ndarray, soft: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, past the last) word of each unit."""
+        first, last, begin, line = [], [], 0, 0  # units from ``line`` on are in this line
+        for i, final in zip((np.nonzero(stop)[0] + 1).tolist(), line_end[stop].tolist()):
+            if i - begin >= SHINGLE:
+                if i - begin >= LONG:
+                    for j in (np.nonzero(soft[begin + SHINGLE - 1:i - SHINGLE])[0] + begin + SHINGLE).tolist():
+                        if j - begin >= SHINGLE:
+                            first.append(begin)
+                            last.append(j)
+                            begin = j
+                first.append(begin)
+                last.append(i)
+                begin = i
+            elif final:
+                if len(last) > line:
+                    last[-1] = i
+                begin = i
+            if final:
+                line = len(last)
+        return np.array(first, np.int64), np.array(last, np.int64)
+
+
+def _counting(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, … within each run."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(n, np.uint64(0x9E3779B97F4A7C15)))
+
+
+def portions(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, Units]]:
+    """(number of the first text, units) of runs of texts of about ``size`` bytes; every text is in one run."""
+    at, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= size or i + 1 == len(texts):
+            yield at, Units(texts[at:i + 1])
+            at, n = i + 1, 0
 
 
 def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -112,18 +142,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1) if keys else np.zeros((0, 0), np.uint64)
 
 
-def _units(rows: pd.DataFrame) -> tuple[list[tuple], np.ndarray, np.ndarray]:
-    """Paragraphs of a block as (row, start, end, words), their shingles and shingle counts."""
-    units = [(i, *u) for i, t in enumerate(rows["data"]) for u in paragraphs(t.decode("utf-8", "surrogatepass"))]
-    return units, *shingles_of([u[3] for u in units])
-
-
 def _sketch(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    units, shingles, counts = _units(rows)
-    numbers = pd.factorize(rows["id"])[0]
-    keys = band_keys(signatures(shingles, counts))
-    owners = np.repeat(numbers[[u[0] for u in units]] if units else np.zeros(0, np.int64), BANDS)
-    return keys.ravel(), owners
+    numbers, keys, owners = pd.factorize(rows["id"])[0], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for at, u in portions(rows["data"].tolist()):
+        keys.append(band_keys(signatures(u.shingles, u.counts)).ravel())
+        owners.append(np.repeat(numbers[u.doc + at], BANDS))
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 UNITS = "id long, th long, unit int, words int, start int, end int, uh long, shingles binary"
@@ -132,16 +156,19 @@ UNITS = "id long, th long, unit int, words int, start int, end int, uh long, shi
 def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """Paragraphs of a block with a band key that another document has too."""
     rows, table, out = blocks.documents(rows), blocks.known(asked, "keys"), []
-    if len(table) and len(rows):
-        units, shingles, counts = _units(rows)
-        hit = blocks.is_in(blocks.short(band_keys(signatures(shingles, counts)).ravel()), table).reshape(-1, BANDS).any(axis=1)
-        starts, ids, ths, number = np.cumsum(counts) - counts, rows["id"].tolist(), rows["th"].tolist(), {}
-        for i, (row, start, end, words) in enumerate(units):
-            number[row] = n = number.get(row, -1) + 1
-            if hit[i]:
-                whole = xxhash.xxh64_intdigest(b" ".join(words)) - (1 << 63)
-                out.append((ids[row], ths[row], n, len(words), start, end, whole,
-                            np.unique(shingles[starts[i]:starts[i] + counts[i]]).tobytes()))
+    ids, ths, texts = (rows[c].tolist() for c in ("id", "th", "data"))
+    for at, u in portions(texts) if len(table) else ():
+        keys = blocks.short(band_keys(signatures(u.shingles, u.counts)).ravel())
+        hit = blocks.is_in(keys, table).reshape(-1, BANDS).any(axis=1)
+        starts, opening = np.cumsum(u.counts) - u.counts, np.searchsorted(u.doc, u.doc)
+        chars: dict[int, np.ndarray] = {}
+        for i in np.nonzero(hit)[0]:
+            doc = int(u.doc[i]) + at
+            if doc not in chars:  # characters up to each byte: those that continue one do not count
+                chars = {doc: np.concatenate([[0], np.cumsum((np.frombuffer(texts[doc], np.uint8) & 0xC0) != 0x80)])}
+            out.append((
+                ids[doc], ths[doc], int(i - opening[i]), int(u.words[i]), int(chars[doc][u.start[i]]), int(chars[doc][u.end[i]]),
+                int(u.name[i].astype(np.int64)), np.unique(u.shingles[starts[i]:starts[i] + u.counts[i]]).tobytes()))
     return pd.DataFrame(out, columns=["id", "th", "unit", "words", "start", "end", "uh", "shingles"])
 
 
@@ -234,21 +261,28 @@ RUNS = "spans array<struct<start: int, end: int>>, keepers array<long>"
 
 
 def removed_runs(units: list[dict], least: int) -> tuple[list[dict], list[int]]:
-    """Character ranges of runs of repeated paragraphs of at least ``least`` words, and the documents they are kept in."""
+    """Character ranges of runs of repeated paragraphs of at least ``least`` words, and the documents they are kept in.
+
+    A run goes on across one paragraph that is not repeated, such as one with a changed word; that
+    one stays and does not count.
+    """
     spans, keepers, run = [], set(), []
 
     def close() -> None:
         if sum(u["words"] for u in run) >= least:
-            spans.append({"start": run[0]["start"], "end": run[-1]["end"]})
+            for u, before in zip(run, [None, *run]):
+                if before and u["unit"] == before["unit"] + 1:
+                    spans[-1]["end"] = u["end"]
+                else:
+                    spans.append({"start": u["start"], "end": u["end"]})
             keepers.update(u["keeper"] for u in run)
 
     for u in sorted(units, key=lambda u: u["unit"]):
-        if run and u["unit"] != run[-1]["unit"] + 1:
+        if run and u["unit"] > run[-1]["unit"] + 2:
             close()
             run = []
         run.append(u)
-    if run:
-        close()
+    close()
     return spans, sorted(keepers)
 
 
