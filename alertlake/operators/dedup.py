@@ -39,7 +39,8 @@ def dedup_batch(
 
     The first row of a key passes and blocks the key for ``ttl_seconds``; blocked
     rows do not extend the block. ``id`` must be unique and orders rows with equal
-    time. ``mark=True`` keeps every row and adds ``deduplicated``.
+    time. ``mark=True`` keeps every row and adds ``deduplicated``. A row without time
+    or id cannot be placed: it passes and blocks nothing.
 
     Distinct (key, time) pairs are formed first (combined before the shuffle), so
     rows that share a time cost nothing later. Keys with at most ``hot_rows``
@@ -47,11 +48,11 @@ def dedup_batch(
     :func:`_accepted_hot`.
     """
     ttl = int(ttl_seconds) * 1_000_000
+    placed = F.col(ts).isNotNull() & F.col(id).isNotNull()
+    loose, df = df.filter(~placed), df.filter(placed)
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     times = materialize(
-        df.filter(F.col(ts).isNotNull())
-        .groupBy(*key, micros.alias("_t"))
-        .agg(F.min(id).alias("_first")),
+        df.groupBy(*key, micros.alias("_t")).agg(F.min(id).alias("_first")),
         "dedup-times",
     )
     counts = times.groupBy(*key).agg(
@@ -76,8 +77,9 @@ def dedup_batch(
     )
     joined = df.join(winners, df[id] == winners["_winner"], "left" if mark else "left_semi")
     if mark:
-        return joined.withColumn("deduplicated", F.col("_winner").isNull()).drop("_winner")
-    return joined
+        marked = joined.withColumn("deduplicated", F.col("_winner").isNull()).drop("_winner")
+        return marked.unionByName(loose.withColumn("deduplicated", F.lit(False)))
+    return joined.unionByName(loose)
 
 
 def _accepted_plain(pairs: DataFrame, key: Sequence[str], ttl: int) -> DataFrame:

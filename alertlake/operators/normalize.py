@@ -11,6 +11,7 @@ from alertlake import fixed
 from alertlake.functions.text import computed_once, let
 from alertlake.operators.ranking import first_n_per_group
 
+TIMES = (-62_135_596_800_000_000, 253_402_300_799_999_999)  # years 1 to 9999 in microseconds
 FALSY_JSON = ("0", "0.0", "-0", "-0.0", "false", "[]", "{}")
 
 
@@ -82,7 +83,7 @@ def map_severity(
             numeric = F.lit(True)
         else:
             numeric = ~p["is_text"]
-        level = number.cast("long")
+        level = number.try_cast("long")
         by_word = F.when(
             p["is_text"],
             F.try_element_at(F.create_map(*entries), F.concat_ws(":", p["vendor"], p["word"])),
@@ -101,7 +102,8 @@ def parse_alert_ts(value: Column, *, override: Column | None = None, fallback: C
     """Timestamp from a variant: epoch seconds or ISO-like text (UTC when no offset).
 
     Offsets are honoured. ``fallback`` is used when nothing parses; pass the
-    ingest time so that a replay gives the same result.
+    ingest time so that a replay gives the same result. Numbers outside the years
+    1 to 9999 do not parse.
     """
     parts = F.struct(
         _is_text(value).alias("is_text"), _text(value).alias("text"),
@@ -109,7 +111,8 @@ def parse_alert_ts(value: Column, *, override: Column | None = None, fallback: C
     )
 
     def resolve(p: Column) -> Column:
-        from_number = F.timestamp_micros((p["seconds"] * 1_000_000).cast("long"))
+        micros = (p["seconds"] * 1_000_000).try_cast("long")
+        from_number = F.when(micros.between(*TIMES), F.timestamp_micros(micros))
         dated = F.when(p["text"].rlike(r"^\d{4}-\d{2}-\d{2}"), p["text"])
         from_text = F.coalesce(
             dated.try_cast("timestamp"),
@@ -268,8 +271,8 @@ def canonicalize(
     """Check topic messages against the canonical schema.
 
     Severity is capitalised, unknown top-level keys move into ``raw_data``, absent
-    fields get their defaults. Rows with bad JSON, severity or timestamp go to the
-    second DataFrame with a ``reason``.
+    fields get their defaults. Rows with bad JSON, severity or timestamp, or with a
+    ``raw_data`` that is not an object, go to the second DataFrame with a ``reason``.
     """
     fallback = F.col(ingest_ts).cast("timestamp") if ingest_ts else F.current_timestamp()
     doc = computed_once(df, "_m", F.from_json(F.col(value), "map<string,variant>"))
@@ -290,14 +293,16 @@ def canonicalize(
         sev, F.lit(fixed.DEFAULT_SEVERITY),
     )
     stamp = F.when(F.col("_ts").isNotNull(), F.col("_parsed_ts")).otherwise(fallback)
+    payload = field("raw_data")
+    raw_data = F.try_variant_get(payload, "$", "map<string,variant>")
     checked = doc.withColumn(
         "reason",
         F.when(F.col("_m").isNull(), "invalid_json")
         .when(~severity.isin(*fixed.SEVERITIES), "invalid_severity")
-        .when(stamp.isNull(), "invalid_timestamp"),
+        .when(stamp.isNull(), "invalid_timestamp")
+        .when(payload.isNotNull() & (F.schema_of_variant(payload) != "VOID") & raw_data.isNull(), "invalid_raw_data"),
     )
     rejected = checked.filter(F.col("reason").isNotNull()).select(*df.columns, "reason")
-    raw_data = F.try_variant_get(field("raw_data"), "$", "map<string,variant>")
     extras = F.map_filter("_m", lambda k, _: ~k.isin(*fixed.CANONICAL_FIELDS))
 
     def merged(added: Column) -> Column:
@@ -326,15 +331,19 @@ def canonicalize(
 
 
 def cap_per_request(
-    df: DataFrame, *, request: Sequence[str], order: Sequence[str], cap: int = 100
+    df: DataFrame, *, request: Sequence[str], order: Sequence[str], cap: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """First ``cap`` rows per request, and the number dropped per request."""
+    """(rows within the cap, the other rows with ``reason``); without a cap all rows are kept.
+
+    A request keeps its first ``cap`` rows by ``order``, which must be unique in it.
+    """
+    over = F.lit("over_request_cap").alias("reason")
+    if cap is None:
+        return df, df.filter(F.lit(False)).select("*", over)
     kept = first_n_per_group(df, group=request, order=order, n=cap)
-    sizes = df.groupBy(*request).agg(F.count(F.lit(1)).alias("received"))
-    dropped = sizes.withColumn(
-        "dropped", F.greatest(F.col("received") - F.lit(cap), F.lit(0))
-    )
-    return kept, dropped
+    keys = kept.select(*[F.col(c).alias(f"_{c}") for c in (*request, *order)])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*request, *order)]
+    return kept, df.join(keys, same, "left_anti").select("*", over)
 
 
 def ingest_outcomes(df: DataFrame, *, duplicate: str) -> DataFrame:

@@ -38,7 +38,7 @@ def triage(
     projection chain: no shuffle, no Python.
     """
     suspicion, title = F.col("suspicion_level"), F.col("normalized_title")
-    score = F.col(ml).cast(risk.DEC) if ml else risk.heuristic_score(suspicion)
+    score = F.col(ml).try_cast(risk.DEC) if ml else risk.heuristic_score(suspicion)
     out = alerts.withColumns({
         "ml_score": score,
         "asset_criticality": risk.asset_criticality(
@@ -80,7 +80,7 @@ def score_alerts(
     probs = vector_to_array(F.col(probability))
     grades = F.array(*[F.lit(g) for g in fixed.GRADES])
     return model.transform(features).withColumns({
-        "ml_score": F.round(F.coalesce(F.get(probs, F.lit(positive)), F.element_at(probs, -1)), 6),
+        "ml_score": F.coalesce(F.get(probs, F.lit(positive)), F.element_at(probs, -1)),
         "model_grade": F.coalesce(
             F.get(grades, F.col("prediction").cast("int")), F.lit("FalsePositive")),
     })

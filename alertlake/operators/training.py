@@ -40,10 +40,10 @@ def class_capped_sample(
     return first_n_per_group(df.filter(F.col(group).isNotNull()), group=[group], order=order, n=n)
 
 
-def head_per_group(df: DataFrame, *, group: str, order: Sequence[str], max_rows: int = 4000) -> DataFrame:
-    """First ``max_rows / groups`` rows of each group (shard)."""
+def head_per_group(df: DataFrame, *, group: str, order: Sequence[str], max_rows: int) -> DataFrame:
+    """First ``max_rows / groups`` rows of each group (shard), at least one of each."""
     groups = df.select(group).distinct().count()
-    return first_n_per_group(df, group=[group], order=order, n=max_rows // max(groups, 1))
+    return first_n_per_group(df, group=[group], order=order, n=max(max_rows // max(groups, 1), 1))
 
 
 def shuffle_key(key: Column, seed: int = 42) -> Column:
@@ -112,11 +112,12 @@ def ner_chat_rows(df: DataFrame, *, tokens: str, tags: str, keep: Sequence[str]
 
 
 def summary_chat_rows(
-    df: DataFrame, *, report: str = "report", summary: str = "summary", max_chars: int = 4000,
+    df: DataFrame, *, report: str = "report", summary: str = "summary", max_chars: int | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Report/summary pairs -> ``messages``; the report is cut, blank summaries are skipped."""
-    user = F.concat(F.lit("Incident Report:\n"), F.substring(F.coalesce(F.col(report), F.lit("")), 1, max_chars))
+    """Report/summary pairs -> ``messages``; blank summaries are skipped, ``max_chars`` cuts the report."""
+    body = F.coalesce(F.col(report), F.lit(""))
+    user = F.concat(F.lit("Incident Report:\n"), body if max_chars is None else F.substring(body, 1, max_chars))
     kept = df.filter(F.length(strip(F.coalesce(F.col(summary), F.lit("")))) > 0)
     return kept.select(*keep, messages(fixed.SUMMARY_SYSTEM, user, F.col(summary)).alias("messages"))
 

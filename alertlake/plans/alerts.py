@@ -176,6 +176,33 @@ SELECT reason, count(*) AS messages, CAST(sum(event_id) AS BIGINT) AS ids FROM (
 WHERE reason IS NOT NULL GROUP BY 1"""
 
 
+def canonicalize_outcomes(spark, sf_dir):
+    """Every message is accepted once or rejected once with a reason, odd payloads and numbers included."""
+    odd = F.pmod("event_id", F.lit(6))
+    body = (
+        F.when(odd == 0, F.lit('"raw_data": {"a": 1}')).when(odd == 1, F.lit('"raw_data": "whole payload as text"'))
+        .when(odd == 2, F.lit('"timestamp": 1e30')).when(odd == 3, F.lit('"severity": "weird"'))
+        .when(odd == 4, F.lit('"raw_data": null')).otherwise(F.lit('"raw_data": [1, 2]')))
+    messages = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+    ok, rejected = normalize.canonicalize(messages, keep=("event_id",))
+    return ok.select("event_id", F.lit("accepted").alias("outcome")).unionByName(
+        rejected.select("event_id", F.col("reason").alias("outcome")))
+
+
+CANONICALIZE_OUTCOMES_SQL = """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'invalid_raw_data' WHEN 2 THEN 'invalid_timestamp'
+  WHEN 3 THEN 'invalid_severity' WHEN 5 THEN 'invalid_raw_data' ELSE 'accepted' END AS outcome FROM events"""
+
+
+def normalize_odd_numbers(spark, sf_dir):
+    """Numbers beyond any range give the default severity and the ingest time."""
+    odd = F.pmod("event_id", F.lit(3))
+    alerts = table(spark, sf_dir, "events").select(
+        "event_id", "ts", F.lit("t").alias("tenant_id"), F.when(odd == 0, "wazuh").otherwise("splunk").alias("vendor"),
+        F.when(odd == 0, '{"rule": {"level": 1e30}}').when(odd == 1, '{"_time": 1e30}').otherwise('{"_time": -1e300}').alias("raw"))
+    ok, _ = normalize.normalize_alerts(alerts, ingest_ts="ts", keep=("event_id",))
+    return ok.select("event_id", "severity", "timestamp")
+
+
 def _requests(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn(
         "week", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd"))
@@ -183,14 +210,14 @@ def _requests(spark, sf_dir):
 
 def cap_per_request(spark, sf_dir):
     kept, _ = normalize.cap_per_request(
-        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"])
+        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"], cap=100)
     return kept.select("event_type", "week", "event_id")
 
 
 def cap_dropped(spark, sf_dir):
-    _, dropped = normalize.cap_per_request(
-        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"])
-    return dropped
+    _, rest = normalize.cap_per_request(
+        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"], cap=100)
+    return rest.select("event_type", "week", "event_id", "reason")
 
 
 REQUESTS_SQL = """
@@ -436,7 +463,8 @@ SELECT lang, CASE WHEN hit THEN 'TruePositive' ELSE 'FalsePositive' END AS grade
 
 QUERIES = {f.__name__: f for f in (
     normalize_alerts, severity_distribution, rejected_vendors, supported_vendors, resolve_envelope,
-    require_tenant, canonicalize_extra_keys, canonicalize_rejected, cap_per_request, cap_dropped,
+    require_tenant, canonicalize_extra_keys, canonicalize_rejected, canonicalize_outcomes, normalize_odd_numbers,
+    cap_per_request, cap_dropped,
     ingest_outcomes, dedup_exact, dedup_ttl_batch, dedup_ttl_hot_keys, score_once_per_content,
     heuristic_score, asset_criticality, behavioral_score, risk_score, grade_override,
     auto_close_routing, enriched_alerts, parse_triage_replies, keyword_score)}
@@ -451,9 +479,10 @@ ORACLES = {
     "require_tenant": REQUIRE_TENANT_SQL,
     "canonicalize_extra_keys": CANONICALIZE_SQL,
     "canonicalize_rejected": CANONICALIZE_REJECTED_SQL,
+    "canonicalize_outcomes": CANONICALIZE_OUTCOMES_SQL,
+    "normalize_odd_numbers": "SELECT event_id, 'Medium' AS severity, ts AS timestamp FROM events",
     "cap_per_request": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id FROM r WHERE pos <= 100",
-    "cap_dropped": f"WITH {REQUESTS_SQL} SELECT event_type, week, count(*) AS received, "
-                   "greatest(count(*) - 100, 0) AS dropped FROM r GROUP BY ALL",
+    "cap_dropped": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id, 'over_request_cap' AS reason FROM r WHERE pos > 100",
     "ingest_outcomes": INGEST_SQL,
     "dedup_exact": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER "
                    "(PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",

@@ -325,7 +325,7 @@ def chat_rows_summary(spark, sf_dir):
 
 CHAT_SUMMARY_SQL = """
 SELECT u.conv_id || '-' || u.turn AS pair, 3 AS turns, '{summary_md5}' AS system_md5, 'user' AS role,
-  'Incident Report:' || chr(10) || substr(u.text, 1, 4000) AS user_text, r.text AS answer
+  'Incident Report:' || chr(10) || u.text AS user_text, r.text AS answer
 FROM conversations u JOIN conversations r ON u.conv_id = r.conv_id AND r.turn = u.turn + 1
 WHERE u.role = 'user' AND r.role = 'assistant' AND u.conv_id % 10 <> 0 AND trim(r.text, ' ' || chr(10)) <> ''"""
 

@@ -27,12 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     ``spark.checkpoint.dir`` as named by the cluster; a private temporary folder
-    is used only when nothing is configured (single-machine tests).
+    is used only when nothing is configured and all tasks run in this process.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(configured)
     elif spark.sparkContext.getCheckpointDir() is None:

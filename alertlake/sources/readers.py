@@ -96,7 +96,7 @@ def read_conll(spark: SparkSession, path: str, *, line_ending: str | None = None
         computed_once(sentence, "rows", rows)
         .filter(F.size("rows") > 0)
         .select(
-            "file", (F.col("record") * 1_000_000 + F.col("part")).cast("decimal(38,0)").alias("sentence_id"),
+            "file", (F.col("record").cast("decimal(20,0)") * 1_000_000 + F.col("part")).cast("decimal(38,0)").alias("sentence_id"),
             F.transform("rows", lambda r: r["token"]).alias("tokens"),
             F.transform("rows", lambda r: r["tag"]).alias("ner_tags"))
     )

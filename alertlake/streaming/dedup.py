@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +42,21 @@ class FirstWithinTtl(StatefulProcessor):
         if self.event_time:
             chunks = [pd.concat(list(chunks)).sort_values(["_t", "_id"], kind="stable")]
         for chunk in chunks:
-            passed = []
-            for t in chunk["_t"].tolist():
-                fresh = last is None or (self.event_time and t >= last + self.ttl_us)
-                if fresh:
-                    last = int(t)
-                    self.last.update((last,))
-                passed.append(fresh)
+            times, before = chunk["_t"].to_numpy(), last
+            passed = np.zeros(len(times), dtype=bool)
+            if self.event_time:  # one step per row that passes
+                i = 0 if last is None else int(np.searchsorted(times, last + self.ttl_us))
+                while i < len(times):
+                    passed[i], last = True, int(times[i])
+                    i = int(np.searchsorted(times, last + self.ttl_us))
+            elif last is None and len(times):  # the first row blocks all others of the trigger
+                passed[0], last = True, int(times[0])
+            if last != before:
+                self.last.update((last,))
             out = chunk.drop(columns=["_t", "_id"]).astype({
                 c: object for c in chunk.columns if pd.api.types.is_string_dtype(chunk[c]) and c not in ("_t", "_id")})
             if self.mark:
-                yield out.assign(deduplicated=[not p for p in passed])
+                yield out.assign(deduplicated=~passed)
             else:
                 yield out[passed]
 
