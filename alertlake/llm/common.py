@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertlake import session
+
 # ASCII white space of the word definition [^\x20\x09-\x0D]+; bytes.split() without an argument
 # separates at exactly these bytes, and bytes.lower() changes A-Z only.
 SPACES = " \t\n\v\f\r"
@@ -42,3 +46,16 @@ def is_small(df: DataFrame, rows: int, max_bytes: int, size: Column) -> bool:
     """
     n, total = df.agg(F.count(F.lit(1)), F.sum(size.cast("double"))).first()
     return n <= rows and (total or 0) <= max_bytes
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """A table in the shared folder; shuffle files of the jobs before it are let go.
+
+    Spark removes the files of a shuffle when the driver's JVM has collected the plan that made
+    it, which may be long after. What follows reads the table only, so a collection is asked for
+    here: several passes over texts would otherwise pile up on the executors' disks.
+    """
+    out = session.materialize(df, label)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.llm.common import is_small, lower_ascii
-from alertlake.session import materialize
+from alertlake.llm.common import is_small, lower_ascii, materialize
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.llm.common import is_small
+from alertlake.llm.common import is_small, materialize
 from alertlake.llm.running import running_total
-from alertlake.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 EPOCHS = 2

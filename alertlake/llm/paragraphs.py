@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.llm import blocks
-from alertlake.llm.common import SPACES, raw
+from alertlake.llm.common import SPACES, materialize, raw
 from alertlake.llm.components import components
-from alertlake.session import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 5, 2         # a pair at the threshold collides with probability 1 - (1 - 0.8 ** 2) ** 5 = 0.994

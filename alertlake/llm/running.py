@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.session import materialize
+from alertlake.llm.common import materialize
 
 
 def running_total(df: DataFrame, order: list[Column], value: str, into: str, rows_per_part: int = 1_000_000) -> DataFrame:

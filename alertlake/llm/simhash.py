@@ -11,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertlake.llm.common import raw
+from alertlake.llm.common import materialize, raw
 from alertlake.llm.components import components
-from alertlake.session import materialize, spread
+from alertlake.session import spread
 
 BITS, SEED = 64, 42
 

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.llm import blocks
-from alertlake.llm.common import raw
-from alertlake.session import materialize
+from alertlake.llm.common import materialize, raw
 
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM          # bytes of a context before its anchor

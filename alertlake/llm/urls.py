@@ -12,8 +12,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.llm.common import lower_ascii
-from alertlake.session import materialize
+from alertlake.llm.common import lower_ascii, materialize
 
 
 class Rule(NamedTuple):

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.llm import decontaminate, mixing, paragraphs, simhash, toxicity
-from alertlake.llm.common import table
-from alertlake.session import materialize
+from alertlake.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
