@@ -171,15 +171,25 @@ def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataF
     return pd.DataFrame(out, columns=["id", "th", "unit", "words", "start", "end", "uh", "shingles"])
 
 
+def _signed(frame: pd.DataFrame) -> np.ndarray:
+    sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
+    return signatures(np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], dtype=np.int64))
+
+
 def _bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, uh, sig): one row per band of each distinct paragraph."""
+    """(key, uh): one row per band of each distinct paragraph."""
     for frame in frames:
-        sets = [np.frombuffer(s, np.uint64) for s in frame["shingles"]]
-        sig = signatures(np.concatenate([np.zeros(0, np.uint64), *sets]), np.array([len(s) for s in sets], dtype=np.int64))
-        keys = band_keys(sig).view(np.int64)
         yield pd.DataFrame({
-            "key": keys.ravel(), "uh": np.repeat(frame["uh"].to_numpy(np.int64), BANDS),
-            "sig": list(np.repeat(sig.view(np.int64), BANDS, axis=0))})
+            "key": band_keys(_signed(frame)).view(np.int64).ravel(), "uh": np.repeat(frame["uh"].to_numpy(np.int64), BANDS)})
+
+
+def _sub_bands(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, uh): the key of a bucket with each value of the member's signature."""
+    for frame in frames:
+        sig = _signed(frame)
+        place = np.arange(1, sig.shape[1] + 1, dtype=np.uint64)
+        keys = _mix(_mix(frame["key"].to_numpy(np.int64).view(np.uint64)[:, None] + place) * M + sig)
+        yield pd.DataFrame({"key": keys.view(np.int64).ravel(), "uh": np.repeat(frame["uh"].to_numpy(np.int64), sig.shape[1])})
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -237,11 +247,11 @@ def class_links(classes: DataFrame) -> DataFrame:
     value of their signature besides, which again bring a pair at the threshold together almost
     surely; in a sub-bucket that is still larger all members are verified against its least one.
     """
-    banded = materialize(classes.select("uh", "shingles").mapInPandas(_bands, "key long, uh long, sig array<long>"), "bands")
+    banded = materialize(classes.select("uh", "shingles").mapInPandas(_bands, "key long, uh long"), "bands")
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uh").alias("hub")).where("n > 1")
     members = banded.join(sizes, "key")
-    more = members.where(F.col("n") > BUCKET).select("key", "uh", F.posexplode("sig").alias("at", "value"))
-    more = more.select(F.xxhash64("key", "at", "value").alias("key"), "uh").distinct()
+    more = members.where(F.col("n") > BUCKET).select("key", "uh").join(classes.select("uh", "shingles"), "uh")
+    more = more.select("key", "uh", "shingles").mapInPandas(_sub_bands, "key long, uh long").distinct()
     more_sizes = more.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uh").alias("hub")).where("n > 1")
     again = more.join(more_sizes, "key")
     small = members.where(F.col("n") <= BUCKET).select("key", "uh").unionByName(again.where(F.col("n") <= BUCKET).select("key", "uh"))
