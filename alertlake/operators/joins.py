@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 SHARE = 1000
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows (reads no more than that)."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``rows`` rows and about ``max_bytes`` bytes, counted as JSON.
+
+    Reads no more than ``rows + 1`` rows.
+    """
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n <= rows and (total or 0) <= max_bytes
 
 
-def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count was checked; else no hint."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only after rows and bytes were checked; else no hint."""
+    return F.broadcast(df) if is_small(df, rows, max_bytes) else df
 
 
 def heavy_threshold(counts: DataFrame, n: str, share: int = SHARE) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from alertlake.operators.joins import small_or_plain
 from alertlake.operators.ranking import first_per_group, latest_per_group
+from alertlake.session import materialize
 
 ALERT_FIXED = ("normalized_title", "raw_data", "source", "mitre_tactic", "created_at")
 ALERT_MUTABLE = ("ml_score", "risk_score", "status", "updated_at")
@@ -22,10 +23,12 @@ ALERT_MUTABLE = ("ml_score", "risk_score", "status", "updated_at")
 def _merge(current: DataFrame, batch: DataFrame, keys: Sequence[str], changed: dict[str, Column]) -> DataFrame:
     """``current`` with ``changed`` columns taken from ``batch``, plus the new keys of ``batch``.
 
-    ``batch`` has one row per key; columns of ``changed`` refer to it as ``b.<col>``.
+    ``batch`` has one row per key and is computed once; columns of ``changed`` have the names of
+    those they refer to as ``b.<col>``, and only these and the keys meet the stored table.
     """
     columns = current.columns
-    small = small_or_plain(batch)
+    batch = materialize(batch, "batch")
+    small = small_or_plain(batch.select(*keys, *changed))
     c, b = current.alias("c"), small.alias("b")
     on = [F.col(f"c.{k}") == F.col(f"b.{k}") for k in keys]
     hit = F.col(f"b.{keys[0]}").isNotNull()

@@ -210,13 +210,13 @@ def _requests(spark, sf_dir):
 
 def cap_per_request(spark, sf_dir):
     kept, _ = normalize.cap_per_request(
-        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"], cap=100)
+        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"], cap=10)
     return kept.select("event_type", "week", "event_id")
 
 
 def cap_dropped(spark, sf_dir):
     _, rest = normalize.cap_per_request(
-        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"], cap=100)
+        _requests(spark, sf_dir), request=["event_type", "week"], order=["ts", "event_id"], cap=10)
     return rest.select("event_type", "week", "event_id", "reason")
 
 
@@ -481,8 +481,8 @@ ORACLES = {
     "canonicalize_rejected": CANONICALIZE_REJECTED_SQL,
     "canonicalize_outcomes": CANONICALIZE_OUTCOMES_SQL,
     "normalize_odd_numbers": "SELECT event_id, 'Medium' AS severity, ts AS timestamp FROM events",
-    "cap_per_request": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id FROM r WHERE pos <= 100",
-    "cap_dropped": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id, 'over_request_cap' AS reason FROM r WHERE pos > 100",
+    "cap_per_request": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id FROM r WHERE pos <= 10",
+    "cap_dropped": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id, 'over_request_cap' AS reason FROM r WHERE pos > 10",
     "ingest_outcomes": INGEST_SQL,
     "dedup_exact": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER "
                    "(PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1",

@@ -372,7 +372,7 @@ def score_alerts_mllib(spark, sf_dir):
     parts = training.hash_split(rows, key="o_orderkey", test=0.2)
     cols = ["o_totalprice", "month", "nation"]
     model = training.fit_triage_model(
-        parts.filter(F.col("split") == "train"), features=cols, weight="weight", trees=10, depth=4)
+        parts.filter(F.col("split") == "train"), features=cols, weight="weight")
     scored = scoring.score_alerts(parts.filter(F.col("split") == "test"), model)
     return scored.groupBy("model_grade").agg(
         F.count(F.lit(1)).alias("orders"), F.min("ml_score").alias("low"), F.max("ml_score").alias("high"))

@@ -681,7 +681,7 @@ WITH t AS (SELECT doc_id, regexp_replace(text || CASE doc_id % 4 WHEN 0 THEN ' ,
     WHEN 2 THEN ' ;- a new study' ELSE '' END, '^\s+|\s+$', '', 'g') AS x FROM documents),
 m AS (SELECT doc_id, regexp_replace(regexp_replace(x, '(?s)(<\|user\|>|<\|assistant\|>|<\|system\|>|```).*$', ''), '\s+$', '', 'g') AS x FROM t),
 p AS (SELECT doc_id, x, list_min(list_filter([strpos(lower(x), 'san francisco'), strpos(lower(x), '(kron)'), strpos(lower(x), 'a new study'),
-  strpos(lower(x), 'breaking news')], lambda i: i > 1)) AS hit_at FROM m),
+  strpos(lower(x), 'according to a new study'), strpos(lower(x), 'breaking news')], lambda i: i > 1)) AS hit_at FROM m),
 c AS (SELECT doc_id, x, CASE WHEN hit_at IS NOT NULL THEN regexp_replace(regexp_replace(substr(x, 1, hit_at - 1), '\s+$', ''), '[,;:-]+$', '') END AS c FROM p)
 SELECT doc_id, md5(CASE WHEN c IS NULL OR len(regexp_extract_all(c, '\S+')) < 8 THEN x
   WHEN regexp_matches(c, '[.!?]$') THEN c ELSE c || '.' END) AS cut_md5 FROM c"""
