@@ -90,14 +90,23 @@ def cut(keys: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as compressed differences, byte plane by byte plane."""
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+    """Keys as differences (small if sorted), packed."""
+    return pack_ints(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(steps.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unpack_ints(packed).view(np.uint64), dtype=np.uint64)
+
+
+def pack_ints(x: np.ndarray) -> bytes:
+    """64-bit integers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_ints(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
 def short(keys: np.ndarray) -> np.ndarray:

@@ -28,8 +28,9 @@ WIDE = BEFORE + LENGTH          # bytes of a context
 STEP = 1 << 20                  # bytes of a text worked on at a time
 MIDDLE = BEFORE // 2
 CHUNK = 8192                    # anchors whose contexts are built at a time
-HOT = 2000                      # contexts of an anchor up to which they are indexed together
+HOT = 16000                     # contexts of an anchor up to which they are indexed together
 
+UPPER = ~np.uint64(0xFFFF)      # of a second hash 48 bits travel
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -172,43 +173,43 @@ def _sketch(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
     """The documents of a block that hold anchors found in two documents, packed, with those anchors."""
-    table, out, places, hashes = blocks.known(asked, "keys"), [], [], []
+    table, out, places = blocks.known(asked, "keys"), [], []
     for row in blocks.documents(rows).itertuples(index=False) if len(table) else ():
         at, h = anchors(np.frombuffer(row.data, np.uint8))
         hit = blocks.is_in(blocks.short(h), table)
         if hit.any():
             out.append(row)
             places.append(at[hit])
-            hashes.append(h[hit])
     if not out:
-        return pd.DataFrame([], columns=["block", "docs", "n", "at", "h"])
+        return pd.DataFrame([], columns=["block", "docs", "n", "at"])
     n = np.array([len(a) for a in places], np.int64)
     return pd.DataFrame([(
-        key[0], blocks.pack(*map(list, zip(*out))), n.tobytes(), np.concatenate(places).tobytes(), np.concatenate(hashes).tobytes(),
-    )], columns=["block", "docs", "n", "at", "h"])
+        key[0], blocks.pack(*map(list, zip(*out))), blocks.pack_ints(n), blocks.pack_keys(np.concatenate(places).astype(np.uint64)),
+    )], columns=["block", "docs", "n", "at"])
 
 
-CANDIDATES = "block int, docs binary, n binary, at binary, h binary"
+CANDIDATES = "block int, docs binary, n binary, at binary"
 
 
 class _Anchors:
-    """All candidate anchors of a block: their document, place, hash, context and keys."""
+    """All candidate anchors of a block: their document, place, context and keys; (k, h) names a context."""
 
     def __init__(self, rows: pd.DataFrame):
         self.names, doc, parts = [], [], []
         for row in rows.itertuples(index=False):
-            places, hashes, end = np.frombuffer(row.at, np.int64), np.frombuffer(row.h, np.uint64), 0
-            for n, (id, th, text) in zip(np.frombuffer(row.n, np.int64).tolist(), blocks.unpack(row.docs)):
+            places, end = blocks.unpack_keys(row.at).astype(np.int64), 0
+            for n, (id, th, text) in zip(blocks.unpack_ints(row.n).tolist(), blocks.unpack(row.docs)):
                 data, end = np.frombuffer(text, np.uint8), end + n
                 doc.append(np.full(n, len(self.names)))
                 self.names.append((id, th))
                 for s in range(end - n, end, CHUNK):
                     at = places[s:min(end, s + CHUNK)]
-                    parts.append((at, hashes[s:min(end, s + CHUNK)], *contexts(data, at)))
-        self.at, self.h, self.wide, self.before, self.after = (np.concatenate(x) for x in zip(*parts))
+                    parts.append((at, *contexts(data, at)))
+        self.at, self.wide, self.before, self.after = (np.concatenate(x) for x in zip(*parts))
         self.doc = np.concatenate(doc)
         self.id = np.array([id for id, _ in self.names], np.int64)[self.doc]
         self.k = context_keys(self.wide, self.before, self.after)
+        self.h = _bytes_key(self.wide, _mix((self.after * 64 + self.before).astype(np.uint64) + M1)) & UPPER
         # Strings that begin MIDDLE or more bytes before the anchor share the left side, others the right side.
         self.left = np.where(self.before >= MIDDLE, _bytes_key(self.wide[:, BEFORE - MIDDLE:LENGTH], M2), np.uint64(0))
         self.right = np.where(self.after >= LENGTH - MIDDLE, _bytes_key(self.wide[:, BEFORE:WIDE - MIDDLE], M3), np.uint64(0))
@@ -221,7 +222,7 @@ class _Anchors:
 
 
 def _least_documents(candidates: DataFrame, total: int, hot: int) -> DataFrame:
-    """(block, kind, h, k, value): for each context (h, k) of a block the least document that has it (kind 1).
+    """(block, kind, key, other, value): for each context (k, h) of a block the least document that has it (kind 1).
 
     For each side (kind 0) that several contexts have, the value is 1, or 2 if they are more than
     ``hot``; a block has one entry per side and one per context (kind 1), and a part holds a hash
@@ -229,12 +230,12 @@ def _least_documents(candidates: DataFrame, total: int, hot: int) -> DataFrame:
     """
     parts = blocks.parts_for(total / 40)
 
-    def entries(block: int, kind: int, g: np.ndarray, k: np.ndarray, n: np.ndarray, by: np.ndarray) -> list[tuple]:
-        """Rows for the parts, cut by the sorted keys ``by``."""
-        b = blocks.cut(by, parts)
+    def entries(block: int, kind: int, key: np.ndarray, other: np.ndarray, n: np.ndarray) -> list[tuple]:
+        """Rows for the parts, cut by the sorted ``key``."""
+        b, n = blocks.cut(key, parts), n.astype(np.int64)
         return [
-            (p, kind, block, *(x[b[p]:b[p + 1]].tobytes() for x in (g, k, n.astype(np.int64))))
-            for p in range(parts) if b[p] < b[p + 1]]
+            (p, kind, block, blocks.pack_keys(key[x]), blocks.pack_ints(other[x]), blocks.pack_ints(n[x]))
+            for p, x in ((p, slice(b[p], b[p + 1])) for p in range(parts)) if x.start < x.stop]
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block, rows in blocks.blocks_of(frames):
@@ -242,59 +243,63 @@ def _least_documents(candidates: DataFrame, total: int, hot: int) -> DataFrame:
             order = np.lexsort((a.id, a.h, a.k))
             h, k, ids = a.h[order], a.k[order], a.id[order]
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])
-            out = entries(block, 1, h[first], k[first], ids[first], k[first])
+            out = entries(block, 1, k[first], h[first], ids[first])
             g, k = np.concatenate([a.left, a.right])[np.tile(order[first], 2) + np.repeat([0, len(order)], first.sum())], np.tile(k[first], 2)
             order = np.lexsort((k, g))[np.count_nonzero(g == 0):]
             g, k = g[order], k[order]
             if len(g):
                 at = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
-                out += entries(block, 0, g[at], k[at], np.diff(np.append(at, len(g))), g[at])
-            yield pd.DataFrame(out, columns=["part", "kind", "block", "h", "k", "n"])
+                out += entries(block, 0, g[at], k[at] & UPPER, np.diff(np.append(at, len(g))))
+            yield pd.DataFrame(out, columns=["part", "kind", "block", "key", "other", "n"])
 
     def answer(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        h, k = ([np.frombuffer(x, np.uint64) for x in frame[c]] for c in "hk")
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in frame["n"]])
-        sizes, all_h, all_k = np.array([len(x) for x in h]), np.concatenate(h), np.concatenate(k)
-        if key[1] == 0:  # per anchor: one context, several, or many
-            _, group = np.unique(all_h, return_inverse=True)
+        keys = [blocks.unpack_keys(x) for x in frame["key"]]
+        others = [blocks.unpack_ints(x).view(np.uint64) for x in frame["other"]]
+        n = np.concatenate([blocks.unpack_ints(x) for x in frame["n"]])
+        ends, all_keys, all_others = np.cumsum([len(x) for x in keys])[:-1], np.concatenate(keys), np.concatenate(others)
+        if key[1] == 0:  # per side: one context, several, or many
+            _, group = np.unique(all_keys, return_inverse=True)
             low, high, many = np.full(group.max() + 1, ~np.uint64(0)), np.zeros(group.max() + 1, np.uint64), np.bincount(group, n)
-            np.minimum.at(low, group, all_k)
-            np.maximum.at(high, group, all_k)
+            np.minimum.at(low, group, all_others)
+            np.maximum.at(high, group, all_others)
             several = (low != high) | (np.bincount(group, n > 1) > 0)
             value = np.where(several, np.where(many > hot, 2, 1), 0)[group]
             give = value > 0
         else:            # per context: the least document
-            pair = np.lexsort((all_h, all_k))
-            new = np.concatenate([[True], (all_k[pair][1:] != all_k[pair][:-1]) | (all_h[pair][1:] != all_h[pair][:-1])])
+            pair = np.lexsort((all_others, all_keys))
+            new = np.concatenate([[True], (all_keys[pair][1:] != all_keys[pair][:-1]) | (all_others[pair][1:] != all_others[pair][:-1])])
             group = np.empty(len(pair), np.int64)
             group[pair] = np.cumsum(new) - 1
             value = np.full(group.max() + 1, np.iinfo(np.int64).max)
             np.minimum.at(value, group, n)
             value = value[group]
             give = value < n  # a block only needs to hear of smaller documents than its own
-        ends = np.cumsum(sizes)[:-1]
         rows = [
-            (b, key[1], x[g].tobytes(), y[g].tobytes(), v[g].astype(np.int64).tobytes())
-            for b, x, y, v, g in zip(frame["block"], h, k, np.split(value, ends), np.split(give, ends)) if g.any()]
-        return pd.DataFrame(rows, columns=["block", "kind", "h", "k", "value"])
+            (b, key[1], blocks.pack_keys(x[g]), blocks.pack_ints(y[g]) if key[1] else b"", blocks.pack_ints(v[g].astype(np.int64)))
+            for b, x, y, v, g in zip(frame["block"], keys, others, np.split(value, ends), np.split(give, ends)) if g.any()]
+        return pd.DataFrame(rows, columns=["block", "kind", "key", "other", "value"])
 
-    sent = candidates.mapInPandas(send, "part int, kind int, block int, h binary, k binary, n binary")
-    return sent.groupBy("part", "kind").applyInPandas(answer, "block int, kind int, h binary, k binary, value binary")
+    sent = candidates.mapInPandas(send, "part int, kind int, block int, key binary, other binary, n binary")
+    return sent.groupBy("part", "kind").applyInPandas(answer, "block int, kind int, key binary, other binary, value binary")
 
 
 class _Answers:
-    """What a block was told: a value for a hash, or for a pair of hashes."""
+    """What a block was told: a value for a side, or for a context named by a pair of hashes."""
 
     def __init__(self, frame: pd.DataFrame, kind: int):
-        rows = frame[frame["kind"] == kind]
-        join = lambda c, t: np.concatenate([np.zeros(0, t), *[np.frombuffer(x, t) for x in rows[c]]])
-        h, k, self.value = join("h", np.uint64), join("k", np.uint64), join("value", np.int64)
-        self.mixed = _mix(h * M2) ^ k if kind else h
-        order = np.argsort(self.mixed)
-        self.mixed, self.value, self.kind = self.mixed[order], self.value[order], kind
-
-    def get(self, h: np.ndarray, k: np.ndarray, default: int) -> np.ndarray:
-        asked = _mix(h * M2) ^ k if self.kind else h
+        rows, self.kind = frame[frame["kind"] == kind], kind
+        keys = np.concatenate([np.zeros(0, np.uint64), *map(blocks.unpack_keys, rows["key"])])
+        other = np.concatenate([np.zeros(0, np.int64), *map(blocks.unpack_ints, rows["other"] if kind else [])]).view(np.uint64)
+        value = np.concatenate([np.zeros(0, np.int64), *map(blocks.unpack_ints, rows["value"])])
+        mixed = self._mixed(keys, other)
+        order = np.argsort(mixed)
+        self.mixed, self.value = mixed[order], value[order]
+
+    def _mixed(self, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return _mix(other * M2) ^ keys if self.kind else keys
+
+    def get(self, keys: np.ndarray, other: np.ndarray, default: int) -> np.ndarray:
+        asked = self._mixed(keys, other)
         if not len(self.mixed):
             return np.full(len(asked), default, np.int64)
         i = np.minimum(np.searchsorted(self.mixed, asked), len(self.mixed) - 1)
@@ -316,7 +321,7 @@ def _settle(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFra
     new = np.concatenate([[True], (a.h[order][1:] != a.h[order][:-1]) | (a.k[order][1:] != a.k[order][:-1])])
     here = np.empty(len(order), np.int64)
     here[order] = a.id[order][new][np.cumsum(new) - 1]
-    done = np.minimum(least.get(a.h, a.k, np.iinfo(np.int64).max), here) < a.id
+    done = np.minimum(least.get(a.k, a.h, np.iinfo(np.int64).max), here) < a.id
     doc, start, end = a.doc[done], (a.at - a.before)[done], (a.at + a.after)[done]
     if len(doc):  # anchors stand in order, so ranges do
         fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > end[:-1])])
@@ -326,7 +331,7 @@ def _settle(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFra
         for d, part in zip(doc[cuts], np.split(spans, cuts[1:])):
             out.append((*a.names[d], 0, part.tobytes(), 0, 0, b""))
     for left, group in ((True, a.left), (False, a.right)):
-        kind = np.where(done | (group == 0), 0, kinds.get(group, a.k, 0))
+        kind = np.where(done | (group == 0), 0, kinds.get(group, a.h, 0))
         for i in np.nonzero(kind)[0]:
             name, (at, text) = a.names[a.doc[i]], a.side(i, left)
             if kind[i] == 1:
@@ -406,7 +411,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", t
     judged on the input as it is. Null texts are empty; texts under ``LENGTH`` bytes keep all. A
     null id is larger than every other. Rows that agree in id and text are one document and get
     equal results, as do different texts under one id, which never remove from each other. Extra
-    columns are ignored, an empty table gives an empty result. Contexts count as equal when 128
+    columns are ignored, an empty table gives an empty result. Contexts count as equal when 112
     bits of hash agree; indexed contexts are compared byte by byte. ``limits`` (hot, block_bytes)
     change the grouping of the work, not the result.
     """
