@@ -200,9 +200,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return common >= SIMILAR * (len(a) + len(b) - common)
 
 
-def spanning_links(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of similar members that connect what all similar pairs connect; each pair not yet connected is verified."""
+def spanning_links(names: list[int], sets: list[np.ndarray], roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of similar members that connect what all similar pairs connect; each pair not yet connected is verified.
+
+    Members with the same of ``roots`` are connected from the start.
+    """
     root = list(range(len(names)))
+    if roots is not None:
+        firsts: dict[int, int] = {}
+        root = [firsts.setdefault(r, i) for i, r in enumerate(roots)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -227,7 +233,8 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for _, g in rows.groupby("key", sort=False):
             if len(g) > 1:
-                out += spanning_links(g["uh"].tolist(), [np.frombuffer(s, np.uint64) for s in g["shingles"]])
+                known = g["root"].tolist() if "root" in g else None
+                out += spanning_links(g["uh"].tolist(), [np.frombuffer(s, np.uint64) for s in g["shingles"]], known)
         return pd.DataFrame(out, columns=["a", "b"])
 
     for frame in frames:
@@ -239,31 +246,82 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield links(held)
 
 
+def _in_buckets(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b) links between the members (key, uh[, root]) of each key."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism * 4
+    return rows.join(texts, "uh").repartition(tasks, "key").sortWithinPartitions("key", "uh").mapInPandas(_verify, "a long, b long")
+
+
+def _each_shingle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(uh, s, n): one row per shingle of each paragraph, which has n of them."""
+    for frame in frames:
+        sets = [np.frombuffer(s, np.int64) for s in frame["shingles"]]
+        sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        yield pd.DataFrame({
+            "uh": np.repeat(frame["uh"].to_numpy(np.int64), sizes), "s": np.concatenate([np.zeros(0, np.int64), *sets]),
+            "n": np.repeat(sizes, sizes)})
+
+
+def joined_links(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b) links that connect, beyond ``known`` links, whatever similar pairs of ``texts`` (uh, shingles) connect.
+
+    Exact: two similar sets share one of their rarest shingles, of which a set of n has to show
+    n - ceil(0.8 n) + 1. Members of a shingle that are all connected need no look. Else those
+    outside the largest connected group of the shingle meet every member, in cells of about
+    ``BUCKET`` members, so that no task holds a frequent shingle.
+    """
+    each = texts.mapInPandas(_each_shingle, "uh long, s long, n long")
+    ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "s")
+    # a shingle of one member alone is rarer than all others and brings nobody together, but counts in the prefix
+    rare = ranked.groupBy("uh").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("all"))
+    room = F.floor(F.col("n") * (1 - SIMILAR) + 1e-6).cast("int") + 1 - (F.col("n").cast("int") - F.size("all"))
+    rare = rare.withColumn("room", room).where("room > 0").select("uh", F.explode(F.expr("slice(all, 1, room).s")).alias("s"))
+    roots = components(known, "a", "b")
+    rare = rare.join(roots, rare.uh == roots.node, "left").select("s", "uh", F.coalesce("root", "uh").alias("root"))
+    rare = materialize(rare, "rare")
+    groups = rare.groupBy("s", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("s").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("groups"))
+    half = max(1, BUCKET // 2)
+    part = lambda n: F.when(F.col("n") <= BUCKET, 1).otherwise(F.greatest(F.lit(1), F.ceil(n / half))).cast("int")
+    rows = rare.join(groups.where("groups > 1"), "s").withColumns({
+        "wide": part(F.col("n")), "deep": part(F.col("n") - F.col("most")), "light": F.col("root") != F.col("top")})
+    at = lambda n, seed: F.pmod(F.xxhash64("uh", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    across = rows.withColumn("i", at("wide", 1)).withColumn("j", F.explode(upto("deep")))
+    down = rows.where("light and wide > 1").withColumn("j", at("deep", 2)).withColumn("i", F.explode(upto("wide")))
+    cells = across.unionByName(down).select(F.xxhash64("s", "i", "j").alias("key"), "uh", "root").distinct()
+    return _in_buckets(cells, texts)
+
+
 def class_links(classes: DataFrame) -> DataFrame:
     """(a, b) verified links between distinct paragraphs (uh, shingles) that share a band.
 
     Buckets of at most ``BUCKET`` members are verified pair by pair, without a pair of two that
     are connected already. Members of a larger bucket are dealt into sub-buckets, one for each
-    value of their signature besides, which again bring a pair at the threshold together almost
-    surely; in a sub-bucket that is still larger all members are verified against its least one.
+    value of their signature besides; in a sub-bucket that is still larger all members are
+    verified against its least one. That connects most of a large group cheaply; what else is
+    similar among the members of large buckets is found by an exact join (``joined_links``).
     """
     banded = materialize(classes.select("uh", "shingles").mapInPandas(_bands, "key long, uh long"), "bands")
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uh").alias("hub")).where("n > 1")
     members = banded.join(sizes, "key")
-    more = members.where(F.col("n") > BUCKET).select("key", "uh").join(classes.select("uh", "shingles"), "uh")
-    more = more.select("key", "uh", "shingles").mapInPandas(_sub_bands, "key long, uh long").distinct()
+    texts = classes.select("uh", "shingles")
+    inside = _in_buckets(members.where(F.col("n") <= BUCKET).select("key", "uh"), texts)
+    large = materialize(members.where(F.col("n") > BUCKET).select("key", "uh").join(texts, "uh").select("key", "uh", "shingles"), "large")
+    if large.isEmpty():
+        return inside.distinct()
+    more = large.mapInPandas(_sub_bands, "key long, uh long").distinct()
     more_sizes = more.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uh").alias("hub")).where("n > 1")
     again = more.join(more_sizes, "key")
-    small = members.where(F.col("n") <= BUCKET).select("key", "uh").unionByName(again.where(F.col("n") <= BUCKET).select("key", "uh"))
-    texts = classes.select("uh", "shingles")
-    tasks = classes.sparkSession.sparkContext.defaultParallelism * 4
-    inside = small.join(texts, "uh").repartition(tasks, "key").sortWithinPartitions("key", "uh").mapInPandas(_verify, "a long, b long")
     stars = again.where((F.col("n") > BUCKET) & (F.col("uh") != F.col("hub"))).select("uh", "hub").distinct()
     other = texts.select(F.col("uh").alias("hub"), F.col("shingles").alias("hub_shingles"))
     check = F.pandas_udf(
         lambda x, y: pd.Series([similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y)], dtype=bool), "boolean")
     near = stars.join(texts, "uh").join(other, "hub").where(check("shingles", "hub_shingles"))
-    return inside.unionByName(near.select(F.col("uh").alias("a"), F.col("hub").alias("b"))).distinct()
+    near = near.select(F.col("uh").alias("a"), F.col("hub").alias("b"))
+    known = inside.unionByName(_in_buckets(again.where(F.col("n") <= BUCKET).select("key", "uh"), texts)).unionByName(near)
+    known = materialize(known.distinct(), "known")
+    return known.unionByName(joined_links(large.select("uh", "shingles").dropDuplicates(["uh"]), known)).distinct()
 
 
 RUNS = "spans array<struct<start: int, end: int>>, keepers array<long>"
