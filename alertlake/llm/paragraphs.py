@@ -37,10 +37,12 @@ class Units:
     """The units of comparison of some texts, called paragraphs, with their words hashed.
 
     A unit ends at a line break or at punctuation, but takes further parts of its line until it
-    has ``SHINGLE`` words; a shorter rest of a line joins what is before it, and a line with too
-    few words in all gives no unit. A unit of ``LONG`` words or more is cut behind words picked by
-    their hash, so that equal stretches are cut alike. Small units find a passage inside other
-    text, and one word changed in a copy costs one unit only.
+    has ``SHINGLE`` words; a shorter rest of a line joins what is before it. Neighbouring lines
+    of fewer words (verse, lists, text without spaces) are taken together like one line that may
+    be cut behind some of its line breaks, picked by hash. A unit of ``LONG`` words or more is cut
+    behind words picked by their hash, so that equal stretches are cut alike. Small units find a
+    passage inside other text, and one word changed in a copy costs one unit only. Short lines
+    that have fewer than ``SHINGLE`` words in all, between longer ones, are in no unit.
 
     ``doc`` is the number of the text, ``start`` and ``end`` are bytes in it (to the next word),
     ``words`` the word count, ``name`` a hash of all words; ``shingles`` are hashes, ``counts`` of each.
@@ -63,7 +65,9 @@ class Units:
         word = _mix(np.add.reduceat(term, at) + (stop - at).astype(np.uint64))
         line = np.cumsum(data == 10)[at]
         ends = np.concatenate([line[1:] != line[:-1], [True]])
-        first, last = self._cut(ends, ends | IS_STOP[data[stop - 1]], (word & np.uint64(3)) == 0)
+        final = ends & ~self._joined(ends, np.searchsorted(begins, at, side="right"))
+        stops = final | IS_STOP[data[stop - 1]] | (ends & ((word & np.uint64(4)) == 0))
+        first, last = self._cut(final, stops, (word & np.uint64(3)) == 0)
         if not len(first):
             return
         self.words = last - first
@@ -79,6 +83,15 @@ class Units:
         self.counts = self.words - (SHINGLE - 1)
         self.shingles = _mix(h)[np.repeat(first, self.counts) + _counting(self.counts)]
 
+    @staticmethod
+    def _joined(ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Last words of short lines behind which another short line of the same text follows."""
+        last = np.nonzero(ends)[0]
+        small = np.diff(last, prepend=-1) < SHINGLE
+        out = np.zeros(len(ends), bool)
+        out[last[:-1]] = small[:-1] & small[1:] & (doc[last[:-1]] == doc[last[1:]])
+        return out
+
     @staticmethod
     def _cut(line_end: np.ndarray, stop: np.ndarray, soft: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, past the last) word of each unit."""
@@ -338,7 +351,7 @@ def removed_runs(units: list[dict], least: int) -> tuple[list[dict], list[int]]:
     def close() -> None:
         if sum(u["words"] for u in run) >= least:
             for u, before in zip(run, [None, *run]):
-                if before and u["unit"] == before["unit"] + 1:
+                if before and u["start"] == before["end"]:
                     spans[-1]["end"] = u["end"]
                 else:
                     spans.append({"start": u["start"], "end": u["end"]})
