@@ -16,7 +16,7 @@ from alertlake.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 5, 2         # a pair at the threshold collides with probability 1 - (1 - 0.8 ** 2) ** 5 = 0.994
-RUN_WORDS = 25             # repeated paragraphs go if they stand together for so many words
+RUN_WORDS = 25             # repeated units inside paragraphs go if they stand together for so many words
 BUCKET = 500               # paragraphs of a band up to which every pair is verified
 
 IS_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
@@ -25,6 +25,7 @@ LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 LONG = 20                  # words from which a unit without punctuation is cut further
 SEEDS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 M = np.uint64(0xD6E8FEB86659FD93)
+WHOLE = np.uint64(0xA0761D6478BD642F)  # keeps hashes of paragraphs and of units apart
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -33,8 +34,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Units:
-    """The units of comparison of some texts, called paragraphs, with their words hashed.
+class Parts:
+    """Stretches of words of some texts, with their words hashed.
+
+    ``doc`` is the number of the text, ``start`` and ``end`` are bytes in it (to the next word),
+    ``words`` the word count, ``name`` a hash of all words; ``shingles`` are hashes, ``counts`` of
+    each. A part of fewer than ``SHINGLE`` words has one shingle, of all its words.
+    """
+
+    def __init__(self, first: np.ndarray, last: np.ndarray, word: np.ndarray, h: np.ndarray, following: np.ndarray,
+                 begins: np.ndarray, sizes: np.ndarray, salt: np.uint64 = np.uint64(0)):
+        """Words ``first`` up to ``last``; ``h`` are the shingles from each word on, ``following`` the places of words and of the end."""
+        self.words, self.counts = last - first, np.maximum(last - first - (SHINGLE - 1), 1)
+        self.doc = np.searchsorted(begins, following[first], side="right") - 1
+        self.start = following[first] - begins[self.doc]
+        self.end = np.minimum(following[last] - begins[self.doc], sizes[self.doc] - 1)
+        self.name, self.shingles = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        if not len(first):
+            return
+        inside = np.repeat(first, self.words) + _counting(self.words)
+        self.name = _mix(np.add.reduceat(word[inside] * _powers(int(self.words.max()))[_counting(self.words)], np.cumsum(self.words) - self.words) ^ salt)
+        self.shingles = _mix(h[np.repeat(first, self.counts) + _counting(self.counts)] ^ salt)
+        few = self.words < SHINGLE
+        self.shingles[(np.cumsum(self.counts) - self.counts)[few]] = self.name[few]
+
+
+class Units(Parts):
+    """The units of comparison of some texts, and in ``paragraphs`` their whole paragraphs.
+
+    A paragraph is a line, or neighbouring lines (without an empty one between) that have fewer
+    than ``SHINGLE`` words each; all words are in one. Units are smaller.
 
     A unit ends at a line break or at punctuation, but takes further parts of its line until it
     has ``SHINGLE`` words; a shorter rest of a line joins what is before it. Neighbouring lines
@@ -43,9 +72,6 @@ class Units:
     behind words picked by their hash, so that equal stretches are cut alike. Small units find a
     passage inside other text, and one word changed in a copy costs one unit only. Short lines
     that have fewer than ``SHINGLE`` words in all, between longer ones, are in no unit.
-
-    ``doc`` is the number of the text, ``start`` and ``end`` are bytes in it (to the next word),
-    ``words`` the word count, ``name`` a hash of all words; ``shingles`` are hashes, ``counts`` of each.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -56,32 +82,27 @@ class Units:
         edge = np.diff(np.concatenate([[1], space, [1]]).astype(np.int8))
         at, stop = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
         place = np.arange(len(data)) - np.repeat(np.concatenate([[0], at]), np.diff(np.concatenate([[0], at, [len(data)]])))
-        self.doc = self.start = self.end = self.words = np.zeros(0, np.int64)
-        self.name, self.shingles, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if not len(at):
+            none, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            super().__init__(none, none, hashes, hashes, none, begins, sizes)
+            self.paragraphs = Parts(none, none, hashes, hashes, none, begins, sizes)
             return
         term = (data.astype(np.uint64) + np.uint64(1)) * _powers(int((stop - at).max()) + 1)[np.minimum(place, int((stop - at).max()))]
         term[space] = 0
         word = _mix(np.add.reduceat(term, at) + (stop - at).astype(np.uint64))
         line = np.cumsum(data == 10)[at]
         ends = np.concatenate([line[1:] != line[:-1], [True]])
-        final = ends & ~self._joined(ends, np.searchsorted(begins, at, side="right"))
+        joined = self._joined(ends, np.searchsorted(begins, at, side="right"))
+        final = ends & ~joined
         stops = final | IS_STOP[data[stop - 1]] | (ends & ((word & np.uint64(4)) == 0))
         first, last = self._cut(final, stops, (word & np.uint64(3)) == 0)
-        if not len(first):
-            return
-        self.words = last - first
-        following = np.concatenate([at, [len(data)]])[last]
-        self.doc = np.searchsorted(begins, at[first], side="right") - 1
-        self.start = at[first] - begins[self.doc]
-        self.end = np.minimum(following - begins[self.doc], sizes[self.doc] - 1)
-        inside = np.repeat(first, self.words) + _counting(self.words)
-        self.name = _mix(np.add.reduceat(word[inside] * _powers(int(self.words.max()))[_counting(self.words)], np.cumsum(self.words) - self.words))
-        h = word[: len(word) - SHINGLE + 1]
+        h, padded = word, np.concatenate([word, np.zeros(SHINGLE - 1, np.uint64)])
         for i in range(1, SHINGLE):
-            h = _mix(h) + word[i: len(word) - SHINGLE + 1 + i]
-        self.counts = self.words - (SHINGLE - 1)
-        self.shingles = _mix(h)[np.repeat(first, self.counts) + _counting(self.counts)]
+            h = _mix(h) + padded[i: len(word) + i]
+        following = np.concatenate([at, [len(data)]])
+        super().__init__(first, last, word, h, following, begins, sizes)
+        past = np.nonzero(final | (joined & (np.diff(line, append=line[-1]) > 1)))[0] + 1
+        self.paragraphs = Parts(np.concatenate([[0], past[:-1]]), past, word, h, following, begins, sizes, WHOLE)
 
     @staticmethod
     def _joined(ends: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -156,32 +177,34 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _sketch(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     numbers, keys, owners = pd.factorize(rows["id"])[0], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for at, u in portions(rows["data"].tolist()):
-        keys.append(band_keys(signatures(u.shingles, u.counts)).ravel())
-        owners.append(np.repeat(numbers[u.doc + at], BANDS))
+    for at, units in portions(rows["data"].tolist()):
+        for u in (units, units.paragraphs):
+            keys.append(band_keys(signatures(u.shingles, u.counts)).ravel())
+            owners.append(np.repeat(numbers[u.doc + at], BANDS))
     return np.concatenate(keys), np.concatenate(owners)
 
 
-UNITS = "id long, th long, unit int, words int, start int, end int, uh long, shingles binary"
+UNITS = "id long, th long, whole boolean, unit int, words int, start int, end int, uh long, shingles binary"
 
 
 def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Paragraphs of a block with a band key that another document has too."""
+    """Units and paragraphs of a block with a band key that another document has too."""
     rows, table, out = blocks.documents(rows), blocks.known(asked, "keys"), []
     ids, ths, texts = (rows[c].tolist() for c in ("id", "th", "data"))
-    for at, u in portions(texts) if len(table) else ():
-        keys = blocks.short(band_keys(signatures(u.shingles, u.counts)).ravel())
-        hit = blocks.is_in(keys, table).reshape(-1, BANDS).any(axis=1)
-        starts, opening = np.cumsum(u.counts) - u.counts, np.searchsorted(u.doc, u.doc)
+    for at, units in portions(texts) if len(table) else ():
         chars: dict[int, np.ndarray] = {}
-        for i in np.nonzero(hit)[0]:
-            doc = int(u.doc[i]) + at
-            if doc not in chars:  # characters up to each byte: those that continue one do not count
-                chars = {doc: np.concatenate([[0], np.cumsum((np.frombuffer(texts[doc], np.uint8) & 0xC0) != 0x80)])}
-            out.append((
-                ids[doc], ths[doc], int(i - opening[i]), int(u.words[i]), int(chars[doc][u.start[i]]), int(chars[doc][u.end[i]]),
-                int(u.name[i].astype(np.int64)), np.unique(u.shingles[starts[i]:starts[i] + u.counts[i]]).tobytes()))
-    return pd.DataFrame(out, columns=["id", "th", "unit", "words", "start", "end", "uh", "shingles"])
+        for u in (units, units.paragraphs):
+            keys = blocks.short(band_keys(signatures(u.shingles, u.counts)).ravel())
+            hit = blocks.is_in(keys, table).reshape(-1, BANDS).any(axis=1)
+            starts, opening = np.cumsum(u.counts) - u.counts, np.searchsorted(u.doc, u.doc)
+            for i in np.nonzero(hit)[0]:
+                doc = int(u.doc[i]) + at
+                if doc not in chars:  # characters up to each byte: those that continue one do not count
+                    chars[doc] = np.concatenate([[0], np.cumsum((np.frombuffer(texts[doc], np.uint8) & 0xC0) != 0x80)]).astype(np.int32)
+                out.append((
+                    ids[doc], ths[doc], u is not units, int(i - opening[i]), int(u.words[i]), int(chars[doc][u.start[i]]), int(chars[doc][u.end[i]]),
+                    int(u.name[i].astype(np.int64)), np.unique(u.shingles[starts[i]:starts[i] + u.counts[i]]).tobytes()))
+    return pd.DataFrame(out, columns=["id", "th", "whole", "unit", "words", "start", "end", "uh", "shingles"])
 
 
 def _signed(frame: pd.DataFrame) -> np.ndarray:
@@ -341,35 +364,42 @@ RUNS = "spans array<struct<start: int, end: int>>, keepers array<long>"
 
 
 def removed_runs(units: list[dict], least: int) -> tuple[list[dict], list[int]]:
-    """Character ranges of runs of repeated paragraphs of at least ``least`` words, and the documents they are kept in.
+    """Character ranges of repeated paragraphs and of runs of repeated units, and the documents they are kept in.
 
-    A run goes on across one paragraph that is not repeated, such as one with a changed word; that
-    one stays and does not count.
+    A whole paragraph goes whatever its length, a run if it has at least ``least`` words. A run
+    goes on across one unit that is not repeated, such as one with a changed word; that one stays
+    and does not count.
     """
-    spans, keepers, run = [], set(), []
+    ranges, keepers, run = [], set(), []
+
+    def take(found: list[dict]) -> None:
+        ranges.extend((u["start"], u["end"]) for u in found)
+        keepers.update(u["keeper"] for u in found)
 
     def close() -> None:
         if sum(u["words"] for u in run) >= least:
-            for u, before in zip(run, [None, *run]):
-                if before and u["start"] == before["end"]:
-                    spans[-1]["end"] = u["end"]
-                else:
-                    spans.append({"start": u["start"], "end": u["end"]})
-            keepers.update(u["keeper"] for u in run)
-
-    for u in sorted(units, key=lambda u: u["unit"]):
+            take(run)
+
+    take([u for u in units if u["whole"]])
+    for u in sorted((u for u in units if not u["whole"]), key=lambda u: u["unit"]):
         if run and u["unit"] > run[-1]["unit"] + 2:
             close()
             run = []
         run.append(u)
     close()
+    spans: list[dict] = []
+    for start, end in sorted(ranges):
+        if spans and start <= spans[-1]["end"]:
+            spans[-1]["end"] = max(end, spans[-1]["end"])
+        else:
+            spans.append({"start": start, "end": end})
     return spans, sorted(keepers)
 
 
 def repeated_passages(docs: DataFrame, id: str, text: str, run_words: int, block_bytes: int) -> DataFrame:
     """(id, th, spans, keepers) of texts that lose a passage."""
     dealt, total = blocks.deal(docs, id, text, block_bytes)
-    shared = blocks.repeated_keys(dealt, _sketch, total * BANDS / 60)
+    shared = blocks.repeated_keys(dealt, _sketch, total * BANDS / 50)
     found = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_candidates, UNITS)
     units = materialize(found, "units")
     classes = materialize(units.groupBy("uh").agg(F.first("shingles").alias("shingles"), F.min("id").alias("first")), "classes")
@@ -378,7 +408,7 @@ def repeated_passages(docs: DataFrame, id: str, text: str, run_words: int, block
         "uh", "first", F.coalesce("root", "uh").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("first").alias("keeper")).join(rooted, "root").select("uh", "keeper")
     late = units.drop("shingles").join(keepers, "uh").where("keeper < id")
-    unit = F.struct("unit", "words", "start", "end", "keeper")
+    unit = F.struct("whole", "unit", "words", "start", "end", "keeper")
     per = late.groupBy("id", "th").agg(F.collect_list(unit).alias("units"))
 
     def runs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -428,11 +458,13 @@ def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
                      block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """One row per input row: ``id``, component_id, n_words, n_removed, spans, kept_sha256, kept_text.
 
-    Paragraphs of different documents are alike if the Jaccard of their five-word shingles is 0.8
-    or more; alike paragraphs form components, and all occurrences but those in the smallest id
-    are repeated. Runs of repeated paragraphs of ``run_words`` words or more are removed: spans
-    (start, end in characters), n_removed (words). component_id is the least id that a document
-    is connected with through passages removed from either.
+    Paragraphs (lines) of different documents are alike if the Jaccard of their five-word shingles
+    is 0.8 or more, those of fewer words if they are equal; so are the smaller units that lines are
+    cut into. Alike ones form components, and all occurrences but those in the smallest id are
+    repeated. Repeated paragraphs are removed, and so are runs of repeated units of ``run_words``
+    words or more inside others: spans (start, end in characters), n_removed (words). component_id
+    is the least id that a document is connected with through what is removed from either, thus
+    through all repeated paragraphs.
 
     Null texts give null kept_text; null, empty and blank texts lose nothing. A null id is larger
     than every other. Paragraphs that repeat within one document stay. Rows that agree in id and
