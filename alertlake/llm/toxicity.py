@@ -11,14 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertlake.llm.common import remainder
 
 SLOTS = 1 << 18          # hashed feature weights
 DOCS_PER_CLASS = 1500    # labelled documents of each class the field is fitted on; a documented bound
-MAX_CHARS = 6000         # longer documents are not chosen for fitting
+FIT_CHARS = 9_000_000    # characters of each class from which no further document is taken
 SEGMENT = 64             # words per training sequence
 THRESHOLD = 0.3
 CACHE = 200_000          # words whose emission a task remembers
@@ -213,18 +213,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id: str, text: str, labe
                  per_class: int = DOCS_PER_CLASS) -> tuple:
     """(weights, start, transitions, document coefficients) as plain values.
 
-    Fitted on at most ``per_class`` labelled documents of each class outside ``held_out``, none
-    longer than ``MAX_CHARS``, chosen by hash of the id. The class shares of all labelled
-    documents weigh the document regression, so that scores are probabilities.
+    Fitted on at most ``per_class`` labelled documents of each class outside ``held_out``, of any
+    length, in the order of a hash of the id until they have ``FIT_CHARS`` characters. The class
+    shares of all labelled documents weigh the document regression, so that scores are probabilities.
     """
     known = labels.select(F.col(label_id).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").distinct()
     usable = docs.select(F.col(id).alias("_doc"), F.length(F.col(text)).alias("_n"), held_out.alias("_held"))
-    usable = usable.where(f"_n <= {MAX_CHARS} and not coalesce(_held, false)").select("_doc").distinct()
-    known = known.join(usable, known._id == usable._doc).select("_id", "_y")
+    usable = usable.where("_n is not null and not coalesce(_held, false)").groupBy("_doc").agg(F.sum("_n").alias("_n"))
+    known = known.join(usable, known._id == usable._doc).select("_id", "_y", "_n")
     shares = dict.fromkeys((0, 1), 0) | {r._y: r["count"] for r in known.groupBy("_y").count().collect()}
-    picks = [known.where(F.col("_y") == k).orderBy(F.xxhash64("_id", F.lit(10)), "_id").limit(per_class) for k in (0, 1)]
-    chosen = F.broadcast(picks[0].unionByName(picks[1]))
-    rows = docs.join(chosen, F.col(id) == F.col("_id")).where(F.length(F.col(text)) <= MAX_CHARS)
+    known = known.withColumn("_h", F.xxhash64("_id", F.lit(10)))
+    picks = [known.where(F.col("_y") == k).orderBy("_h", "_id").limit(per_class) for k in (0, 1)]
+    before = Window.partitionBy("_y").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)  # of bounded groups
+    chosen = picks[0].unionByName(picks[1]).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    chosen = F.broadcast(chosen.where(F.col("_before") < FIT_CHARS).select("_id", "_y"))
+    rows = docs.join(chosen, F.col(id) == F.col("_id")).where(F.col(text).isNotNull())
     rows = sorted(rows.select("_id", "_y", F.col(text).alias("_t")).distinct().collect())
     texts, toxic = [r._t for r in rows], [r._y for r in rows]
     tags = labelled_tokens(texts, toxic)
