@@ -14,7 +14,7 @@ from alertlake.llm.common import raw, remainder
 
 LEVEL, CAREFUL_LEVEL = 6, 12
 PIECE = 2048        # bytes compressed at a time, so that a text cannot become its own dictionary
-DICT_BYTES = 32 << 10
+DICT_BYTES = 256 << 10  # holds all training texts of a language that has a byte or so a character
 DICT_DOCS = 200     # training documents per language at most; a documented bound
 DICT_CHARS = 1000   # of each of them go into the dictionary, so that no document fills it
 MARGIN = 0.01       # relative lead below which the cheapest language is not trusted alone
@@ -43,9 +43,13 @@ def training_texts(docs: DataFrame, *, id: str, text: str, lang: str, held_out,
 
 
 def dictionaries(texts: dict[str, bytes], size: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw dictionary content per language, all of the same length so that no language gains by size."""
-    least = min([size, *(max(len(t), 1) for t in texts.values())]) if texts else 0
-    return {lang: t[: max(least, 1)] for lang, t in sorted(texts.items())}
+    """Raw dictionary content per language, up to ``size`` bytes of its own texts.
+
+    Shorter content is repeated to the length of the longest, so that no language gains by size
+    and a rare one takes nothing from the others.
+    """
+    length = min(size, max((len(t) for t in texts.values()), default=0))
+    return {lang: (t * -(-length // len(t)))[:length] if t else b"\n" * max(length, 1) for lang, t in sorted(texts.items())}
 
 
 class Compressors:
