@@ -59,3 +59,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression: crc32 of an ASCII string, bit by bit."""
+    steps = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: [256 + ascii(({text})[i]), 0, 0, 0, 0, 0, 0, 0, 0]))"
+    turn = "case when x >= 256 then xor(c, x - 256) else xor(c >> 1, (c & 1) * 3988292384) end"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {steps}::bigint[]), lambda c, x: {turn}), 4294967295::bigint)"

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from alertlake.llm import (
-    decontaminate, language, lm, mixing, paragraphs, quality, simhash, suffixes, tokens, toxicity, urls)
+    decontaminate, language, lm, mixing, paragraphs, quality, repair, simhash, suffixes, tokens, toxicity, urls)
 from alertlake.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair; nulls count as one space, an empty table gives no rows."""
+    return repair.Repair(repair.damage(table(spark, sf_dir, "conversations")), copies="copies").report()
+
+
 def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids with end id 2, packed, read back; a null or empty text is its end id, no table no rows."""
     return tokens.store_tokens(
@@ -59,6 +64,8 @@ def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op5_quality_rules,
-        op6_lm_scoring, op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity, op12_token_output)
+        op6_lm_scoring, op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity, op11_conversation_repair, op12_token_output)
 }
-ORACLES = {"op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE}
+ORACLES = {
+    "op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE,
+    "op11_conversation_repair": repair.ORACLE}
