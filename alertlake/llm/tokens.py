@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,7 +88,10 @@ class Encoder:
         self.by_word = (
             parts["normalizer"] is None and parts["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
             and before.get("use_regex", True) and not before.get("add_prefix_space"))
-        self.split, self.model, self.memo = self.library.pre_tokenizer, self.library.model, {}
+        self.model, self.memo = self.library.model, {}
+        usual = [c for c in map(chr, range(0x2100)) if not UNUSUAL.search(c)]
+        self.bytes_of = str.maketrans({c: self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in usual}) if self.by_word else {}
+        self.code = "H" if self.width <= 16 else "I"
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -96,11 +101,10 @@ class Encoder:
         return cls._kept[path]
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():
-            pieces = [word.replace(" ", "Ġ")]
-        else:
-            pieces = [piece for piece, _ in self.split.pre_tokenize_str(word)]
-        found = np.array([token.id for piece in pieces for token in self.model.tokenize(piece)], dtype=self.dtype).tobytes()
+        ids = array(self.code, [token.id for token in self.model.tokenize(word.translate(self.bytes_of))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        found = ids.tobytes()
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
         self.memo[word] = found
