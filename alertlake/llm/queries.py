@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from alertlake.llm import (
-    decontaminate, language, lm, mixing, paragraphs, quality, repair, simhash, suffixes, tokens, toxicity, urls)
+    decontaminate, language, lm, mixing, paragraphs, quality, repair, simhash, suffixes, tokens, toxicity, trie, urls)
 from alertlake.llm.common import table
 
 
@@ -61,11 +61,17 @@ def op12_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of rebuilt conversations; nulls are empty, rows without id left out, an empty table gives no rows."""
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_benchmark_decontamination, op3_simhash_dedup, op4_source_mixing, op5_quality_rules,
-        op6_lm_scoring, op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity, op11_conversation_repair, op12_token_output)
+        op6_lm_scoring, op7_url_filter, op8_suffix_dedup, op9_language_id, op10_toxicity, op11_conversation_repair, op12_token_output,
+        op13_prefix_trie)
 }
 ORACLES = {
     "op2_benchmark_decontamination": decontaminate.ORACLE, "op4_source_mixing": mixing.ORACLE,
-    "op11_conversation_repair": repair.ORACLE}
+    "op11_conversation_repair": repair.ORACLE, "op13_prefix_trie": trie.ORACLE}
