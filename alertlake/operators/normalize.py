@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -265,14 +265,41 @@ def normalize_alerts(
     return ok, rejected
 
 
-def canonicalize(
-    df: DataFrame, *, value: str = "value", ingest_ts: str | None = None, keep: Sequence[str] = ()
-) -> tuple[DataFrame, DataFrame]:
-    """Check topic messages against the canonical schema.
+# What a field of a message may be: (JSON type, may be null). Absent fields get defaults and are never at fault.
+MESSAGE_RULES = {
+    **{name: ("STRING", False) for name in ("alert_id", "tenant_id", "source", "normalized_title")},
+    **{name: ("STRING", True) for name in (
+        "mitre_tactic", "mitre_technique", "entity_type", "device_name", "ip_address", "user_name", "file_hash", "url",
+        "domain", "category", "threat_family", "suspicion_level", "dedup_key")},
+    "timestamp": (None, False), "severity": (None, False),
+}
+
+
+def field_violations(
+    present: Callable[[str], Column], field: Callable[[str], Column], rules: Mapping[str, tuple[str | None, bool]],
+) -> list[Column]:
+    """``null:<field>`` or ``type:<field>`` where a present variant breaks its rule, else null."""
+    out = []
+    for name, (kind, nullable) in rules.items():
+        value = F.coalesce(F.schema_of_variant(field(name)), F.lit("VOID"))
+        wrong = F.lit(None).cast("string")
+        if not nullable:
+            wrong = F.when(value == "VOID", F.lit(f"null:{name}"))
+        if kind:
+            wrong = F.coalesce(wrong, F.when(~value.isin("VOID", kind), F.lit(f"type:{name}")))
+        out.append(F.when(present(name), wrong))
+    return out
+
+
+def check_messages(
+    df: DataFrame, *, value: str = "value", ingest_ts: str | None = None, rules: Mapping[str, tuple[str | None, bool]] = MESSAGE_RULES,
+) -> DataFrame:
+    """Every topic message once: the columns of ``df``, ``alert`` (null if rejected), ``reason`` and ``violations``.
 
-    Severity is capitalised, unknown top-level keys move into ``raw_data``, absent
-    fields get their defaults. Rows with bad JSON, severity or timestamp, or with a
-    ``raw_data`` that is not an object, go to the second DataFrame with a ``reason``.
+    Severity is capitalised, unknown top-level keys move into ``raw_data``, absent fields get their defaults.
+    A message is rejected for bad JSON (``invalid_json``), a severity or timestamp that is none, a ``raw_data``
+    that is not an object (empty values aside), or a field that is null or of another JSON type where
+    ``rules`` forbid it (``invalid_fields``). ``violations`` names all faults, ``reason`` the first kind.
     """
     fallback = F.col(ingest_ts).cast("timestamp") if ingest_ts else F.current_timestamp()
     doc = computed_once(df, "_m", F.from_json(F.col(value), "map<string,variant>"))
@@ -280,6 +307,9 @@ def canonicalize(
     def field(name: str) -> Column:
         return F.try_element_at(F.col("_m"), F.lit(name))
 
+    def present(name: str) -> Column:
+        return F.map_contains_key(F.col("_m"), F.lit(name))
+
     doc = doc.withColumns({
         "_severity": _text(field("severity")),
         "_severity_is_text": _is_text(field("severity")),
@@ -295,14 +325,17 @@ def canonicalize(
     stamp = F.when(F.col("_ts").isNotNull(), F.col("_parsed_ts")).otherwise(fallback)
     payload = field("raw_data")
     raw_data = F.try_variant_get(payload, "$", "map<string,variant>")
-    checked = doc.withColumn(
-        "reason",
-        F.when(F.col("_m").isNull(), "invalid_json")
-        .when(~severity.isin(*fixed.SEVERITIES), "invalid_severity")
-        .when(stamp.isNull(), "invalid_timestamp")
-        .when(payload.isNotNull() & (F.schema_of_variant(payload) != "VOID") & raw_data.isNull(), "invalid_raw_data"),
-    )
-    rejected = checked.filter(F.col("reason").isNotNull()).select(*df.columns, "reason")
+    nothing = F.to_json(payload).isin("null", '""', "0", "false", "[]")
+    faults = [
+        F.when(F.col("_m").isNull(), F.lit("invalid_json")),
+        F.when(~severity.isin(*fixed.SEVERITIES), F.lit("invalid_severity")),
+        F.when(stamp.isNull(), F.lit("invalid_timestamp")),
+        F.when(payload.isNotNull() & ~nothing & raw_data.isNull(), F.lit("invalid_raw_data")),
+    ]
+    found = F.array_compact(F.array(*faults, *field_violations(present, field, rules)))
+    checked = computed_once(doc, "violations", found)
+    first = F.get("violations", F.lit(0))
+    checked = checked.withColumn("reason", F.when(first.startswith("invalid_"), first).when(first.isNotNull(), "invalid_fields"))
     extras = F.map_filter("_m", lambda k, _: ~k.isin(*fixed.CANONICAL_FIELDS))
 
     def merged(added: Column) -> Column:
@@ -324,10 +357,17 @@ def canonicalize(
         text = _text(field(name))
         return F.coalesce(text, defaults[name]) if name in defaults else text
 
-    ok = checked.filter(F.col("reason").isNull()).select(
-        *[column(name).alias(name) for name in fixed.CANONICAL_FIELDS], *keep
-    )
-    return ok, rejected
+    alert = F.when(F.col("reason").isNull(), F.struct(*[column(name).alias(name) for name in fixed.CANONICAL_FIELDS]))
+    return checked.select(*df.columns, alert.alias("alert"), "reason", "violations")
+
+
+def canonicalize(
+    df: DataFrame, *, value: str = "value", ingest_ts: str | None = None, keep: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(canonical alerts, rejected messages with ``reason`` and ``violations``): see :func:`check_messages`."""
+    checked = check_messages(df, value=value, ingest_ts=ingest_ts)
+    ok = checked.filter(F.col("reason").isNull()).select("alert.*", *keep)
+    return ok, checked.filter(F.col("reason").isNotNull()).select(*df.columns, "reason", "violations")
 
 
 def cap_per_request(
@@ -361,7 +401,7 @@ def supported_vendors(
 
 
 __all__ = [
-    "canonicalize", "cap_per_request", "dedup_key", "extract_paths",
+    "canonicalize", "cap_per_request", "check_messages", "dedup_key", "extract_paths",
     "ingest_outcomes", "map_severity", "normalize_alerts", "normalize_vendor",
     "parse_alert_ts", "require_tenant", "resolve_envelope", "supported_vendors", "truthy_text",
 ]

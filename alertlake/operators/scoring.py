@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -68,6 +68,24 @@ def route_alerts(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return persisted, persisted.filter(~F.col("auto_closed"))
 
 
+SCORE_BOUNDS = {"ml_score": (0, 1), "risk_score": (0, 100), "asset_criticality": (0, 1), "behavioral_score": (0, 1)}
+
+
+def check_scores(
+    scored: DataFrame, bounds: Mapping[str, tuple[float, float]] = SCORE_BOUNDS
+) -> tuple[DataFrame, DataFrame]:
+    """(alerts whose scores are within bounds, the others with ``reason`` and ``violations``).
+
+    A score that is null, not a number or out of bounds is named as ``null:<score>`` or ``bounds:<score>``.
+    """
+    faults = [
+        F.when(F.col(c).isNull(), F.lit(f"null:{c}"))
+        .when(~F.col(c).cast("double").between(low, high), F.lit(f"bounds:{c}")) for c, (low, high) in bounds.items()]
+    checked = scored.withColumn("violations", F.array_compact(F.array(*faults)))
+    good = F.size("violations") == 0
+    return checked.filter(good).drop("violations"), checked.filter(~good).withColumn("reason", F.lit("invalid_scores"))
+
+
 def to_enriched(forwarded: DataFrame) -> DataFrame:
     """The 21-column output message plus an empty ``ioc_ids``; carried columns are dropped."""
     return forwarded.select(*ENRICHED_COLUMNS, F.array().cast("array<string>").alias("ioc_ids"))

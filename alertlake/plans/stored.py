@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertlake.operators import tables
-from alertlake.plans.alerts import DEDUP_TTL_SQL, SCORED_SQL, _scored
-from alertlake.plans.feeds import ATTRIBUTES_SQL, alert_attributes, table, topic_messages
+from alertlake.plans.alerts import DEDUP_TTL_SQL, NORMALIZED_SQL, SCORED_SQL, _greedy_sql, _scored
+from alertlake.plans.feeds import ATTRIBUTES_SQL, alert_attributes, table, topic_messages, vendor_payloads
 from alertlake.session import scratch_path
 from alertlake.streaming import dedup as stream_dedup
+from alertlake.streaming import ingest as stream_ingest
 from alertlake.streaming import triage as stream_triage
 
 
@@ -145,6 +146,56 @@ def dedup_stream_event(spark, sf_dir):
     return spark.read.parquet(out).select("event_id", "user_id", "event_type")
 
 
+def _days(df, low, high):
+    return df.filter(F.dayofmonth("ts").between(low, high))
+
+
+def _greedy_stream(spark, source, out, checkpoint, schema):
+    stream = spark.readStream.schema(schema).parquet(source)
+    marked = stream_dedup.dedup_stream(
+        stream, key=["user_id", "event_type"], ttl_seconds=86400, clock="event", ts="ts", id="event_id", mark=True)
+    marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
+        "append").trigger(availableNow=True).start().awaitTermination()
+
+
+def dedup_stream_expiry(spark, sf_dir):
+    """Blocks of a day end many times over a month; every seventh event of the first days comes ten days late."""
+    e = table(spark, sf_dir, "events")
+    source, out, checkpoint = (scratch_path(spark, n) for n in ("in", "out", "checkpoint"))
+    behind = (F.dayofmonth("ts") <= 5) & (F.col("event_id") % 7 == 0)
+    for part in (_days(e, 1, 10).filter(~behind), _days(e, 11, 20), _days(e, 21, 31).unionByName(e.filter(behind))):
+        part.write.mode("append").parquet(source)
+        _greedy_stream(spark, source, out, checkpoint, e.schema)
+    return spark.read.parquet(out).select("event_id", "deduplicated", "late")
+
+
+def ingest_stream(spark, sf_dir):
+    """Posted bodies in three runs -> normalised, repeats flagged, published; one row per event and fate."""
+    p = vendor_payloads(spark, sf_dir)
+    body = F.concat(
+        F.lit('{"vendor": "'), "vendor", F.lit('", "event": '), "event_id",
+        F.when(F.col("event_id") % 50 > 0, F.concat(F.lit(', "tenant_id": "'), "tenant_id", F.lit('"'))).otherwise(""),
+        F.lit(', "raw": '), "raw", F.lit("}"))
+    source, root, checkpoint = (scratch_path(spark, n) for n in ("posted", "ingest", "checkpoint"))
+    for low, high in ((1, 10), (11, 20), (21, 31)):
+        _days(p, low, high).select(body.alias("value")).write.mode("append").text(source)
+        bodies = stream_triage.read_alert_stream(spark, source="text", path=source).withColumn(
+            "event_id", F.get_json_object("value", "$.event").cast("long"))
+        stream_ingest.run_ingest_stream(
+            bodies, root=root, checkpoint=checkpoint, sink="parquet", options={"path": f"{root}/topic"}, id="event_id",
+            lateness_seconds=4 * 3600)
+    outcomes = spark.read.parquet(f"{root}/outcomes")
+    sent = spark.read.parquet(f"{root}/topic").select(
+        F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.lit(1).alias("sent"))
+    fates = outcomes.join(sent, "event_id", "full").select(
+        "event_id", "source", F.lit("accepted").alias("outcome"), F.coalesce("deduplicated", F.lit(True)).alias("repeat"),
+        F.coalesce("sent", F.lit(0)).alias("sent"))
+    rejected = spark.read.parquet(f"{root}/rejected").select(
+        "event_id", F.lit(None).cast("string").alias("source"), F.col("reason").alias("outcome"), F.lit(False).alias("repeat"),
+        F.lit(0).alias("sent"))
+    return fates.unionByName(rejected)
+
+
 def dedup_stream_processing(spark, sf_dir):
     """Wall clock: the whole run takes less than the TTL, so one row per key passes."""
     e = table(spark, sf_dir, "events")
@@ -176,9 +227,24 @@ def triage_stream(spark, sf_dir):
         F.sum(F.col("risk_score").cast("decimal(12,2)")).cast("double").alias("risk"))
 
 
+DEDUP_LATE_SQL = f"""
+WITH RECURSIVE e AS (SELECT *, day(ts) <= 5 AND event_id % 7 = 0 AS late FROM events),
+s AS (SELECT *, ts AS t FROM e WHERE NOT late),
+{_greedy_sql('s', ['user_id', 'event_type'], 'event_id', 86400)}
+SELECT event_id, event_id NOT IN (SELECT first_id FROM kept) AS deduplicated, late FROM e"""
+
+INGEST_STREAM_SQL = NORMALIZED_SQL.replace("WITH", "WITH RECURSIVE", 1) + f""",
+d AS (SELECT *, tenant_id || ':' || alert_id || ':' || normalized_title AS dk FROM n WHERE event_id % 50 > 0),
+{_greedy_sql('d', ['dk'], 'event_id')}
+SELECT event_id, source, 'accepted' AS outcome, event_id NOT IN (SELECT first_id FROM kept) AS repeat,
+  CAST(event_id IN (SELECT first_id FROM kept) AS INTEGER) AS sent FROM d
+UNION ALL
+SELECT event_id, NULL, CASE WHEN event_id % 50 = 0 THEN 'tenant_required' ELSE 'unsupported_vendor' END, false, 0
+FROM a WHERE event_id % 50 = 0 OR vendor = 'QRadar'"""
+
 QUERIES = {f.__name__: f for f in (
     upsert_alerts, update_scores, get_alert, upsert_summaries, active_model, latest_finished_run, retention_report,
-    risk_queue, dedup_stream_event, dedup_stream_processing, triage_stream)}
+    risk_queue, dedup_stream_event, dedup_stream_expiry, dedup_stream_processing, ingest_stream, triage_stream)}
 
 ORACLES = {
     "upsert_alerts": UPSERT_SQL,
@@ -194,6 +260,8 @@ ORACLES = {
     "risk_queue": f"WITH {STORED_SQL} SELECT event_id, alert_id, CASE WHEN event_id % 4 > 0 THEN risk_score END AS risk_score FROM x "
                   "WHERE tenant_id = 'tenant-1' AND status = 'Triaged' ORDER BY 3 DESC NULLS LAST, alert_id, event_id LIMIT 500",
     "dedup_stream_event": DEDUP_TTL_SQL,
+    "dedup_stream_expiry": DEDUP_LATE_SQL,
+    "ingest_stream": INGEST_STREAM_SQL,
     "dedup_stream_processing": "SELECT user_id, event_type, count(*) AS alerts, count(*) - 1 AS repeats FROM events GROUP BY ALL",
     "triage_stream": f"WITH {SCORED_SQL} SELECT tenant_id, 'Triaged' AS status, grade AS incident_grade, count(*) AS alerts, count(*) AS sent, "
                      "CAST(sum(CAST(risk AS DECIMAL(12,2))) AS DOUBLE) AS risk FROM g GROUP BY ALL",

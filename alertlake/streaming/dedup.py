@@ -21,10 +21,11 @@ def use_rocksdb_state(spark: SparkSession) -> None:
 
 
 class FirstWithinTtl(StatefulProcessor):
-    """Keeps one number per key: the time of the last accepted row.
+    """Keeps one number per key: the time of the last accepted row, until it can block no more.
 
-    With ``event_time`` the rows of a key within one trigger are ordered by time
-    and id; otherwise arrival order and the expiry of the state decide.
+    On the event clock the rows of a key within one trigger are ordered by time and id, and a timer drops
+    the number once the watermark has passed the end of the block: every row that is not late is then free.
+    On the processing clock arrival order and the time to live of the state decide.
     """
 
     def __init__(self, ttl_us: int, event_time: bool, mark: bool, columns: Sequence[str]):
@@ -32,33 +33,60 @@ class FirstWithinTtl(StatefulProcessor):
         self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = None if self.event_time else self.ttl_us // 1000
-        self.last = handle.getValueState("last", "t bigint", ttl)
+        self.handle = handle
+        self.last = handle.getValueState("last", "t bigint", None if self.event_time else self.ttl_us // 1000)
+
+    def _end_ms(self, last: int) -> int:
+        return -(-(last + self.ttl_us) // 1000)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         known = self.last.get()
-        last = None if known is None else known[0]
+        last = before = None if known is None else known[0]
         chunks = (chunk.set_axis(self.columns, axis=1) for chunk in rows)  # names of computed columns are not kept
         if self.event_time:
-            chunks = [pd.concat(list(chunks)).sort_values(["_t", "_id"], kind="stable")]
-        for chunk in chunks:
-            times, before = chunk["_t"].to_numpy(), last
-            passed = np.zeros(len(times), dtype=bool)
-            if self.event_time:  # one step per row that passes
-                i = 0 if last is None else int(np.searchsorted(times, last + self.ttl_us))
-                while i < len(times):
-                    passed[i], last = True, int(times[i])
-                    i = int(np.searchsorted(times, last + self.ttl_us))
-            elif last is None and len(times):  # the first row blocks all others of the trigger
-                passed[0], last = True, int(times[0])
+            chunks = list(chunks)
+            watermark = timerValues.getCurrentWatermarkInMs() * 1000
+            late = [chunk["_t"].to_numpy() < watermark for chunk in chunks]
+            passed, last = self._in_time(chunks, late, last)
             if last != before:
                 self.last.update((last,))
-            out = chunk.drop(columns=["_t", "_id"]).astype({
-                c: object for c in chunk.columns if pd.api.types.is_string_dtype(chunk[c]) and c not in ("_t", "_id")})
-            if self.mark:
-                yield out.assign(deduplicated=~passed)
-            else:
-                yield out[passed]
+                if before is not None:
+                    self.handle.deleteTimer(self._end_ms(before))
+                self.handle.registerTimer(self._end_ms(last))
+            for chunk, free, behind in zip(chunks, passed, late):
+                yield self._rows(chunk, free, behind)
+            return
+        for chunk in chunks:
+            free = np.zeros(len(chunk), dtype=bool)
+            if last is None and len(chunk):  # the first row blocks all others of the trigger
+                free[0], last = True, 0
+                self.last.update((last,))
+            yield self._rows(chunk, free, np.zeros(len(chunk), dtype=bool))
+
+    def _in_time(self, chunks: list[pd.DataFrame], late: list[np.ndarray], last: int | None) -> tuple[list[np.ndarray], int | None]:
+        """Which rows pass: one step per row that passes, over the sorted times of this trigger."""
+        order = pd.concat([
+            pd.DataFrame({"t": chunk["_t"].to_numpy(), "id": chunk["_id"], "chunk": i, "row": np.arange(len(chunk))})[~behind]
+            for i, (chunk, behind) in enumerate(zip(chunks, late))]).sort_values(["t", "id"], kind="stable")
+        times, passed = order["t"].to_numpy(), [np.zeros(len(chunk), dtype=bool) for chunk in chunks]
+        at = 0 if last is None else int(np.searchsorted(times, last + self.ttl_us))
+        while at < len(times):
+            passed[order["chunk"].iat[at]][order["row"].iat[at]], last = True, int(times[at])
+            at = int(np.searchsorted(times, last + self.ttl_us))
+        return passed, last
+
+    def _rows(self, chunk: pd.DataFrame, passed: np.ndarray, late: np.ndarray) -> pd.DataFrame:
+        out = chunk.drop(columns=["_t", "_id", "_clock"], errors="ignore")
+        out = out.astype({c: object for c in out.columns if pd.api.types.is_string_dtype(out[c])})
+        if not self.mark:
+            return out[passed]
+        return out.assign(deduplicated=~passed, late=late) if self.event_time else out.assign(deduplicated=~passed)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        known = self.last.get()
+        if known is not None and self._end_ms(known[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
@@ -66,27 +94,46 @@ class FirstWithinTtl(StatefulProcessor):
 
 def dedup_stream(
     df: DataFrame, *, key: Sequence[str], ttl_seconds: int = 3600, clock: str = "processing",
-    ts: str | None = None, id: str | None = None, mark: bool = False,
+    ts: str | None = None, id: str | None = None, mark: bool = False, lateness_seconds: int = 3600,
 ) -> DataFrame:
-    """First row of a key passes and blocks the key for the TTL.
+    """First row of a key passes and blocks the key for the TTL; blocked rows do not extend the block.
 
     ``clock="processing"``: the block lasts TTL on the wall clock, exact but not
     repeatable. Bounded runs (``availableNow``) need
-    ``spark.sql.streaming.noDataMicroBatches.enabled=false`` to end. ``clock="event"``: same rule on ``ts``; repeatable when rows
-    arrive in time order, late rows count as blocked. ``clock="watermark"``: the
-    built-in dedup; state is dropped by the watermark, so a key may stay blocked
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false`` to end.
+
+    ``clock="event"``: same rule on ``ts``, repeatable. The watermark trails the newest ``ts`` by
+    ``lateness_seconds``; state of a key goes when the watermark passes the end of its block. Rows behind
+    the watermark are late: they can no longer be judged, so they do not pass and block nothing; ``mark``
+    returns them with ``late``. Rows without a time are late. A trigger's rows of one key are held in one
+    task, so bound the trigger at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+
+    ``clock="watermark"``: the built-in dedup; state is dropped by the watermark, so a key may stay blocked
     longer than the TTL.
+
+    ``mark`` keeps every row and adds ``deduplicated`` (and ``late`` on the event clock).
     """
     if clock == "watermark":
         return df.withWatermark(ts, f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(list(key))
     event = clock == "event"
     use_rocksdb_state(df.sparkSession)
-    micros = F.unix_micros(F.col(ts).cast("timestamp")) if event else F.lit(0).cast("long")
-    keyed = df.withColumns({"_t": micros, "_id": F.col(id) if id else F.lit(0)})
     fields = list(df.schema.fields)
     if mark:
         fields.append(T.StructField("deduplicated", T.BooleanType()))
+    identity = F.col(id) if id else F.lit(0)
+    if event:
+        if mark:
+            fields.append(T.StructField("late", T.BooleanType()))
+        watched = df.withColumn("_clock", F.col(ts).cast("timestamp")).withWatermark("_clock", f"{lateness_seconds} seconds")
+        # The watermark is taken from the column above; rows behind it must reach the state to be flagged,
+        # so the column that Spark would filter by holds no past time.
+        delay = watched.schema["_clock"].metadata
+        keyed = watched.withColumns({
+            "_t": F.coalesce(F.unix_micros("_clock"), F.lit(-(2**62)).cast("long")), "_id": identity,
+            "_clock": F.lit("2262-01-01").cast("timestamp")}).withMetadata("_clock", delay or {"spark.watermarkDelayMs": lateness_seconds * 1000})
+    else:
+        keyed = df.withColumns({"_t": F.lit(0).cast("long"), "_id": identity})
     return keyed.groupBy(*key).transformWithStateInPandas(
         statefulProcessor=FirstWithinTtl(int(ttl_seconds) * 1_000_000, event, mark, keyed.columns),
         outputStructType=T.StructType(fields), outputMode="Append",
-        timeMode="None" if event else "ProcessingTime")
+        timeMode="EventTime" if event else "ProcessingTime")
