@@ -167,5 +167,5 @@ def score_boosted(df: DataFrame, models: Sequence[PipelineModel]) -> DataFrame:
     out = out.withColumn("probabilities", F.transform(probs, lambda p: F.try_divide(p, total)))
     return out.withColumns({
         "prediction": (F.array_position("probabilities", F.array_max("probabilities")) - 1).cast("double"),
-        "ml_score": F.round(F.element_at("probabilities", -1), 6),
+        "ml_score": F.element_at("probabilities", -1),
     }).drop(*[f"_p{k}" for k in range(len(models))])

@@ -193,6 +193,40 @@ CANONICALIZE_OUTCOMES_SQL = """SELECT event_id, CASE event_id % 6 WHEN 1 THEN 'i
   WHEN 3 THEN 'invalid_severity' WHEN 5 THEN 'invalid_raw_data' ELSE 'accepted' END AS outcome FROM events"""
 
 
+def canonicalize_strict(spark, sf_dir):
+    """Null, wrongly typed and well-formed fields: every message is kept or rejected with all its faults."""
+    odd = F.pmod("event_id", F.lit(8))
+    body = (
+        F.when(odd == 0, F.lit('"alert_id": null')).when(odd == 1, F.lit('"tenant_id": 7, "url": ["u"]'))
+        .when(odd == 2, F.lit('"severity": null')).when(odd == 3, F.lit('"url": null, "domain": null'))
+        .when(odd == 4, F.lit('"raw_data": []')).when(odd == 5, F.lit('"category": true, "severity": "odd"'))
+        .when(odd == 6, F.lit('"timestamp": null')).otherwise(F.concat(F.lit('"source": "'), "event_type", F.lit('"'))))
+    messages = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), body, F.lit("}")).alias("value"))
+    return normalize.check_messages(messages).select(
+        "event_id", F.col("alert").isNotNull().alias("kept"), "reason", F.array_join("violations", ",").alias("faults"))
+
+
+CANONICALIZE_STRICT_SQL = """
+WITH f AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'null:alert_id' WHEN 1 THEN 'type:tenant_id,type:url' WHEN 2 THEN 'null:severity'
+  WHEN 5 THEN 'invalid_severity,type:category' WHEN 6 THEN 'null:timestamp' ELSE '' END AS faults FROM events)
+SELECT event_id, faults = '' AS kept, CASE WHEN faults = '' THEN NULL WHEN faults LIKE 'invalid%' THEN 'invalid_severity'
+  ELSE 'invalid_fields' END AS reason, faults FROM f"""
+
+
+def score_bounds(spark, sf_dir):
+    """Scores inside, outside and missing: kept and rejected rows together are the input."""
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 5 > 0, F.col("value") / 100).alias("ml_score"), (F.col("value") * 2).alias("risk_score"),
+        F.lit(0.5).alias("asset_criticality"), F.lit(1.0).alias("behavioral_score"))
+    ok, bad = scoring.check_scores(rows)
+    return ok.select("event_id", F.lit("").alias("faults")).unionByName(bad.select("event_id", F.array_join("violations", ",").alias("faults")))
+
+
+SCORE_BOUNDS_SQL = """
+SELECT event_id, concat_ws(',', CASE WHEN event_id % 5 = 0 THEN 'null:ml_score' WHEN value / 100 NOT BETWEEN 0 AND 1 THEN 'bounds:ml_score' END,
+  CASE WHEN value * 2 NOT BETWEEN 0 AND 100 THEN 'bounds:risk_score' END) AS faults FROM events"""
+
+
 def normalize_odd_numbers(spark, sf_dir):
     """Numbers beyond any range give the default severity and the ingest time."""
     odd = F.pmod("event_id", F.lit(3))
@@ -463,7 +497,8 @@ SELECT lang, CASE WHEN hit THEN 'TruePositive' ELSE 'FalsePositive' END AS grade
 
 QUERIES = {f.__name__: f for f in (
     normalize_alerts, severity_distribution, rejected_vendors, supported_vendors, resolve_envelope,
-    require_tenant, canonicalize_extra_keys, canonicalize_rejected, canonicalize_outcomes, normalize_odd_numbers,
+    require_tenant, canonicalize_extra_keys, canonicalize_rejected, canonicalize_outcomes, canonicalize_strict,
+    score_bounds, normalize_odd_numbers,
     cap_per_request, cap_dropped,
     ingest_outcomes, dedup_exact, dedup_ttl_batch, dedup_ttl_hot_keys, score_once_per_content,
     heuristic_score, asset_criticality, behavioral_score, risk_score, grade_override,
@@ -480,6 +515,8 @@ ORACLES = {
     "canonicalize_extra_keys": CANONICALIZE_SQL,
     "canonicalize_rejected": CANONICALIZE_REJECTED_SQL,
     "canonicalize_outcomes": CANONICALIZE_OUTCOMES_SQL,
+    "canonicalize_strict": CANONICALIZE_STRICT_SQL,
+    "score_bounds": SCORE_BOUNDS_SQL,
     "normalize_odd_numbers": "SELECT event_id, 'Medium' AS severity, ts AS timestamp FROM events",
     "cap_per_request": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id FROM r WHERE pos <= 10",
     "cap_dropped": f"WITH {REQUESTS_SQL} SELECT event_type, week, event_id, 'over_request_cap' AS reason FROM r WHERE pos > 10",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.operators import evaluation, features, normalize, scoring, training
+from alertlake.operators import boosting, evaluation, features, normalize, scoring, training
 from alertlake.plans.feeds import ATTRIBUTES_SQL, alert_attributes, table, topic_messages
 
 GRADE_OF_STATUS = {"F": "BenignPositive", "O": "FalsePositive", "P": "TruePositive"}
@@ -331,10 +331,8 @@ WHERE u.role = 'user' AND r.role = 'assistant' AND u.conv_id % 10 <> 0 AND trim(
 
 
 def rouge1_rouge2(spark, sf_dir):
-    pairs = _turn_pairs(spark, sf_dir)
-    args = {"id": "pair", "prediction": "prediction", "reference": "reference"}
-    one, two = (evaluation.rouge_n(pairs, n=n, **args) for n in (1, 2))
-    return one.join(two, "pair").select("pair", F.round("rouge1", 9).alias("rouge1"), F.round("rouge2", 9).alias("rouge2"))
+    scored = evaluation.rouge_scores(_turn_pairs(spark, sf_dir), prediction="prediction", reference="reference", stem=False)
+    return scored.select("pair", F.round("rouge1", 9).alias("rouge1"), F.round("rouge2", 9).alias("rouge2"))
 
 
 ROUGE_SQL = """
@@ -355,9 +353,47 @@ SELECT t.pair, round(coalesce(2 * a.hit / nullif(len(p) + len(r), 0), 0)::DOUBLE
 FROM t LEFT JOIN o a ON a.pair = t.pair AND a.n = 1 LEFT JOIN o b ON b.pair = t.pair AND b.n = 2"""
 
 
+def rouge_l(spark, sf_dir):
+    """ROUGE-L of each pair, without stemming."""
+    scored = evaluation.rouge_scores(_turn_pairs(spark, sf_dir), prediction="prediction", reference="reference", stem=False)
+    return scored.select("pair", F.round("rougeL", 9).alias("rougeL"))
+
+
 def rouge_means(spark, sf_dir):
-    """ROUGE-1/2/L means; the LCS runs in Arrow batches (checked by brute force in tests)."""
-    return evaluation.rouge(_turn_pairs(spark, sf_dir), id="pair", prediction="prediction", reference="reference")
+    """Means of all three measures, without stemming."""
+    return evaluation.rouge(_turn_pairs(spark, sf_dir), prediction="prediction", reference="reference", stem=False).select(
+        "metric", F.round("mean_f", 9).alias("mean_f"))
+
+
+def rouge_stemmed(spark, sf_dir):
+    """Stemming can only merge tokens, so ROUGE-1 does not fall; one row per pair says whether it held."""
+    scored = _turn_pairs(spark, sf_dir).select("pair", "prediction", "reference")
+    for name, stem in (("plain", False), ("stemmed", True)):
+        scored = evaluation.rouge_scores(scored, prediction="prediction", reference="reference", stem=stem).withColumnRenamed(
+            "rouge1", name).drop("rouge2", "rougeL")
+    return scored.select("pair", (F.col("stemmed") >= F.col("plain") - 1e-12).alias("holds"))
+
+
+# One row of the table of common lengths per token of the prediction; each is a running maximum.
+_LCS_SQL = """
+t AS (SELECT u.conv_id || '-' || u.turn AS pair,
+    list_filter(regexp_split_to_array(lower(p.text), '[^a-z0-9]+'), lambda x: x <> '') AS p,
+    list_filter(regexp_split_to_array(lower(u.text), '[^a-z0-9]+'), lambda x: x <> '') AS r
+  FROM conversations u JOIN conversations p ON u.conv_id = p.conv_id AND p.turn = u.turn + 1
+  WHERE u.role = 'user' AND p.role = 'assistant'),
+l AS (
+  SELECT pair, p, r, 0 AS i, list_transform(r, lambda x: 0) AS have FROM t
+  UNION ALL
+  SELECT pair, p, r, i + 1, list_transform(range(1, len(r) + 1), lambda j: list_max(list_slice(
+      list_transform(range(1, len(r) + 1), lambda k: CASE WHEN r[k] = p[i + 1] THEN (CASE WHEN k = 1 THEN 0 ELSE have[k - 1] END) + 1
+        ELSE have[k] END), 1, j)))
+  FROM l WHERE i < len(p)),
+rl AS (SELECT pair, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0::DOUBLE
+    ELSE 2.0::DOUBLE * have[len(r)] / (len(p) + len(r)) END AS v FROM l WHERE i = len(p))"""
+ROUGE_L_SQL = f"WITH RECURSIVE {_LCS_SQL} SELECT pair, round(v, 9) AS \"rougeL\" FROM rl"
+ROUGE_MEANS_SQL = f"""WITH RECURSIVE {_LCS_SQL}, n AS ({ROUGE_SQL})
+SELECT 'rouge1' AS metric, round(avg(rouge1), 9) AS mean_f FROM n UNION ALL SELECT 'rouge2', round(avg(rouge2), 9) FROM n
+UNION ALL SELECT 'rougeL', round(avg(v), 9) FROM rl"""
 
 
 # ------------------------------------------------------------------------ models
@@ -378,6 +414,22 @@ def score_alerts_mllib(spark, sf_dir):
         F.count(F.lit(1)).alias("orders"), F.min("ml_score").alias("low"), F.max("ml_score").alias("high"))
 
 
+def boosted_grades(spark, sf_dir):
+    """Softmax boosting with balanced weights: loss per round falls, probabilities sum to one, all rows are scored."""
+    rows = training.balanced_weights(_order_features(spark, sf_dir), label="label")
+    parts = training.hash_split(rows, key="o_orderkey", test=0.2)
+    model = boosting.fit_softmax_trees(
+        parts.filter(F.col("split") == "train"), features=["o_totalprice", "month", "nation"], weight="weight", rounds=6,
+        depth=4, rate=0.3, colsample=1.0)
+    falls = all(a[0] > b[0] for a, b in zip(model.history, model.history[1:])) and len(model.history) > 1
+    scored = boosting.score_softmax_trees(parts, model)
+    whole = F.abs(F.aggregate("probabilities", F.lit(0.0), lambda s, p: s + p) - 1) < 1e-9
+    return scored.groupBy("split", F.col("label").cast("int").alias("label")).agg(
+        F.count(F.lit(1)).alias("orders"), F.round(F.sum("weight"), 6).alias("weight"),
+        F.count(F.when(whole & F.col("ml_score").between(0, 1) & F.col("prediction").between(0, 2), 1)).alias("scored"),
+        F.lit(falls).alias("loss_falls"))
+
+
 def external_model(spark, sf_dir):
     """A predictor loaded once per task and applied to Arrow batches."""
     rows = _order_features(spark, sf_dir).select("o_orderkey", "o_totalprice", "nation")
@@ -394,6 +446,14 @@ def external_model(spark, sf_dir):
     ).select("o_orderkey", F.round("ml_score", 9).alias("ml_score"))
 
 
+BOOSTED_SQL = """
+WITH g AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label,
+    md5('42:' || o_orderkey) AS h FROM orders JOIN customer ON o_custkey = c_custkey),
+w AS (SELECT *, count(*) OVER () / ((SELECT count(DISTINCT label) FROM g) * count(*) OVER (PARTITION BY label)) AS weight FROM g)
+SELECT CASE WHEN ('0x' || substr(h, 1, 8))::BIGINT % 10000 < 2000 THEN 'test' ELSE 'train' END AS split, label,
+  count(*) AS orders, round(sum(weight), 6) AS weight, count(*) AS scored, true AS loss_falls FROM w GROUP BY ALL"""
+
+
 def _md5(text: str) -> str:
     import hashlib
     return hashlib.md5(text.encode()).hexdigest()
@@ -404,7 +464,7 @@ QUERIES = {f.__name__: f for f in (
     target_encoder_fit, target_encoder_apply, target_encoder_apply_large, hash_encode, feature_matrix,
     dataset_profile, balanced_weights, classification_report, confusion_matrix, class_capped_sample,
     seeded_shuffle, hash_split, head_per_group, chat_rows_triage, chat_rows_summary, rouge1_rouge2,
-    rouge_means, score_alerts_mllib, external_model)}
+    rouge_l, rouge_means, rouge_stemmed, score_alerts_mllib, boosted_grades, external_model)}
 
 _SHUFFLE = "md5('42:' || doc_id)"
 ORACLES = {
@@ -436,6 +496,11 @@ ORACLES = {
     "chat_rows_triage": CHAT_TRIAGE_SQL.replace("{triage_md5}", _md5(fixed.TRIAGE_SYSTEM)).replace("{{", "{").replace("}}", "}"),
     "chat_rows_summary": CHAT_SUMMARY_SQL.replace("{summary_md5}", _md5(fixed.SUMMARY_SYSTEM)),
     "rouge1_rouge2": ROUGE_SQL,
+    "rouge_l": ROUGE_L_SQL,
+    "rouge_means": ROUGE_MEANS_SQL,
+    "rouge_stemmed": "SELECT u.conv_id || '-' || u.turn AS pair, true AS holds FROM conversations u JOIN conversations p "
+                     "ON u.conv_id = p.conv_id AND p.turn = u.turn + 1 WHERE u.role = 'user' AND p.role = 'assistant'",
+    "boosted_grades": BOOSTED_SQL,
     "external_model": "SELECT o_orderkey, round(o_totalprice / 500000.0::DOUBLE + c_nationkey * 0.01::DOUBLE, 9) AS ml_score "
                       "FROM orders JOIN customer ON o_custkey = c_custkey",
 }
