@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake import session
+from alertlake.session import release  # noqa: F401
 
 # ASCII white space of the word definition [^\x20\x09-\x0D]+; bytes.split() without an argument
 # separates at exactly these bytes, and bytes.lower() changes A-Z only.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.session import materialize
+from alertlake.session import materialize, release
 
 
 def _stars(sym: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = _stars(large)
         # A link (u, v), v < u, becomes (v, m) and (u, m).
         ends = small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = materialize(ends.where("u > v").distinct(), "links")
+        last, now = now, materialize(ends.where("u > v").distinct(), "links")
+        release(last)
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.llm import blocks
-from alertlake.llm.common import materialize, raw
+from alertlake.llm.common import materialize, release, raw
 
 LENGTH, GRAM = 50, 24
 BEFORE = LENGTH - GRAM          # bytes of a context before its anchor
@@ -293,17 +293,26 @@ class _Answers:
         value = np.concatenate([np.zeros(0, np.int64), *map(blocks.unpack_ints, rows["value"])])
         mixed = self._mixed(keys, other)
         order = np.argsort(mixed)
-        self.mixed, self.value = mixed[order], value[order]
+        self.mixed, self.keys, self.other, self.value = mixed[order], keys[order], other[order] if kind else None, value[order]
+        runs = np.diff(np.nonzero(np.concatenate([[True], self.mixed[1:] != self.mixed[:-1], [True]]))[0]) if len(mixed) else [0]
+        self.longest = int(max(runs))  # entries with one mixed hash; more than 1 by chance only
 
     def _mixed(self, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
         return _mix(other * M2) ^ keys if self.kind else keys
 
     def get(self, keys: np.ndarray, other: np.ndarray, default: int) -> np.ndarray:
-        asked = self._mixed(keys, other)
+        """Values by key (and, for a context, the other hash): found by a mixed hash, then compared in full."""
+        asked, out = self._mixed(keys, other), np.full(len(keys), default, np.int64)
         if not len(self.mixed):
-            return np.full(len(asked), default, np.int64)
-        i = np.minimum(np.searchsorted(self.mixed, asked), len(self.mixed) - 1)
-        return np.where(self.mixed[i] == asked, self.value[i], default)
+            return out
+        first = np.searchsorted(self.mixed, asked)
+        for step in range(self.longest):
+            i = np.minimum(first + step, len(self.mixed) - 1)
+            same = self.keys[i] == keys
+            if self.kind:
+                same &= self.other[i] == other
+            out = np.where(same, self.value[i], out)
+        return out
 
 
 def _settle(key: tuple, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -391,6 +400,7 @@ def repeated_ranges(docs: DataFrame, id: str, text: str, hot: int = HOT, block_b
     by_block = candidates.repartition(int(spread), "block")
     answers = _least_documents(by_block, total, hot)
     settled = materialize(by_block.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_settle, SETTLED), "settled")
+    release(candidates)
     whole = settled.where("kind = 0").select("id", "th", "spans")
     open_ = settled.where("kind = 1").select("h", "id", "th", "at", "text")
     indexed = open_.repartition(int(spread), "h").sortWithinPartitions("h", "id", "at").mapInPandas(_index, "id long, th long, spans binary")
@@ -401,7 +411,9 @@ def repeated_ranges(docs: DataFrame, id: str, text: str, hot: int = HOT, block_b
         "id", "th", F.struct("at", (F.col("at") + LENGTH).alias("end")).alias("span"))
     late = late.groupBy("id", "th").agg(F.collect_list("span").alias("list"))
     pack = F.pandas_udf(lambda s: s.map(lambda x: np.array([(v["at"], v["end"]) for v in x], np.int64).tobytes()), "binary")
-    return whole.unionByName(indexed).unionByName(late.select("id", "th", pack("list").alias("spans")))
+    found = materialize(whole.unionByName(indexed).unionByName(late.select("id", "th", pack("list").alias("spans"))), "ranges")
+    release(settled)
+    return found
 
 
 def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", texts: bool = False, **limits: int) -> DataFrame:
@@ -415,7 +427,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", t
     bits of hash agree; indexed contexts are compared byte by byte. ``limits`` (hot, block_bytes)
     change the grouping of the work, not the result.
     """
-    found = materialize(repeated_ranges(docs, id, text, **limits), "ranges")
+    found = repeated_ranges(docs, id, text, **limits)
     per = found.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list("spans").alias("_spans"))
     rows = docs.select(
         F.col(id).alias(id), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumns(
