@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import SPACES, ends_sentence, let, match_spans, sentences, strip, word_count, words
+from alertlake.functions.text import SPACES, ends_sentence, let, sentences, strip, word_count
 
-CLAUSE_BREAK = rf"[,;:][{SPACES}]+"
 MIN_WORDS = 4
 
 
@@ -28,6 +30,68 @@ def _bare(c: Column, drop: str = ",;:") -> Column:
     return F.regexp_replace(strip(c), rf"[{re.escape(drop)}]+\z", "")
 
 
+class Source:
+    """A normalised text that answers whether it holds another, by the places of its word pairs.
+
+    Text of four or more words is looked for where its second and third word stand together; shorter text
+    directly. The places are gathered once for each source.
+    """
+
+    def __init__(self, norm: str):
+        self.norm, self.words, self.places = norm, set(norm.split(" ")), None
+
+    def _at(self, pair: tuple[str, str]) -> list[int]:
+        if self.places is None:
+            self.places, at, before = {}, 0, None
+            for word in self.norm.split(" "):
+                if before is not None:
+                    self.places.setdefault((before, word), []).append(at - len(before) - 1)
+                at, before = at + len(word) + 1, word
+        return self.places.get(pair, [])
+
+    def holds(self, norm: str) -> bool:
+        parts = norm.split(" ", 3)
+        if len(parts) < 4:
+            return norm in self.norm
+        back = len(parts[0]) + 1
+        return any(p >= back and self.norm.startswith(norm, p - back) for p in self._at((parts[1], parts[2])))
+
+
+def _normal(text: str) -> str:
+    return " ".join(re.sub(r"[^a-z0-9\s]", "", text.lower()).split())
+
+
+def _trimmed(sentence: str, source: Source) -> str | None:
+    s = sentence.strip()
+    norm = _normal(s)
+    if not norm or source.holds(norm):
+        return s if norm else None
+    end = s[-1] if s[-1] in ".!?" else "."
+
+    def ended(c: str) -> str:
+        return c if c.endswith((".", "!", "?")) else c + end
+
+    for cut in reversed([m.start() for m in re.finditer(r"[,;:]\s+", s)]):
+        clause = s[:cut].strip().rstrip(",;:")
+        n = _normal(clause)
+        if n.count(" ") + 1 >= MIN_WORDS and n and source.holds(n):
+            return ended(clause)
+    words_of = s.split()
+    norms = [_normal(w) for w in words_of]
+    low, high = MIN_WORDS - 1, len(words_of) - 1
+    while low < high:  # leading words fit up to some number
+        middle = (low + high + 1) // 2
+        if source.holds(" ".join(n for n in norms[:middle] if n)):
+            low = middle
+        else:
+            high = middle - 1
+    return ended(" ".join(words_of[:low]).strip().rstrip(",;:")) if low >= MIN_WORDS else None
+
+
+def _trim_each(found: pd.Series, norms: pd.Series) -> pd.Series:
+    return pd.Series([None if s is None or n is None else _trimmed(s, Source(n)) for s, n in zip(found, norms)], dtype=object)
+
+
 def trim_to_source(sentence: Column, source_norm: Column) -> Column:
     """Longest part of a sentence, from its start, that occurs in the source; else null.
 
@@ -35,42 +99,7 @@ def trim_to_source(sentence: Column, source_norm: Column) -> Column:
     four words), else as many leading words as fit (at least four). Words fit
     monotonically, so their number is found by bisection.
     """
-
-    def trimmed(s: Column) -> Column:
-        last = F.substring(s, -1, 1)
-        punctuation = F.when(last.isin(".", "!", "?"), last).otherwise(".")
-        cuts = F.reverse(F.transform(
-            match_spans(s, CLAUSE_BREAK), lambda m: _bare(F.substr(s, F.lit(1), m["start"]))))
-        clause = F.get(F.filter(cuts, lambda c: let(normalize_grounding(c), lambda n: (
-            (word_count(n) >= MIN_WORDS) & F.contains(source_norm, n)))), F.lit(0))
-
-        def by_words(w: Column) -> Column:
-            norms = F.transform(w, normalize_grounding)
-
-            def bisect(nw: Column) -> Column:
-                def fits(k: Column) -> Column:
-                    return F.contains(source_norm, F.array_join(F.filter(F.slice(nw, F.lit(1), k), lambda x: x != ""), " "))
-
-                def step(a: Column, _: Column) -> Column:
-                    mid = ((a["lo"] + a["hi"] + 1) / 2).cast("int")
-                    return F.when(a["lo"] >= a["hi"], a).otherwise(let(mid, lambda m: F.when(
-                        fits(m), F.struct(m.alias("lo"), a["hi"].alias("hi"))).otherwise(
-                        F.struct(a["lo"].alias("lo"), (m - 1).alias("hi")))))
-
-                start = F.struct(F.lit(MIN_WORDS - 1).alias("lo"), (F.size(nw) - 1).alias("hi"))
-                return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step, lambda a: a["lo"])
-
-            kept = F.when(F.size(w) > MIN_WORDS, let(norms, bisect))
-            return let(kept, lambda k: F.when(
-                k >= MIN_WORDS, _bare(F.array_join(F.slice(w, F.lit(1), k), " "))))
-
-        def choose(norm: Column) -> Column:
-            return F.when(norm == "", F.lit(None).cast("string")).when(F.contains(source_norm, norm), s).otherwise(
-                let(F.coalesce(clause, let(words(s), by_words)), lambda c: _closed(c, punctuation)))
-
-        return let(normalize_grounding(s), choose)
-
-    return let(strip(sentence), trimmed)
+    return F.pandas_udf(_trim_each, "string")(sentence, source_norm)
 
 
 def lead_summary(text: Column, max_chars: int = 300) -> Column:
@@ -98,44 +127,39 @@ def _without_prefixes(summary: Column) -> Column:
     return out
 
 
+def _grounded(found: Sequence[str], norm: str) -> str | None:
+    """The kept sentences of one summary; what follows the first stop is not looked at."""
+    source, kept, seen = Source(norm), [], {}
+    for sentence in found:
+        text = _trimmed(sentence, source) or sentence
+        own = set(_normal(text).split())
+        if not own:
+            continue
+        shared = Counter(i for word in own for i in seen.get(word, ()))
+        drifts = kept and 2 * len(own & source.words) < len(own)
+        if drifts or any(2 * n > len(own) for n in shared.values()):
+            break
+        for word in own:
+            seen.setdefault(word, []).append(len(kept))
+        kept.append(text)
+    return " ".join(kept) if kept else None
+
+
+def _ground_each(found: pd.Series, norms: pd.Series) -> pd.Series:
+    return pd.Series([
+        None if s is None or n is None else _grounded(s, n) for s, n in zip(found, norms)], dtype=object)
+
+
 def clean_summary(summary: Column, source: Column) -> Column:
     """Keep the grounded, non-repeating sentences from the start of a summary.
 
     Each sentence is first cut to its grounded part. Clean-up stops at a sentence
     that shares more than half its words with an earlier one, or has fewer than
     half of its words in the source (never at the first). Nothing kept -> lead
-    sentences of the source.
+    sentences of the source. The source is indexed once, so the time grows with
+    source plus summary.
     """
-    acc_type = "struct<kept:array<string>,seen:array<array<string>>,stop:boolean>"
-
-    def run(norm: Column) -> Column:
-        source_words = F.array_distinct(F.split(norm, " "))
-
-        def judged(vocabulary: Column) -> Column:
-            def candidate(s: Column) -> Column:
-                return let(F.coalesce(trim_to_source(s, norm), s), lambda c: let(
-                    F.array_distinct(words(normalize_grounding(c))), lambda w: F.struct(
-                        c.alias("text"), w.alias("words"),
-                        F.size(F.array_intersect(w, vocabulary)).alias("grounded"))))
-
-            return F.transform(sentences(_without_prefixes(summary)), candidate)
-
-        zero = F.struct(F.array().cast("array<string>").alias("kept"),
-                        F.array().cast("array<array<string>>").alias("seen"), F.lit(False).alias("stop"))
-
-        def step(a: Column, c: Column) -> Column:
-            repeats = F.exists(a["seen"], lambda p: F.size(F.array_intersect(c["words"], p)) * 2 > F.size(c["words"]))
-            drifts = (c["grounded"] * 2 < F.size(c["words"])) & (F.size(a["kept"]) > 0)
-            stopped = F.struct(a["kept"].alias("kept"), a["seen"].alias("seen"), F.lit(True).alias("stop"))
-            grown = F.struct(F.array_append(a["kept"], c["text"]).alias("kept"),
-                             F.array_append(a["seen"], c["words"]).alias("seen"), F.lit(False).alias("stop"))
-            return F.when(a["stop"] | (F.size(c["words"]) == 0), a).when(
-                repeats | drifts, stopped.cast(acc_type)).otherwise(grown.cast(acc_type))
-
-        return F.aggregate(let(source_words, judged), zero.cast(acc_type), step,
-                           lambda a: F.when(F.size(a["kept"]) > 0, F.array_join(a["kept"], " ")))
-
-    kept = let(normalize_grounding(source), run)
+    kept = F.pandas_udf(_ground_each, "string")(sentences(_without_prefixes(summary)), normalize_grounding(source))
     return F.coalesce(kept, lead_summary(source))
 
 
@@ -155,11 +179,6 @@ def cut_drift(summary: Column, *, min_words: int = 8) -> Column:
     return let(out, drift)
 
 
-def clean_generated_summary(summary: Column, source: Column) -> Column:
-    """Drift cut, then grounded clean-up; an over-trimmed result is replaced by lead sentences."""
-
-    def guarded(cut: Column) -> Column:
-        return let(clean_summary(cut, source), lambda c: F.when(
-            (word_count(c) < 8) & (word_count(cut) >= 12), lead_summary(source, 220)).otherwise(c))
-
-    return let(cut_drift(summary), guarded)
+def guard_length(cleaned: Column, cut: Column, source: Column) -> Column:
+    """``cleaned``, or lead sentences where a summary of 12 words or more was left with fewer than 8."""
+    return F.when((word_count(cleaned) < 8) & (word_count(cut) >= 12), lead_summary(source, 220)).otherwise(cleaned)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import computed_once, let, token_spans
+from alertlake.functions.text import computed_once
 
 ENTITY = "struct<text:string,label:string,start:int,end:int>"
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -122,34 +126,46 @@ def drop_overlaps(spans: Column) -> Column:
     )
 
 
-def tag_tokens(df: DataFrame, *, text: str, spans: str, min_tokens: int = 3) -> DataFrame:
-    """Adds ``tokens`` and ``ner_tags`` for sorted, disjoint character spans.
+TAGGED = "tokens array<string>, ner_tags array<string>"
+TOKEN = re.compile(r"\S+")
 
-    A token belongs to the span its start lies in. It gets ``B-`` at the span
-    start or after a token outside all spans, else ``I-``; that needs only the
-    previous token, so no running state. Rows with ``min_tokens`` or fewer tokens
-    are dropped. Everything stays inside the row.
-    """
-    located = computed_once(df, "_tok", token_spans(F.col(text)))
 
-    def covering(s: Column) -> Column:
-        return F.transform(F.col("_tok"), lambda t: F.get(F.filter(
-            s, lambda x: (x["start"] <= t["start"]) & (t["start"] < x["end"])), F.lit(0)))
+def _tags(text: str, starts: Sequence[int], ends: Sequence[int], labels: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Tokens and tags of one text: tokens and spans are both in order and are merged in one pass."""
+    tokens, tags, at, before = [], [], 0, True
+    for match in TOKEN.finditer(text):
+        begin = match.start()
+        while at < len(ends) and ends[at] <= begin:
+            at += 1
+        inside = at < len(starts) and starts[at] <= begin
+        tag = "O"
+        if inside:
+            tag = f"{'I' if before and begin != starts[at] else 'B'}-{labels[at]}"
+        tokens.append(match.group())
+        tags.append(tag if tag in fixed.TAGS else "O")
+        before = inside
+    return tokens, tags
 
-    located = computed_once(located, "_cover", let(F.col(spans), covering))
 
-    def tag(t: Column, i: Column, cover: Column) -> Column:
-        own = F.get(cover, i)
-        first = (t["start"] == own["start"]) | ((i > 0) & F.get(cover, i - 1).isNull())
-        label = F.concat(F.when(first, "B-").otherwise("I-"), own["label"])
-        return F.when(own.isNotNull() & label.isin(*fixed.TAGS), label).otherwise("O")
+def _tag_texts(texts: pd.Series, starts: pd.Series, ends: pd.Series, labels: pd.Series) -> pd.DataFrame:
+    rows = [
+        (None, None) if t is None else _tags(t, *([] if x is None else list(x) for x in (s, e, n)))
+        for t, s, e, n in zip(texts, starts, ends, labels)]
+    return pd.DataFrame(rows, columns=["tokens", "ner_tags"])
 
-    tags = F.transform("_tok", lambda t, i: tag(t, i, F.col("_cover")))
-    return (
-        computed_once(located.filter(F.size("_tok") > min_tokens), "ner_tags", tags)
-        .withColumn("tokens", F.transform("_tok", lambda t: t["value"]))
-        .drop("_tok", "_cover")
-    )
+
+def tag_tokens(df: DataFrame, *, text: str, spans: str, min_tokens: int = 3) -> DataFrame:
+    """Adds ``tokens`` and ``ner_tags`` for sorted, disjoint character spans.
+
+    A token belongs to the span its start lies in. It gets ``B-`` at the span
+    start or after a token outside all spans, else ``I-``. Rows with ``min_tokens``
+    or fewer tokens are dropped, as are null texts. The time is linear in tokens plus
+    spans; everything stays inside the row.
+    """
+    parts = [F.col(spans).getField(c) for c in ("start", "end", "label")]
+    tagged = computed_once(df, "_tagged", F.pandas_udf(_tag_texts, TAGGED)(F.col(text), *parts))
+    return tagged.filter(F.size("_tagged.tokens") > min_tokens).select(
+        *df.columns, F.col("_tagged.ner_tags").alias("ner_tags"), F.col("_tagged.tokens").alias("tokens"))
 
 
 def augment_split(base: DataFrame, extra: DataFrame, *, split: str = "train") -> DataFrame:

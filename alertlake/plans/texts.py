@@ -529,7 +529,8 @@ def let_fragment(h):
 
 
 def recover_iocs(spark, sf_dir):
-    d = unnest(_fragments(spark, sf_dir), ["doc_id"], entities.recover_iocs(F.col("text"), F.col("entities")))
+    d = entities.recover_iocs(_fragments(spark, sf_dir), text="text", entities="entities")
+    d = unnest(d, ["doc_id"], F.col("entities"))
     return d.select("doc_id", "item.*").select("doc_id", "text", "label", "start", "end", "confidence", "ioc_type", "ioc_validated")
 
 
