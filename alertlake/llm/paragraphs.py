@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertlake.llm import blocks
-from alertlake.llm.common import SPACES, materialize, raw
+from alertlake.llm.common import SPACES, materialize, release, raw
 from alertlake.llm.components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -188,8 +188,11 @@ UNITS = "id long, th long, whole boolean, unit int, words int, start int, end in
 
 
 def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """Units and paragraphs of a block with a band key that another document has too."""
-    rows, table, out = blocks.documents(rows), blocks.known(asked, "keys"), []
+    """Units and paragraphs of a block with a band key that another document has too.
+
+    The shingles of equal parts are given once a block; the others have none.
+    """
+    rows, table, out, named = blocks.documents(rows), blocks.known(asked, "keys"), [], set()
     ids, ths, texts = (rows[c].tolist() for c in ("id", "th", "data"))
     for at, units in portions(texts) if len(table) else ():
         chars: dict[int, np.ndarray] = {}
@@ -201,9 +204,13 @@ def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataF
                 doc = int(u.doc[i]) + at
                 if doc not in chars:  # characters up to each byte: those that continue one do not count
                     chars[doc] = np.concatenate([[0], np.cumsum((np.frombuffer(texts[doc], np.uint8) & 0xC0) != 0x80)]).astype(np.int32)
+                name, shingles = int(u.name[i].astype(np.int64)), None
+                if name not in named:
+                    named.add(name)
+                    shingles = np.unique(u.shingles[starts[i]:starts[i] + u.counts[i]]).tobytes()
                 out.append((
                     ids[doc], ths[doc], u is not units, int(i - opening[i]), int(u.words[i]), int(chars[doc][u.start[i]]), int(chars[doc][u.end[i]]),
-                    int(u.name[i].astype(np.int64)), np.unique(u.shingles[starts[i]:starts[i] + u.counts[i]]).tobytes()))
+                    name, shingles))
     return pd.DataFrame(out, columns=["id", "th", "whole", "unit", "words", "start", "end", "uh", "shingles"])
 
 
@@ -342,10 +349,12 @@ def class_links(classes: DataFrame) -> DataFrame:
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uh").alias("hub")).where("n > 1")
     members = banded.join(sizes, "key")
     texts = classes.select("uh", "shingles")
-    inside = _in_buckets(members.where(F.col("n") <= BUCKET).select("key", "uh"), texts)
+    inside = materialize(_in_buckets(members.where(F.col("n") <= BUCKET).select("key", "uh"), texts).distinct(), "inside")
     large = materialize(members.where(F.col("n") > BUCKET).select("key", "uh").join(texts, "uh").select("key", "uh", "shingles"), "large")
+    release(banded)
     if large.isEmpty():
-        return inside.distinct()
+        release(large)
+        return inside
     more = large.mapInPandas(_sub_bands, "key long, uh long").distinct()
     more_sizes = more.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uh").alias("hub")).where("n > 1")
     again = more.join(more_sizes, "key")
@@ -357,7 +366,10 @@ def class_links(classes: DataFrame) -> DataFrame:
     near = near.select(F.col("uh").alias("a"), F.col("hub").alias("b"))
     known = inside.unionByName(_in_buckets(again.where(F.col("n") <= BUCKET).select("key", "uh"), texts)).unionByName(near)
     known = materialize(known.distinct(), "known")
-    return known.unionByName(joined_links(large.select("uh", "shingles").dropDuplicates(["uh"]), known)).distinct()
+    release(inside)
+    links = materialize(known.unionByName(joined_links(large.select("uh", "shingles").dropDuplicates(["uh"]), known)).distinct(), "links")
+    release(large, known)
+    return links
 
 
 RUNS = "spans array<struct<start: int, end: int>>, keepers array<long>"
@@ -402,12 +414,16 @@ def repeated_passages(docs: DataFrame, id: str, text: str, run_words: int, block
     shared = blocks.repeated_keys(dealt, _sketch, total * BANDS / 50)
     found = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_candidates, UNITS)
     units = materialize(found, "units")
-    classes = materialize(units.groupBy("uh").agg(F.first("shingles").alias("shingles"), F.min("id").alias("first")), "classes")
-    roots = components(class_links(classes), "a", "b")
+    classes = materialize(units.groupBy("uh").agg(F.first("shingles", ignorenulls=True).alias("shingles"), F.min("id").alias("first")), "classes")
+    occurrences = materialize(units.drop("shingles"), "occurrences")
+    release(units)
+    links = class_links(classes)
+    roots = components(links, "a", "b")
+    release(links)
     rooted = classes.select("uh", "first").join(roots, classes.uh == roots.node, "left").select(
         "uh", "first", F.coalesce("root", "uh").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("first").alias("keeper")).join(rooted, "root").select("uh", "keeper")
-    late = units.drop("shingles").join(keepers, "uh").where("keeper < id")
+    late = occurrences.join(keepers, "uh").where("keeper < id")
     unit = F.struct("whole", "unit", "words", "start", "end", "keeper")
     per = late.groupBy("id", "th").agg(F.collect_list(unit).alias("units"))
 
@@ -416,7 +432,9 @@ def repeated_passages(docs: DataFrame, id: str, text: str, run_words: int, block
             yield pd.DataFrame([removed_runs(list(x), run_words) for x in series], columns=["spans", "keepers"])
 
     judged = per.select("id", "th", F.pandas_udf(runs, RUNS)("units").alias("r")).select("id", "th", "r.spans", "r.keepers")
-    return materialize(judged.where("size(spans) > 0"), "passages")
+    passages = materialize(judged.where("size(spans) > 0"), "passages")
+    release(occurrences, classes)
+    return passages
 
 
 def cut_spans(text: str, spans) -> str:
@@ -445,13 +463,14 @@ def remove_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     passages = repeated_passages(docs, id, text, run_words, block_bytes)
     cut = F.pandas_udf(lambda t, s: pd.Series([x if y is None else cut_spans(x, y) for x, y in zip(t, s)], dtype=object), "string")
-    rows = _with_spans(docs.drop("_key", "_hash", "_spans"), passages, id, text)
-    rows = rows.withColumn("_left", F.when(F.col("_spans").isNotNull(), cut(F.col(text), F.col("_spans"))).otherwise(F.col(text)))
+    own = docs.select(F.struct("*").alias("_row"), F.col(id).alias("_doc"), F.col(text).alias("_text"))  # no column of the caller's can clash
+    rows = _with_spans(own, passages, "_doc", "_text")
+    rows = rows.withColumn("_left", F.when(F.col("_spans").isNotNull(), cut("_text", "_spans")).otherwise(F.col("_text")))
     rows = rows.where(F.col("_spans").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     changed = {text: F.col("_left")}
     if size:
-        changed[size] = F.when(F.col("_spans").isNotNull(), F.length("_left").cast("long")).otherwise(F.col(size))
-    return rows.withColumns(changed).select(*docs.columns)
+        changed[size] = F.when(F.col("_spans").isNotNull(), F.length("_left").cast("long")).otherwise(F.col("_row")[size])
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def dedup_substrings(docs: DataFrame, *, id: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS,
