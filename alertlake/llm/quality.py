@@ -155,7 +155,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id: str, text: str, label
     """Trees fitted on at most ``limit`` labelled documents, chosen by hash of the id."""
     chosen = labels.select(F.col(label_id).alias("_id"), F.col(label).cast("double").alias("_y")).where("_id is not null and _y is not null")
     chosen = chosen.distinct().orderBy(F.xxhash64("_id", F.lit(5)), "_id", "_y").limit(limit)
-    known = docs.join(F.broadcast(chosen), F.col(id) == F.col("_id")).select("_id", "_y", F.col(text).alias("_text"))
+    own = docs.select(F.col(id).alias("_doc"), F.col(text).alias("_text"))  # no other column can clash
+    known = own.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
     # Ids of a bounded sample; of repeated rows any one is the same.
     rows = with_statistics(known, "_text", ["_id", "_y"]).dropDuplicates().toPandas().sort_values(["_id", "_y", *BASE])
     return fit_trees(rows[list(FEATURES)].to_numpy(float), rows["_y"].to_numpy(float), tuple(FEATURES.values()))

@@ -97,8 +97,9 @@ def drop_near_copies(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     kept = known.groupBy(group.alias("g")).agg(F.min("_id").alias("k"), F.count(F.lit(1)).alias("n"))
     kept = kept.select(F.col("k.id").alias("_kept"), F.col("k.th").alias("_kept_th"))
-    found = docs.withColumn("_th", names).join(kept, F.col(id).eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th")))
+    own = docs.select(F.struct("*").alias("_row"), F.col(id).alias("_doc"), names)  # no column of the caller's can clash
+    found = own.join(kept, F.col("_doc").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_kept_th")))
     repeated = rows.groupBy(id, "_th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not repeated.isEmpty():
         found = found.dropDuplicates(["_kept", "_kept_th"])
-    return found.select(*docs.columns)
+    return found.select("_row.*")

@@ -227,8 +227,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id: str, text: str, labe
     before = Window.partitionBy("_y").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)  # of bounded groups
     chosen = picks[0].unionByName(picks[1]).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     chosen = F.broadcast(chosen.where(F.col("_before") < FIT_CHARS).select("_id", "_y"))
-    rows = docs.join(chosen, F.col(id) == F.col("_id")).where(F.col(text).isNotNull())
-    rows = sorted(rows.select("_id", "_y", F.col(text).alias("_t")).distinct().collect())
+    own = docs.select(F.col(id).alias("_doc"), F.col(text).alias("_t"))  # no other column can clash
+    rows = own.join(chosen, F.col("_doc") == F.col("_id")).where("_t is not null")
+    rows = sorted(rows.select("_id", "_y", "_t").distinct().collect())
     texts, toxic = [r._t for r in rows], [r._y for r in rows]
     tags = labelled_tokens(texts, toxic)
     known_slots: dict[str, list[int]] = {}
