@@ -16,12 +16,15 @@ LEVEL, CAREFUL_LEVEL = 6, 12
 PIECE = 2048        # bytes compressed at a time, so that a text cannot become its own dictionary
 DICT_BYTES = 256 << 10  # holds all training texts of a language that has a byte or so a character
 DICT_DOCS = 200     # training documents per language at most; a documented bound
-DICT_CHARS = 1000   # of each of them go into the dictionary, so that no document fills it
+DICT_CHARS = 1000   # of each of them go into the dictionary, from a place in the whole text chosen by hash, so that no document fills it
 MARGIN = 0.01       # relative lead below which the cheapest language is not trusted alone
 
 
 def training_texts(docs: DataFrame, *, id: str, text: str, lang: str, held_out, per_lang: int = DICT_DOCS) -> dict[str, bytes]:
-    """Beginnings of at most ``per_lang`` documents per language, chosen by hash, laid end to end.
+    """Pieces of at most ``per_lang`` documents per language, laid end to end.
+
+    Documents are chosen by hash, and so is the place in each whole text that its ``DICT_CHARS`` characters
+    come from; shorter texts are taken whole.
 
     Only documents with a language and a text outside ``held_out`` count. Within a language rows
     are first cut to a bounded number in each of 64 salts, so that no task ranks a whole language.
@@ -33,8 +36,11 @@ def training_texts(docs: DataFrame, *, id: str, text: str, lang: str, held_out,
     few = salted.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "id"))).where(F.col("n") <= per_lang)
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= per_lang)
     chosen = few.select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("n").alias("_n"))
-    texts = docs.join(F.broadcast(chosen), (F.col(id) == F.col("_id")) & (F.col(lang) == F.col("_lang"))).select(
-        "_lang", "_n", F.col(text).substr(1, DICT_CHARS).alias("_head"))
+    own = docs.select(F.col(id).alias("_doc"), F.col(lang).alias("_of"), F.col(text).alias("_text"))  # no other column can clash
+    rest = F.greatest(F.length("_text") - DICT_CHARS, F.lit(0)) + 1
+    place = F.pmod(F.xxhash64("_doc", F.lit(11)), rest).cast("int") + 1
+    texts = own.join(F.broadcast(chosen), (F.col("_doc") == F.col("_id")) & (F.col("_of") == F.col("_lang"))).select(
+        "_lang", "_n", F.col("_text").substr(place, F.lit(DICT_CHARS)).alias("_head"))
     out: dict[str, bytes] = {}
     for row in sorted(texts.distinct().collect()):
         out.setdefault(row._lang, b"")
