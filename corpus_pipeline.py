@@ -10,30 +10,50 @@ from alertlake.llm.common import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity field scores below its threshold."""
+    """Documents that the toxicity field scores below its threshold.
+
+    Null and empty texts score alike, as repeated rows do; without labels no document goes.
+    """
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash neighbours: the one with the least id."""
+    """One document of each group of SimHash neighbours: the one with the least id.
+
+    Null, empty and blank texts are one group. Of rows with the same id the least text hash stays, of equal rows one.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has; n_chars follows."""
+    """Texts without passages that an earlier document has; n_chars follows.
+
+    Null, empty and blank texts stay as they are; a text of which nothing is left goes. Rows that agree in id and
+    text are one document, a null id is later than all others.
+    """
     return paragraphs.remove_passages(docs, size="n_chars")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a ten-word window of a benchmark item."""
+    """Documents without a ten-word window of a benchmark item.
+
+    Null, empty and blank texts have no words and stay, as all documents do without items; repeated rows fare alike.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, with how often each is taken (copies) and how many words that is (taken)."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
-    mixed = mixing.mix_sources(rows, keep=("_row",)).where("copies > 0").select("_row", "copies", "taken")
-    return rows.join(mixed, "_row").drop("_row")
+    """Documents of the mix, with how often each is taken (copies) and how many words that is (taken).
+
+    Columns of these two names are replaced. Texts without words are never taken; repeated rows are documents
+    of their own; a null source is a source.
+    """
+    docs, number = docs.drop("copies", "taken"), "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "documents")
+    mixed = mixing.mix_sources(rows, keep=(number,)).where("copies > 0").select(number, "copies", "taken")
+    return rows.join(mixed, number).drop(number)
 
 
 STAGES = [
