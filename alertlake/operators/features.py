@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from alertlake import fixed
 from alertlake.functions.text import SPACES, computed_once, let
-from alertlake.operators.joins import BROADCAST_ROWS, balanced_lookup, heavy_threshold
+from alertlake.operators.joins import BROADCAST_ROWS, SHARE, balanced_lookup
 from alertlake.operators.normalize import truthy_text
 from alertlake.session import materialize
 
@@ -123,6 +123,15 @@ def fit_target_encoder(
     )
 
 
+def _frequent(df: DataFrame, cols: Sequence[str], k: int = SHARE) -> DataFrame:
+    """(column, category): about the ``k`` most frequent values of each column, found in one pass."""
+    tops = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).agg(
+        *[F.expr(f"approx_top_k(`{c}`, {k}, {20 * k})").alias(c) for c in cols])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.transform(c, lambda t: t["item"]).alias("items")) for c in cols])
+    return tops.select(F.explode(each).alias("e")).select("e.column", F.explode("e.items").alias("category")).filter(
+        F.col("category").isNotNull())
+
+
 def apply_target_encoder(
     df: DataFrame, enc: DataFrame, *, cols: Sequence[str], id: str | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
@@ -154,13 +163,14 @@ def apply_target_encoder(
             F.col("category").alias(f"_k_{c}"), F.col("enc").alias(f"_e_{c}"))
         out = out.join(F.broadcast(part), F.col(c).cast("string") == F.col(f"_k_{c}"), "left").drop(f"_k_{c}")
     if large:
-        wanted = enc.filter(F.col("column").isin(*large)).select(
-            "column", "category", "n", F.col("enc").alias("_e"))
-        limit = heavy_threshold(wanted, "n")
-        heavy, light = wanted.filter(F.col("n") >= limit), wanted.filter(F.col("n") < limit)
+        wanted = enc.filter(F.col("column").isin(*large)).select("column", "category", F.col("enc").alias("_e"))
+        # Frequent values of these rows, unseen ones included, are answered by broadcast; so is null.
+        heavy = _frequent(out, large).join(wanted, ["column", "category"], "left").unionByName(
+            df.sparkSession.createDataFrame([(c, None, None) for c in large], "column string, category string, _e double"))
+        light = wanted
         if id is not None:
             long = out.select(id, *[F.col(c).cast("string").alias(c) for c in large]).unpivot(
-                [id], large, "column", "category")
+                [id], large, "column", "category").filter(F.col("category").isNotNull())
             looked = balanced_lookup(long, heavy=heavy, light=light, keys=["column", "category"], value="_e")
             wide = looked.groupBy(F.col(id).alias("_id")).pivot("column", large).agg(F.max("_e"))
             wide = wide.select("_id", *[F.col(c).alias(f"_e_{c}") for c in large])
