@@ -67,7 +67,7 @@ def classification_report(
     return out
 
 
-def drop_ignored(labels: Column, other: Column, *, ignored: int = -100) -> Column:
+def drop_ignored(labels: Column, other: Column, *, ignored: int | str = -100) -> Column:
     """``other`` at the positions where ``labels`` is not the ignored value."""
     kept = F.filter(F.arrays_zip(labels.alias("l"), other.alias("o")), lambda r: r["l"] != ignored)
     return F.transform(kept, lambda r: r["o"])

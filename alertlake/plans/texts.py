@@ -153,6 +153,19 @@ def entity_prf(spark, sf_dir):
         "correct", "predicted", "gold", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def entity_prf_ignored(spark, sf_dir):
+    """The same scores from sub-word labels: behind every tag stands an ignored position with a predicted entity."""
+    s = _tagged_sentences(spark, sf_dir).withColumn("gold", tagging.map_tags(F.col("tags")))
+    s = s.withColumn("pred", F.transform("gold", lambda t, i: F.when((i % 4 == 3) & (t != "O"), "O").otherwise(t)))
+    pieces = s.select(
+        F.flatten(F.transform("gold", lambda t: F.array(t, F.lit("-100")))).alias("labels"),
+        F.flatten(F.transform("pred", lambda t: F.array(t, F.lit("B-Malware")))).alias("predicted"))
+    kept = pieces.select(*[
+        evaluation.drop_ignored(F.col("labels"), F.col(c), ignored="-100").alias(n) for c, n in (("labels", "gold"), ("predicted", "pred"))])
+    return evaluation.entity_prf(kept, gold="gold", pred="pred").select(
+        "correct", "predicted", "gold", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
 def _prf_side(tag: str, name: str) -> str:
     return f"""
 {name}z AS (SELECT sid, i, {tag} AS tag, lag({tag}) OVER (PARTITION BY sid ORDER BY i) AS prev FROM y),
@@ -708,7 +721,7 @@ def _md5(text: str) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    labelled_csv, split_parquet, read_conll, span_json, chat_jsonl, feature_table, input_fingerprint, map_tags, decode_bio, entity_prf,
+    labelled_csv, split_parquet, read_conll, span_json, chat_jsonl, feature_table, input_fingerprint, map_tags, decode_bio, entity_prf, entity_prf_ignored,
     chat_rows_entities, tokens_with_offsets, drop_overlaps, tag_tokens, align_labels, augment_split, classify_ioc,
     extract_iocs, rule_events, detect_events, ioc_table, insert_iocs, recover_iocs, repair_cve, spans_from_predictions,
     spans_from_predictions_fixed_labels, locate_entities, parse_entity_replies, lead_summary, clean_summaries,
@@ -721,6 +734,7 @@ ORACLES = {
     "chat_jsonl": f"WITH {SENTENCES_SQL} SELECT CAST(t AS INTEGER) AS turn, ['system', 'user', 'assistant'][t + 1] AS role, count(*) AS rows "
                   "FROM tok, (SELECT unnest([0, 1, 2]) AS t) GROUP BY ALL",
     "feature_table": FEATURE_TABLE_SQL, "map_tags": MAP_TAGS_SQL, "decode_bio": DECODE_SQL, "entity_prf": PRF_SQL,
+    "entity_prf_ignored": PRF_SQL,
     "chat_rows_entities": CHAT_ENTITIES_SQL.replace("{entity_md5}", _md5(fixed.ENTITY_SYSTEM)),
     "tokens_with_offsets": TOKENS_SQL, "drop_overlaps": OVERLAPS_SQL, "tag_tokens": TAG_TOKENS_SQL, "align_labels": ALIGN_SQL,
     "augment_split": AUGMENT_SQL, "classify_ioc": CLASSIFY_SQL, "extract_iocs": EXTRACT_SQL, "rule_events": RULE_EVENTS_SQL,
