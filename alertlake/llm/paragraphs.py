@@ -424,14 +424,17 @@ def repeated_passages(docs: DataFrame, id: str, text: str, run_words: int, block
         "uh", "first", F.coalesce("root", "uh").alias("root"))
     keepers = rooted.groupBy("root").agg(F.min("first").alias("keeper")).join(rooted, "root").select("uh", "keeper")
     late = occurrences.join(keepers, "uh").where("keeper < id")
-    unit = F.struct("whole", "unit", "words", "start", "end", "keeper")
-    per = late.groupBy("id", "th").agg(F.collect_list(unit).alias("units"))
+    names = ("whole", "unit", "words", "start", "end", "keeper")
+    per = late.groupBy("id", "th").agg(F.collect_list(F.struct(*names)).alias("units"))
 
-    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            yield pd.DataFrame([removed_runs(list(x), run_words) for x in series], columns=["spans", "keepers"])
+    def runs(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:  # number arrays, which take far less room than a batch of structs
+            yield pd.DataFrame([
+                removed_runs([dict(zip(names, u)) for u in zip(*[x.tolist() for x in row])], run_words)
+                for row in zip(*columns)], columns=["spans", "keepers"])
 
-    judged = per.select("id", "th", F.pandas_udf(runs, RUNS)("units").alias("r")).select("id", "th", "r.spans", "r.keepers")
+    found = F.pandas_udf(runs, RUNS)(*[F.col("units").getField(n) for n in names])
+    judged = per.select("id", "th", found.alias("r")).select("id", "th", "r.spans", "r.keepers")
     passages = materialize(judged.where("size(spans) > 0"), "passages")
     release(occurrences, classes)
     return passages
