@@ -466,9 +466,9 @@ def remove_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     passages = repeated_passages(docs, id, text, run_words, block_bytes)
     cut = F.pandas_udf(lambda t, s: pd.Series([x if y is None else cut_spans(x, y) for x, y in zip(t, s)], dtype=object), "string")
-    own = docs.select(F.struct("*").alias("_row"), F.col(id).alias("_doc"), F.col(text).alias("_text"))  # no column of the caller's can clash
-    rows = _with_spans(own, passages, "_doc", "_text")
-    rows = rows.withColumn("_left", F.when(F.col("_spans").isNotNull(), cut("_text", "_spans")).otherwise(F.col("_text")))
+    own, whole = docs.select(F.struct("*").alias("_row")), F.col(f"_row.`{text}`")  # no column of the caller's can clash
+    rows = _with_spans(own, passages, f"_row.`{id}`", f"_row.`{text}`")
+    rows = rows.withColumn("_left", F.when(F.col("_spans").isNotNull(), cut(whole, F.col("_spans"))).otherwise(whole))
     rows = rows.where(F.col("_spans").isNull() | F.col("_left").rlike(r"[^\x20\x09-\x0D]"))
     changed = {text: F.col("_left")}
     if size:
