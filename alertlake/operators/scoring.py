@@ -60,12 +60,17 @@ def triage(
     })
 
 
+def is_forwarded() -> Column:
+    """Whether a scored alert is sent on; auto-closed ones are not."""
+    return ~F.col("auto_closed")
+
+
 def route_alerts(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(persisted, forwarded): auto-closed alerts are stored but not sent on."""
     persisted = scored.withColumn(
         "status", F.when(F.col("auto_closed"), fixed.STATUS_CLOSED).otherwise(fixed.STATUS_TRIAGED)
     )
-    return persisted, persisted.filter(~F.col("auto_closed"))
+    return persisted, persisted.filter(is_forwarded())
 
 
 SCORE_BOUNDS = {"ml_score": (0, 1), "risk_score": (0, 100), "asset_criticality": (0, 1), "behavioral_score": (0, 1)}

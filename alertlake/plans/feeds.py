@@ -6,7 +6,7 @@ messages and annotated texts from whole tables; the row counts follow the tables
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertlake.session import prepare, spread
@@ -112,8 +112,8 @@ def vendor_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("event_id", "ts", "vendor", "tenant_id", raw.alias("raw"))
 
 
-def topic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``event_id, ts, value``: canonical alerts as JSON, some with unknown keys."""
+def topic_messages(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
+    """``event_id, ts, value``: canonical alerts as JSON, some with unknown keys; ``extra`` columns from the attributes."""
     a = alert_attributes(spark, sf_dir)
     value = F.to_json(F.struct(
         F.concat(F.col("alert_id"), F.lit("-"), F.col("event_id")).alias("alert_id"), "tenant_id",
@@ -130,7 +130,7 @@ def topic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 2 == 0, F.col("event_type")).alias("DetectorId"),
         F.when(F.col("k") % 3 == 0, F.lit("kept")).alias("note"),
     ))
-    return a.select("event_id", "ts", value.alias("value"))
+    return a.select("event_id", "ts", value.alias("value"), *extra)
 
 
 # SQL twin of ``alert_attributes``, written for the checking engine.
