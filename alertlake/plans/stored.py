@@ -141,8 +141,9 @@ def dedup_stream_event(spark, sf_dir):
         stream = spark.readStream.schema(e.schema).parquet(source)
         kept = stream_dedup.dedup_stream(
             stream, key=["user_id", "event_type"], ttl_seconds=86400, clock="event", ts="ts", id="event_id")
-        kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
-            "append").trigger(availableNow=True).start().awaitTermination()
+        with stream_dedup.state_partitions(spark):
+            kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
+                "append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id", "event_type")
 
 
@@ -154,8 +155,9 @@ def _greedy_stream(spark, source, out, checkpoint, schema):
     stream = spark.readStream.schema(schema).parquet(source)
     marked = stream_dedup.dedup_stream(
         stream, key=["user_id", "event_type"], ttl_seconds=86400, clock="event", ts="ts", id="event_id", mark=True)
-    marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
+    with stream_dedup.state_partitions(spark):
+        marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
+            "append").trigger(availableNow=True).start().awaitTermination()
 
 
 def dedup_stream_expiry(spark, sf_dir):
@@ -206,8 +208,9 @@ def dedup_stream_processing(spark, sf_dir):
     before = spark.conf.get(empty_batches)
     spark.conf.set(empty_batches, "false")
     marked = stream_dedup.dedup_stream(stream, key=["user_id", "event_type"], ttl_seconds=7 * 86400, mark=True)
-    marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
-        "append").trigger(availableNow=True).start().awaitTermination()
+    with stream_dedup.state_partitions(spark):
+        marked.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(
+            "append").trigger(availableNow=True).start().awaitTermination()
     spark.conf.set(empty_batches, before)
     return spark.read.parquet(out).groupBy("user_id", "event_type").agg(
         F.count(F.lit(1)).alias("alerts"), F.sum(F.col("deduplicated").cast("int")).alias("repeats"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -20,12 +22,29 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, per_core: int = 2) -> Iterator[None]:
+    """Streams started inside keep their state in at most ``per_core`` parts per core.
+
+    Every part costs a Python worker and a store commit in every trigger, however few rows it has. A stream that
+    was started before keeps the number in its checkpoint.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), per_core * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class FirstWithinTtl(StatefulProcessor):
     """Keeps one number per key: the time of the last accepted row, until it can block no more.
 
-    On the event clock the rows of a key within one trigger are ordered by time and id, and a timer drops
-    the number once the watermark has passed the end of the block: every row that is not late is then free.
-    On the processing clock arrival order and the time to live of the state decide.
+    The keys of a hash bucket share one state value and one timer, so a trigger costs a few calls to the state
+    store per bucket, not per key. On the event clock the rows of a key within one trigger are ordered by time
+    and id, and a number goes once the watermark has passed the end of the block: every row that is not late is
+    then free. On the processing clock all rows of a trigger have its time and keep their order of arrival.
     """
 
     def __init__(self, ttl_us: int, event_time: bool, mark: bool, columns: Sequence[str]):
@@ -34,58 +53,77 @@ class FirstWithinTtl(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "t bigint", None if self.event_time else self.ttl_us // 1000)
+        self.state = handle.getValueState("last", "times string")
 
     def _end_ms(self, last: int) -> int:
         return -(-(last + self.ttl_us) // 1000)
 
+    def _now_ms(self, timerValues: Any) -> int:
+        return timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+
+    def _load(self) -> dict[str, int]:
+        held = self.state.get()
+        return {} if held is None else json.loads(held[0])
+
+    def _store(self, last: dict[str, int], now_ms: int, timer: int | None) -> None:
+        """The keys that still block, and a timer for the first of them to end; ``timer`` is the one set before."""
+        last = {k: t for k, t in last.items() if self._end_ms(t) > now_ms}
+        if last:
+            self.state.update((json.dumps(last),))
+        else:
+            self.state.clear()
+        first = min(map(self._end_ms, last.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        last = before = None if known is None else known[0]
-        chunks = (chunk.set_axis(self.columns, axis=1) for chunk in rows)  # names of computed columns are not kept
+        last, now_ms = self._load(), self._now_ms(timerValues)
+        timer = min(map(self._end_ms, last.values()), default=None)
+        chunks = [chunk.set_axis(self.columns, axis=1) for chunk in rows]  # names of computed columns are not kept
         if self.event_time:
-            chunks = list(chunks)
-            watermark = timerValues.getCurrentWatermarkInMs() * 1000
-            late = [chunk["_t"].to_numpy() < watermark for chunk in chunks]
-            passed, last = self._in_time(chunks, late, last)
-            if last != before:
-                self.last.update((last,))
-                if before is not None:
-                    self.handle.deleteTimer(self._end_ms(before))
-                self.handle.registerTimer(self._end_ms(last))
-            for chunk, free, behind in zip(chunks, passed, late):
-                yield self._rows(chunk, free, behind)
-            return
-        for chunk in chunks:
-            free = np.zeros(len(chunk), dtype=bool)
-            if last is None and len(chunk):  # the first row blocks all others of the trigger
-                free[0], last = True, 0
-                self.last.update((last,))
-            yield self._rows(chunk, free, np.zeros(len(chunk), dtype=bool))
-
-    def _in_time(self, chunks: list[pd.DataFrame], late: list[np.ndarray], last: int | None) -> tuple[list[np.ndarray], int | None]:
-        """Which rows pass: one step per row that passes, over the sorted times of this trigger."""
+            late = [chunk["_t"].to_numpy() < now_ms * 1000 for chunk in chunks]
+        else:
+            chunks = [chunk.assign(_t=now_ms * 1000, _id=0) for chunk in chunks]
+            late = [np.zeros(len(chunk), dtype=bool) for chunk in chunks]
+        passed = self._in_time(chunks, late, last)
+        self._store(last, now_ms, timer)
+        for chunk, free, behind in zip(chunks, passed, late):
+            yield self._rows(chunk, free, behind)
+
+    def _in_time(self, chunks: list[pd.DataFrame], late: list[np.ndarray], last: dict[str, int]) -> list[np.ndarray]:
+        """Which rows pass: one step per row that passes, over the sorted times of each key; ``last`` follows."""
         order = pd.concat([
-            pd.DataFrame({"t": chunk["_t"].to_numpy(), "id": chunk["_id"], "chunk": i, "row": np.arange(len(chunk))})[~behind]
-            for i, (chunk, behind) in enumerate(zip(chunks, late))]).sort_values(["t", "id"], kind="stable")
-        times, passed = order["t"].to_numpy(), [np.zeros(len(chunk), dtype=bool) for chunk in chunks]
-        at = 0 if last is None else int(np.searchsorted(times, last + self.ttl_us))
-        while at < len(times):
-            passed[order["chunk"].iat[at]][order["row"].iat[at]], last = True, int(times[at])
-            at = int(np.searchsorted(times, last + self.ttl_us))
-        return passed, last
+            pd.DataFrame({"key": chunk["_key"], "t": chunk["_t"].to_numpy(), "id": chunk["_id"], "chunk": i,
+                          "row": np.arange(len(chunk))})[~behind]
+            for i, (chunk, behind) in enumerate(zip(chunks, late))]).sort_values(["key", "t", "id"], kind="stable")
+        keys, times = order["key"].to_numpy(dtype=object), order["t"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+        taken = []
+        for begin, end in zip(starts, [*starts[1:], len(keys)]):
+            name = keys[begin]
+            at = begin if name not in last else begin + int(np.searchsorted(times[begin:end], last[name] + self.ttl_us))
+            while at < end:
+                taken.append(at)
+                last[name] = int(times[at])
+                at = begin + int(np.searchsorted(times[begin:end], last[name] + self.ttl_us))
+        passed = [np.zeros(len(chunk), dtype=bool) for chunk in chunks]
+        in_chunk, in_row = order["chunk"].to_numpy()[taken], order["row"].to_numpy()[taken]
+        for i, free in enumerate(passed):
+            free[in_row[in_chunk == i]] = True
+        return passed
 
     def _rows(self, chunk: pd.DataFrame, passed: np.ndarray, late: np.ndarray) -> pd.DataFrame:
-        out = chunk.drop(columns=["_t", "_id", "_clock"], errors="ignore")
+        out = chunk.drop(columns=["_t", "_id", "_clock", "_key", "_bucket"], errors="ignore")
         out = out.astype({c: object for c in out.columns if pd.api.types.is_string_dtype(out[c])})
         if not self.mark:
             return out[passed]
         return out.assign(deduplicated=~passed, late=late) if self.event_time else out.assign(deduplicated=~passed)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        known = self.last.get()
-        if known is not None and self._end_ms(known[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.last.clear()
+        self._store(self._load(), self._now_ms(timerValues), None)
         return iter([])
 
     def close(self) -> None:
@@ -95,6 +133,7 @@ class FirstWithinTtl(StatefulProcessor):
 def dedup_stream(
     df: DataFrame, *, key: Sequence[str], ttl_seconds: int = 3600, clock: str = "processing",
     ts: str | None = None, id: str | None = None, mark: bool = False, lateness_seconds: int = 3600,
+    buckets: int = 256,
 ) -> DataFrame:
     """First row of a key passes and blocks the key for the TTL; blocked rows do not extend the block.
 
@@ -105,12 +144,15 @@ def dedup_stream(
     ``clock="event"``: same rule on ``ts``, repeatable. The watermark trails the newest ``ts`` by
     ``lateness_seconds``; state of a key goes when the watermark passes the end of its block. Rows behind
     the watermark are late: they can no longer be judged, so they do not pass and block nothing; ``mark``
-    returns them with ``late``. Rows without a time are late. A trigger's rows of one key are held in one
+    returns them with ``late``. Rows without a time are late. A trigger's rows of one bucket are held in one
     task, so bound the trigger at the source (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
 
     ``clock="watermark"``: the built-in dedup; state is dropped by the watermark, so a key may stay blocked
     longer than the TTL.
 
+    Keys are dealt into ``buckets`` by hash, each with one state value. Their number belongs to the checkpoint:
+    give more where a trigger's rows or the keys that block at a time are too many for one task.
+
     ``mark`` keeps every row and adds ``deduplicated`` (and ``late`` on the event clock).
     """
     if clock == "watermark":
@@ -133,7 +175,9 @@ def dedup_stream(
             "_clock": F.lit("2262-01-01").cast("timestamp")}).withMetadata("_clock", delay or {"spark.watermarkDelayMs": lateness_seconds * 1000})
     else:
         keyed = df.withColumns({"_t": F.lit(0).cast("long"), "_id": identity})
-    return keyed.groupBy(*key).transformWithStateInPandas(
+    name = F.to_json(F.array(*[F.col(c).cast("string") for c in key]))
+    keyed = keyed.withColumns({"_key": name, "_bucket": F.pmod(F.xxhash64(name), F.lit(buckets))})
+    return keyed.groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=FirstWithinTtl(int(ttl_seconds) * 1_000_000, event, mark, keyed.columns),
         outputStructType=T.StructType(fields), outputMode="Append",
         timeMode="EventTime" if event else "ProcessingTime")
