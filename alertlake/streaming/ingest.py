@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from alertlake import fixed
 from alertlake.operators import normalize
-from alertlake.streaming.dedup import dedup_stream
+from alertlake.streaming.dedup import dedup_stream, state_partitions
 from alertlake.streaming.triage import write_alert_stream
 
 NOW = MappingProxyType({"availableNow": True})
@@ -66,7 +66,9 @@ def run_ingest_stream(
             query.awaitTermination()
         return query
 
-    queries = [start(marked, "outcomes"), start(rejected, "rejected")]
+    with state_partitions(spark):
+        queries = [start(marked, "outcomes")]
+    queries.append(start(rejected, "rejected"))
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/outcomes")  # may not be there yet
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
     outcomes = spark.readStream.schema(marked.schema).parquet(f"{root}/outcomes")
