@@ -358,7 +358,8 @@ def check_messages(
         return F.coalesce(text, defaults[name]) if name in defaults else text
 
     alert = F.when(F.col("reason").isNull(), F.struct(*[column(name).alias(name) for name in fixed.CANONICAL_FIELDS]))
-    return checked.select(*df.columns, alert.alias("alert"), "reason", "violations")
+    shaped = computed_once(checked, "alert", alert)  # later filters and fields must not build it again
+    return shaped.select(*df.columns, "alert", "reason", "violations")
 
 
 def canonicalize(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from alertlake import fixed
 from alertlake.functions import risk
-from alertlake.functions.text import strip
+from alertlake.functions.text import computed_once, strip
 
 ENRICHED_COLUMNS = (
     "alert_id", "tenant_id", "timestamp", "source", "normalized_title", "severity", "raw_data",
@@ -35,22 +35,20 @@ def triage(
     """Context scores, risk, grade override and auto-close for canonical alerts.
 
     Without ``ml`` the heuristic on ``suspicion_level`` is used. One narrow
-    projection chain: no shuffle, no Python.
+    projection chain: no shuffle, no Python. Context scores and risk are pinned, as
+    grade and routing use each of them several times.
     """
     suspicion, title = F.col("suspicion_level"), F.col("normalized_title")
     score = F.col(ml).try_cast(risk.DEC) if ml else risk.heuristic_score(suspicion)
-    out = alerts.withColumns({
-        "ml_score": score,
-        "asset_criticality": risk.asset_criticality(
-            F.col("severity"), title, F.col("raw_data"), mode=mode),
-        "behavioral_score": risk.behavioral_score(
-            suspicion, title, F.col("mitre_tactic"), mode=mode),
-    })
-    out = out.withColumns({
-        "model_grade": grade if grade is not None else risk.heuristic_grade(F.col("ml_score")),
-        "risk_score": risk.risk_score(
-            F.col("ml_score"), F.col("asset_criticality"), F.col("behavioral_score")),
-    })
+    context = F.struct(
+        score.alias("ml_score"),
+        risk.asset_criticality(F.col("severity"), title, F.col("raw_data"), mode=mode).alias("asset_criticality"),
+        risk.behavioral_score(suspicion, title, F.col("mitre_tactic"), mode=mode).alias("behavioral_score"))
+    out = computed_once(alerts, "_context", context)
+    out = out.withColumns({c: F.col(f"_context.{c}") for c in ("ml_score", "asset_criticality", "behavioral_score")}).drop("_context")
+    out = out.withColumn("model_grade", grade if grade is not None else risk.heuristic_grade(F.col("ml_score")))
+    out = computed_once(out, "risk_score", risk.risk_score(
+        F.col("ml_score"), F.col("asset_criticality"), F.col("behavioral_score")))
     return out.withColumns({
         "incident_grade": risk.override_grade(
             F.col("model_grade"), F.col("risk_score"), F.col("asset_criticality"),

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BYTES, MOST_PARTS = 8 << 20, 100_000
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -47,14 +48,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise CPU work on an input of few files.
+def spread(df: DataFrame, task_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Use all cores for row-wise CPU work, in tasks whose length does not grow with the input.
 
-    Does nothing when the scan already has a partition per core, as any large
-    input has.
+    A scan of few files, or of large pieces, is dealt into parts of ``task_bytes`` of the stored
+    table, at least one per core. Does nothing when the scan already has that many.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(cores, min(-(-stored // task_bytes), MOST_PARTS))
+    return df if df.rdd.getNumPartitions() >= parts else df.repartition(parts)
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
