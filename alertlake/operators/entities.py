@@ -278,14 +278,19 @@ def rule_entities(text: Column) -> Column:
     names = F.filter(
         F.array(*[F.struct(F.lit(n).alias("text"), F.lit(n.lower()).alias("low")) for n in fixed.KNOWN_NAMES]),
         lambda n: F.contains(F.lower(text), n["low"]))
-    groups = {}
-    out = []
-    for pattern, label, kind in fixed.RULE_PATTERNS:
-        hits = _hits(text, pattern, kind)
-        seen = groups.get(label)
-        fresh = F.array_except(hits, seen) if seen is not None else F.array_distinct(hits)
-        groups[label] = F.concat(seen, hits) if seen is not None else hits
-        out.append(shape(fresh, label, kind))
+    found = F.struct(*[_hits(text, p, kind).alias(f"p{i}") for i, (p, _, kind) in enumerate(fixed.RULE_PATTERNS)])
+
+    def indicators(hit: Column) -> Column:
+        """Values of each pattern that no earlier one of its label has found; every pattern is matched once."""
+        groups, parts = {}, []
+        for i, (_, label, kind) in enumerate(fixed.RULE_PATTERNS):
+            hits, seen = hit[f"p{i}"], groups.get(label)
+            fresh = F.array_except(hits, seen) if seen is not None else F.array_distinct(hits)
+            groups[label] = F.concat(seen, hits) if seen is not None else hits
+            parts.append(shape(fresh, label, kind))
+        return F.concat(*parts)
+
+    out = [let(found, indicators)]
     out.append(shape(F.transform(names, lambda n: n["text"]), "Malware", "Unknown"))
     for pattern, label in fixed.CONTEXT_PATTERNS:
         hits = F.regexp_extract_all(text, F.lit(unicode_pattern(f"(?i){pattern}")), F.lit(0))
