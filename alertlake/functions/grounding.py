@@ -11,15 +11,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import SPACES, ends_sentence, let, sentences, strip, word_count
+from alertlake.functions.text import OTHERS, SPACES, ends_sentence, let, sentences, strip, word_count
 
 MIN_WORDS = 4
+DROPPED = OTHERS.replace("!-~", "!-/:-`{-~")  # neither a-z, 0-9 nor white space
 
 
 def normalize_grounding(text: Column) -> Column:
     """Lower case, only ``a-z 0-9`` and single spaces."""
-    kept = F.regexp_replace(F.lower(text), rf"[^a-z0-9{SPACES}]", "")
-    return strip(F.regexp_replace(kept, rf"[{SPACES}]+", " "))
+    kept = F.regexp_replace(F.lower(text), rf"[{DROPPED}]+", "")
+    return F.trim(F.regexp_replace(kept, rf"[{SPACES}]+", " "))
 
 
 def _closed(candidate: Column, punctuation: Column) -> Column:
