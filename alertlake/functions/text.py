@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ OTHERS = (
 SPACE_CHARS = "".join(map(chr, (
     *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
 BLOCK = 64
+SLICE_CHARS = 1 << 20
+TOKEN = re.compile(r"\S+")
 SPAN_TYPE = "struct<value:string,start:int,end:int>"
 
 
@@ -126,9 +129,44 @@ def match_spans(text: Column, pattern: str) -> Column:
         F.array().cast(f"array<{SPAN_TYPE}>")))
 
 
+def slices(*columns: pd.Series, chars: int = SLICE_CHARS) -> Iterator[tuple[pd.Series, ...]]:
+    """An Arrow batch in pieces of about ``chars`` characters of its first column, the texts.
+
+    What a pass makes of a text is many times as large as the text; in pieces, a worker's memory does not
+    depend on how many rows a batch holds.
+    """
+    first, held = 0, 0
+    for i, text in enumerate(columns[0]):
+        held += len(text) if text is not None else 0
+        if held >= chars:
+            yield tuple(c.iloc[first: i + 1] for c in columns)
+            first, held = i + 1, 0
+    if first < len(columns[0]):
+        yield tuple(c.iloc[first:] for c in columns)
+
+
+def _tokens(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        if text is None:
+            rows.append((None, None, None))
+            continue
+        found = [m.span() for m in TOKEN.finditer(text)]
+        rows.append((text.split(), [a for a, _ in found], [b for _, b in found]))
+    return pd.DataFrame(rows, columns=["value", "start", "end"], dtype=object)
+
+
+def _token_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for (texts,) in slices(batch):
+            yield _tokens(texts)
+
+
 def token_spans(text: Column) -> Column:
-    """White-space separated tokens with offsets."""
-    return match_spans(text, rf"[{OTHERS}]+")
+    """White-space separated tokens with offsets, one linear pass per row in Arrow batches."""
+    found = F.pandas_udf(_token_batches, "value array<string>, start array<int>, end array<int>")(text)
+    return let(found, lambda t: F.arrays_zip(
+        t["value"].alias("value"), t["start"].alias("start"), t["end"].alias("end")))
 
 
 def sentences(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import accumulate
 
@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import SPACES, computed_once, let, match_spans, strip, unicode_pattern, unnest
+from alertlake.functions.text import SPACES, computed_once, let, match_spans, slices, strip, unicode_pattern, unnest
 
 ENTITY = ("struct<text:string,label:string,start:int,end:int,confidence:double,"
           "ioc_type:string,ioc_validated:boolean>")
 RULE_ENTITY = "struct<text:string,label:string,ioc_type:string>"
 RULE_EVENT = "struct<type:string,keyword:string>"
-OPEN_SPAN = ("struct<label:string,start:int,end:int,"
-             "tokens:array<struct<start:int,end:int,conf:double>>>")
+TOKEN_RUN = "struct<label:string,start:int,end:int,first:int,n:int,raw:string,mean:double>"
 ENTITY_LABELS = ("Malware", "Tool", "Indicator", "System", "Vulnerability", "Organization")
 CVE_WINDOW = 30
 HASH_WINDOW = 20
@@ -30,6 +29,11 @@ def _empty(kind: str) -> Column:
 
 
 # ------------------------------------------------------------------------ values
+def _may_hold(value: Column) -> Column:
+    """Whether any indicator pattern can match: all need one of these marks, hashes 32 characters."""
+    return (F.length(value) >= 32) | (F.translate(value, ".:@-", "") != value)
+
+
 def classify_ioc(value: Column) -> Column:
     """``struct<ioc_type,validated>`` for a value that must match as a whole."""
 
@@ -40,7 +44,7 @@ def classify_ioc(value: Column) -> Column:
             out = F.when(hit, kind) if out is None else out.when(hit, kind)
         return out
 
-    kind = let(strip(value), first_match)
+    kind = let(strip(value), lambda v: F.when(_may_hold(v), first_match(v)))
     return F.struct(F.coalesce(kind, F.lit("Unknown")).alias("ioc_type"), kind.isNotNull().alias("validated"))
 
 
@@ -58,7 +62,7 @@ def narrow_span(span: Column, start: Column) -> Column:
             out = F.when(s.rlike(p), found) if out is None else out.when(s.rlike(p), found)
         return out
 
-    return let(span, search)
+    return let(span, lambda s: F.when(_may_hold(s), search(s)))
 
 
 # -------------------------------------------------------------------- predictions
@@ -72,6 +76,42 @@ def argmax(logits: Column) -> Column:
     return F.transform(logits, lambda row: (F.array_position(row, F.array_max(row)) - 1).cast("int"))
 
 
+def _numbers(values: Sequence) -> list:
+    """Array elements as Python numbers; a null among integers makes all of them floats on the way."""
+    return [None if v is None or v != v else v for v in (values.tolist() if hasattr(values, "tolist") else values)]
+
+
+def _token_runs(text: str, starts: list, ends: list, ids: list, scores: list, tags: Sequence[str]) -> list[dict]:
+    """Entities of one text as runs of tokens, each with its text and the mean confidence of the tokens inside."""
+    done, run = [], None
+    ids = [*ids, *[None] * (len(starts) - len(ids))]
+    for i, (start, end, number) in enumerate(zip(starts, ends, ids)):
+        tag = tags[int(number)] if number is not None and 0 <= number < len(tags) else "O"
+        prefix, label = tag[:2], tag[2:]
+        special = not (start or end)  # a missing offset closes too
+        if not special and run is not None and run["label"] == label:
+            near = start is not None and run["end"] is not None and start <= run["end"] + 1
+            if prefix == "I-" or (prefix == "B-" and near):
+                run["end"], run["n"] = end, run["n"] + 1
+                continue
+        if run is not None:
+            done.append(run)
+        run = {"label": label, "start": start, "end": end, "first": i, "n": 1} if prefix == "B-" and not special else None
+    if run is not None:
+        done.append(run)
+    for run in done:
+        begin, stop, places = run["start"], run["end"], range(run["first"], run["first"] + run["n"])
+        known = begin is not None and stop is not None
+        run["raw"] = text[int(begin): int(stop)].strip() if known else None
+        inside = [scores[i] if i < len(scores) else None for i in places if known and None not in (starts[i], ends[i])
+                  and starts[i] >= begin and ends[i] <= stop]
+        total = 0.0
+        for score in inside:
+            total = None if total is None or score is None else total + score
+        run["mean"] = total / len(inside) if inside and total is not None else None
+    return done
+
+
 def spans_from_predictions(text: Column, offsets: Column, label_ids: Column, confidences: Column,
                            *, tags: Sequence[str] = fixed.TAGS) -> Column:
     """Token predictions -> entities.
@@ -79,68 +119,47 @@ def spans_from_predictions(text: Column, offsets: Column, label_ids: Column, con
     ``offsets`` is ``array<struct<start,end>>``; (0,0) marks a special token and
     closes the open entity. ``B-`` merges into an open entity of the same label
     that ends at most one character before, ``I-`` of the same label extends.
-    Confidence is the mean over the entity's tokens inside the final span; the
-    tokens are carried with the open entity, so the whole is linear. Offsets must
-    be in text order.
+    Confidence is the mean over the entity's tokens inside the final span. Tokens are
+    merged in one linear pass per row, in Arrow batches; an entity is a run of tokens,
+    so only the run travels. Offsets must be in text order.
     """
-    names = F.array(*[F.lit(t) for t in tags])
-    zero = F.struct(_empty(OPEN_SPAN).alias("done"), F.lit(None).cast(OPEN_SPAN).alias("open"))
-    rows = F.transform(
-        F.arrays_zip(offsets.alias("o"), label_ids.alias("l"), confidences.alias("c")), lambda r: F.struct(
-            r["o"]["start"].cast("int").alias("start"), r["o"]["end"].cast("int").alias("end"),
-            F.coalesce(F.get(names, r["l"]), F.lit("O")).alias("tag"), r["c"].cast("double").alias("conf")))
-
-    def closed(acc: Column) -> Column:
-        return F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
-
-    def step(acc: Column, r: Column) -> Column:
-        special = (r["start"] == 0) & (r["end"] == 0)
-        prefix, label = F.substring(r["tag"], 1, 2), F.substring(r["tag"], 3, 2**31 - 1)
-        same = F.coalesce(acc["open"]["label"] == label, F.lit(False))
-        joins = ((prefix == "B-") & same & (r["start"] <= acc["open"]["end"] + 1)) | ((prefix == "I-") & same)
-        token = F.struct(r["start"].alias("start"), r["end"].alias("end"), r["conf"].alias("conf"))
-
-        def entity(begin: Column, tokens: Column) -> Column:
-            return F.struct(label.alias("label"), begin.alias("start"), r["end"].alias("end"),
-                            tokens.alias("tokens")).cast(OPEN_SPAN)
-
-        longer = entity(acc["open"]["start"], F.array_append(acc["open"]["tokens"], token))
-        return (
-            F.when(~special & joins, F.struct(acc["done"].alias("done"), longer.alias("open")))
-            .when(~special & (prefix == "B-"), F.struct(
-                closed(acc).alias("done"), entity(r["start"], F.array(token)).alias("open")))
-            .otherwise(F.struct(closed(acc).alias("done"), F.lit(None).cast(OPEN_SPAN).alias("open")))
-        )
-
-    return F.transform(F.aggregate(rows, zero, step, closed), lambda s: finish_entity(text, s))
-
-
-def finish_entity(text: Column, span: Column) -> Column:
-    """Classify a span, narrow an unvalidated indicator, average its tokens' confidences."""
-    label = F.when(span["label"].isin(*ENTITY_LABELS), span["label"]).otherwise("Indicator")
-    raw = strip(F.substr(text, span["start"] + 1, span["end"] - span["start"]))
-
-    def shaped(b: Column) -> Column:
-        inner = F.when(~b["kind"]["validated"] & (b["label"] == "Indicator"), narrow_span(b["raw"], b["start"]))
-        return let(inner, lambda n: F.struct(
-            F.coalesce(n["text"], b["raw"]).alias("text"), b["label"].alias("label"),
-            F.coalesce(n["start"], b["start"]).alias("start"), F.coalesce(n["end"], b["end"]).alias("end"),
-            F.coalesce(n["ioc_type"], b["kind"]["ioc_type"]).alias("ioc_type"),
-            (b["kind"]["validated"] | n.isNotNull()).alias("ioc_validated")))
-
-    def named(value: Column) -> Column:
-        return F.struct(value.alias("raw"), classify_ioc(value).alias("kind"), label.alias("label"),
-                        span["start"].alias("start"), span["end"].alias("end"))
-
-    def scored(e: Column) -> Column:
-        inside = F.filter(span["tokens"], lambda t: (t["start"] >= e["start"]) & (t["end"] <= e["end"]))
-        mean = let(F.transform(inside, lambda t: t["conf"]), lambda c: F.try_divide(
+    starts, ends = (offsets.getField(side).cast("array<int>") for side in ("start", "end"))
+    scores = confidences.cast("array<double>")
+
+    def merge(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for batch in batches:
+            for piece in slices(*batch):
+                yield pd.Series([
+                    None if any(x is None for x in row) else _token_runs(row[0], *map(_numbers, row[1:]), tags)
+                    for row in zip(*piece)], dtype=object)
+
+    runs = F.pandas_udf(merge, f"array<{TOKEN_RUN}>")(text, starts, ends, label_ids.cast("array<int>"), scores)
+    return F.transform(runs, lambda r: finish_entity(r, starts, ends, scores))
+
+
+def finish_entity(run: Column, starts: Column, ends: Column, scores: Column) -> Column:
+    """Classify a run of tokens, narrow an unvalidated indicator, average the confidences of its tokens inside."""
+    label = F.when(run["label"].isin(*ENTITY_LABELS), run["label"]).otherwise("Indicator")
+
+    def entity(text: Column, start: Column, end: Column, mean: Column, kind: Column, valid: Column) -> Column:
+        return F.struct(text.alias("text"), label.alias("label"), start.alias("start"), end.alias("end"),
+                        F.coalesce(F.bround(mean, 4), F.lit(0.0)).alias("confidence"),
+                        kind.alias("ioc_type"), valid.alias("ioc_validated")).cast(ENTITY)
+
+    def mean_inside(n: Column) -> Column:
+        held = F.arrays_zip(*[
+            F.slice(c, run["first"] + 1, run["n"]).alias(k) for k, c in (("start", starts), ("end", ends), ("conf", scores))])
+        inside = F.filter(held, lambda t: (t["start"] >= n["start"]) & (t["end"] <= n["end"]))
+        return let(F.transform(inside, lambda t: t["conf"]), lambda c: F.try_divide(
             F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.size(c).cast("double")))
-        return F.struct(e["text"].alias("text"), e["label"].alias("label"), e["start"].alias("start"),
-                        e["end"].alias("end"), F.coalesce(F.bround(mean, 4), F.lit(0.0)).alias("confidence"),
-                        e["ioc_type"].alias("ioc_type"), e["ioc_validated"].alias("ioc_validated"))
 
-    return let(let(let(raw, named), shaped), scored).cast(ENTITY)
+    def shaped(kind: Column) -> Column:
+        whole = entity(run["raw"], run["start"], run["end"], run["mean"], kind["ioc_type"], kind["validated"])
+        inner = F.when(~kind["validated"] & (label == "Indicator"), narrow_span(run["raw"], run["start"]))
+        return let(inner, lambda n: F.when(n.isNull(), whole).otherwise(
+            entity(n["text"], n["start"], n["end"], mean_inside(n), n["ioc_type"], F.lit(True))))
+
+    return let(classify_ioc(run["raw"]), shaped)
 
 
 # ------------------------------------------------------------- repair and recovery
