@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import computed_once
+from alertlake.functions.text import TOKEN, computed_once, slices
 
 ENTITY = "struct<text:string,label:string,start:int,end:int>"
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -46,43 +45,46 @@ def _tag_list() -> Column:
     return F.array(*[F.lit(t) for t in fixed.TAGS])
 
 
+def bio_runs(tags: Sequence[str | None], orphans: str) -> list[tuple[str, int, int]]:
+    """``(label, start, end)`` of every entity of one tag sequence, in one pass."""
+    opening = ("B-",) if orphans == "close" else ("B-", "I-")
+    runs, label, begin = [], None, 0
+    for i, tag in enumerate(tags):
+        prefix, name = (tag[:2], tag[2:]) if tag is not None else (None, None)
+        if prefix == "I-" and name == label:
+            continue
+        if label is not None:
+            runs.append((label, begin, i))
+        label, begin = (name, i) if prefix in opening else (None, i)
+    if label is not None:
+        runs.append((label, begin, len(tags)))
+    return runs
+
+
+def _entities(tokens: Sequence[str | None], tags: Sequence[str | None], orphans: str) -> list[dict]:
+    """Entities with their texts; the longer of both sequences counts, what the other lacks is null."""
+    tags = [*tags, *[None] * (len(tokens) - len(tags))]
+    found = []
+    for label, begin, end in bio_runs(tags, orphans):
+        held = list(tokens[begin:end])
+        text = " ".join(t for t in held if t is not None) if end - begin > 1 else held[0] if held else None
+        found.append({"text": text, "label": label, "start": begin, "end": end})
+    return found
+
+
 def decode_bio(tokens: Column, tags: Column, *, orphans: str = "close") -> Column:
     """Entities ``array<struct<text,label,start,end>>`` with token positions.
 
     ``B-`` opens, ``I-`` of the open label extends, anything else closes.
     ``orphans="open"`` lets an ``I-`` without a matching open entity start one, the
-    rule of entity-level scoring.
+    rule of entity-level scoring. One linear pass per row, in Arrow batches.
     """
-    none = F.lit(None).cast(ENTITY)
-    zero = F.struct(F.array().cast(f"array<{ENTITY}>").alias("done"), none.alias("open"))
-    rows = F.transform(
-        F.arrays_zip(tokens.alias("token"), tags.alias("tag")),
-        lambda r, i: F.struct(
-            r["token"].alias("token"), F.substring(r["tag"], 1, 2).alias("prefix"),
-            F.substring(r["tag"], 3, 2**31 - 1).alias("label"), i.alias("i")),
-    )
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["open"].isNotNull(), F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
+    def decode(words: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series([
+            None if w is None or m is None else _entities(w, m, orphans) for w, m in zip(words, marks)], dtype=object)
 
-    def opened(r: Column) -> Column:
-        return F.struct(r["token"].alias("text"), r["label"].alias("label"),
-                        r["i"].alias("start"), (r["i"] + 1).alias("end"))
-
-    def step(acc: Column, r: Column) -> Column:
-        extends = (r["prefix"] == "I-") & F.coalesce(acc["open"]["label"] == r["label"], F.lit(False))
-        opens = (r["prefix"] == "B-") if orphans == "close" else r["prefix"].isin("B-", "I-")
-        longer = F.struct(
-            F.concat_ws(" ", acc["open"]["text"], r["token"]).alias("text"),
-            acc["open"]["label"].alias("label"), acc["open"]["start"].alias("start"),
-            (r["i"] + 1).alias("end"))
-        return (
-            F.when(extends, F.struct(acc["done"].alias("done"), longer.cast(ENTITY).alias("open")))
-            .when(opens, F.struct(closed(acc).alias("done"), opened(r).cast(ENTITY).alias("open")))
-            .otherwise(F.struct(closed(acc).alias("done"), none.alias("open")))
-        )
-
-    return F.aggregate(rows, zero, step, closed)
+    return F.pandas_udf(decode, f"array<{ENTITY}>")(tokens, tags)
 
 
 def collect_spans(df: DataFrame, *, id: str, content: str = "content", events: str = "cyberevent") -> DataFrame:
@@ -127,7 +129,6 @@ def drop_overlaps(spans: Column) -> Column:
 
 
 TAGGED = "tokens array<string>, ner_tags array<string>"
-TOKEN = re.compile(r"\S+")
 
 
 def _tags(text: str, starts: Sequence[int], ends: Sequence[int], labels: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -154,6 +155,12 @@ def _tag_texts(texts: pd.Series, starts: pd.Series, ends: pd.Series, labels: pd.
     return pd.DataFrame(rows, columns=["tokens", "ner_tags"])
 
 
+def _tag_batches(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for piece in slices(*batch):
+            yield _tag_texts(*piece)
+
+
 def tag_tokens(df: DataFrame, *, text: str, spans: str, min_tokens: int = 3) -> DataFrame:
     """Adds ``tokens`` and ``ner_tags`` for sorted, disjoint character spans.
 
@@ -163,7 +170,7 @@ def tag_tokens(df: DataFrame, *, text: str, spans: str, min_tokens: int = 3) ->
     spans; everything stays inside the row.
     """
     parts = [F.col(spans).getField(c) for c in ("start", "end", "label")]
-    tagged = computed_once(df, "_tagged", F.pandas_udf(_tag_texts, TAGGED)(F.col(text), *parts))
+    tagged = computed_once(df, "_tagged", F.pandas_udf(_tag_batches, TAGGED)(F.col(text), *parts))
     return tagged.filter(F.size("_tagged.tokens") > min_tokens).select(
         *df.columns, F.col("_tagged.ner_tags").alias("ner_tags"), F.col("_tagged.tokens").alias("tokens"))
 
