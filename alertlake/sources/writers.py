@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from alertlake import fixed
 
 
-def write_chat_jsonl(df: DataFrame, path: str, *, messages: str = "messages", mode: str = "errorifexists") -> None:
-    """One ``{"messages": [...]}`` object per line."""
-    df.select(F.col(messages).alias("messages")).write.mode(mode).json(path)
+def write_chat_jsonl(df: DataFrame, path: str, *, messages: str = "messages", mode: str = "errorifexists",
+                     compression: str = "gzip") -> None:
+    """One ``{"messages": [...]}`` object per line; ``compression="none"`` writes plain text.
+
+    Every row repeats the system prompt, so that plain files are many times as large as their texts.
+    """
+    df.select(F.col(messages).alias("messages")).write.mode(mode).json(path, compression=compression)
 
 
 def feature_metadata(
