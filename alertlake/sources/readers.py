@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertlake.functions.text import computed_once
+from alertlake.functions.text import computed_once, let
 
 SPAN_SCHEMA = (
     "content string, cyberevent struct<hopper:array<struct<events:array<struct<"
@@ -83,13 +83,13 @@ def read_conll(spark: SparkSession, path: str, *, line_ending: str | None = None
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record"), "value")
     sentence = records.select("file", "record", F.posexplode(
         F.split("value", r"\r?\n[ \t\r]*\n", -1)).alias("part", "block"))
-    lines = F.transform(F.split("block", r"\r?\n", -1), lambda x: F.regexp_replace(x, r"\s+\z", ""))
+    lines = F.transform(F.split("block", r"\r?\n", -1), lambda x: F.rtrim(x, F.lit(" \t\n\v\f\r")))
 
     def fields(line):
-        tabbed = F.split(line, "\t", -1)
-        spaced = F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0))
-        return F.when(F.size(tabbed) >= 2, F.struct(F.get(tabbed, F.lit(0)).alias("token"), F.get(tabbed, F.lit(1)).alias("tag"))).when(
-            F.size(spaced) >= 2, F.struct(F.get(spaced, F.lit(0)).alias("token"), F.element_at(spaced, -1).alias("tag")))
+        spaced = let(F.regexp_extract_all(line, F.lit(r"\S+"), F.lit(0)), lambda s: F.when(
+            F.size(s) >= 2, F.struct(F.get(s, F.lit(0)).alias("token"), F.element_at(s, -1).alias("tag"))))
+        return F.when(F.contains(line, F.lit("\t")), let(F.split(line, "\t", 3), lambda t: F.struct(
+            F.get(t, F.lit(0)).alias("token"), F.get(t, F.lit(1)).alias("tag")))).otherwise(spaced)
 
     rows = F.filter(F.transform(lines, fields), lambda r: r.isNotNull())
     return (
