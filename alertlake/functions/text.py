@@ -19,6 +19,7 @@ OTHERS = (
 SPACE_CHARS = "".join(map(chr, (
     *range(0x09, 0x0e), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)))
 BLOCK = 64
+MARK = "\ue000"
 SLICE_CHARS = 1 << 20
 TOKEN = re.compile(r"\S+")
 SPAN_TYPE = "struct<value:string,start:int,end:int>"
@@ -114,19 +115,27 @@ def _running_ends(lengths: Column) -> Column:
 def match_spans(text: Column, pattern: str) -> Column:
     """All matches with offsets: ``array<struct<value,start,end>>``.
 
-    The gaps left by ``split`` and the matches interleave, so the running sum of
-    both lengths gives every end. Texts without a match are scanned once.
+    Every match is set between two marks, so that the pattern is searched once: what lies between
+    marks is a gap, a match, a gap and so on, and the running sum of their lengths gives every end.
+    A text that holds the mark itself is searched twice.
     """
 
-    def place(hits: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-        lengths = F.zip_with(gaps, hits, lambda gap, hit: F.length(gap) + F.length(hit))
+    def place(hits: Column, gaps: Column) -> Column:
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda gap, hit: F.length(gap) + F.length(hit))
         return F.zip_with(hits, _running_ends(lengths), lambda hit, end: F.struct(
             hit.alias("value"), (end - F.length(hit)).alias("start"), end.alias("end")))
 
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda hits: F.when(F.size(hits) > 0, place(hits)).otherwise(
-        F.array().cast(f"array<{SPAN_TYPE}>")))
+    def every_other(parts: Column, first: int) -> Column:
+        return F.filter(parts, lambda _, i: i % 2 == first)
+
+    def marked(parts: Column) -> Column:
+        return let(every_other(parts, 1), lambda hits: F.when(F.size(hits) > 0, place(hits, every_other(parts, 0))).otherwise(none))
+
+    none = F.array().cast(f"array<{SPAN_TYPE}>")
+    once = let(F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1), marked)
+    twice = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(
+        F.size(hits) > 0, place(hits, F.split(text, pattern, -1))).otherwise(none))
+    return F.when(F.contains(text, F.lit(MARK)), twice).otherwise(once)
 
 
 def slices(*columns: pd.Series, chars: int = SLICE_CHARS) -> Iterator[tuple[pd.Series, ...]]:

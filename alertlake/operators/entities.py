@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alertlake import fixed
-from alertlake.functions.text import SPACES, computed_once, let, match_spans, slices, strip, unicode_pattern, unnest
+from alertlake.functions.text import SPACES, SPAN_TYPE, computed_once, let, match_spans, slices, strip, unicode_pattern, unnest
 
 ENTITY = ("struct<text:string,label:string,start:int,end:int,confidence:double,"
           "ioc_type:string,ioc_validated:boolean>")
@@ -20,6 +20,7 @@ RULE_ENTITY = "struct<text:string,label:string,ioc_type:string>"
 RULE_EVENT = "struct<type:string,keyword:string>"
 TOKEN_RUN = "struct<label:string,start:int,end:int,first:int,n:int,raw:string,mean:double>"
 ENTITY_LABELS = ("Malware", "Tool", "Indicator", "System", "Vulnerability", "Organization")
+FIXED_PART = {"CVE_ID": "cve-", "URL": "http", "Email_Address": "@"}
 CVE_WINDOW = 30
 HASH_WINDOW = 20
 
@@ -180,10 +181,15 @@ def repair_cve(text: Column, entities: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """All pattern hits in pattern order, each with type and label."""
+    """All pattern hits in pattern order, each with type and label; texts without a pattern's fixed part are not scanned."""
 
     def hits(pattern: str, kind: str, label: str) -> Column:
-        return F.transform(match_spans(text, unicode_pattern(pattern)), lambda h: F.struct(
+        found = match_spans(text, unicode_pattern(pattern))
+        if kind in FIXED_PART:
+            found = F.when(F.contains(F.lower(text), F.lit(FIXED_PART[kind])), found).otherwise(_empty(SPAN_TYPE))
+        elif kind == "IP_Address":
+            found = F.when(text.rlike(unicode_pattern(r"\d\.\d")), found).otherwise(_empty(SPAN_TYPE))
+        return F.transform(found, lambda h: F.struct(
             h["value"].alias("text"), h["start"].alias("start"), h["end"].alias("end"),
             F.lit(kind).alias("ioc_type"), F.lit(label).alias("label")))
 
