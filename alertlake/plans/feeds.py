@@ -19,6 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, *, heavy: bool = False) -
     return spread(df) if heavy else df
 
 
+# An event takes some 20 bytes in its file and becomes an alert with dozens of columns: 50,000 rows a task.
+ALERT_TASK_BYTES = 1 << 20
 VENDOR_NAMES = ["Wazuh", "splunk", "Elastic-SIEM", "CrowdStrike", "QRadar"]
 SEVERITY_NAMES = ["low", "MEDIUM", "High", "critical", "informational", "odd"]
 ASSETS = ["domain controller", "database server", "mail gateway", "workstation",
@@ -34,7 +36,7 @@ def _pick(values, index):
 
 def alert_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the attributes of an alert as plain columns."""
-    e = table(spark, sf_dir, "events", heavy=True)
+    e = spread(table(spark, sf_dir, "events"), ALERT_TASK_BYTES)
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(
         "event_id", "ts", "user_id", "event_type", "value",
