@@ -226,7 +226,7 @@ def _least_documents(candidates: DataFrame, total: int, hot: int) -> DataFrame:
 
     For each side (kind 0) that several contexts have, the value is 1, or 2 if they are more than
     ``hot``; a block has one entry per side and one per context (kind 1), and a part holds a hash
-    range of them.
+    range of them. A block is one row of ``candidates``, so they are read where they lie.
     """
     parts = blocks.parts_for(total / 40)
 
@@ -238,7 +238,7 @@ def _least_documents(candidates: DataFrame, total: int, hot: int) -> DataFrame:
             for p, x in ((p, slice(b[p], b[p + 1])) for p in range(parts)) if x.start < x.stop]
 
     def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block, rows in blocks.blocks_of(frames):
+        for block, rows in ((int(f["block"].iloc[i]), f.iloc[i:i + 1]) for f in frames for i in range(len(f))):
             a = _Anchors(rows)
             order = np.lexsort((a.id, a.h, a.k))
             h, k, ids = a.h[order], a.k[order], a.id[order]
@@ -397,10 +397,11 @@ def repeated_ranges(docs: DataFrame, id: str, text: str, hot: int = HOT, block_b
     found = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_candidates, CANDIDATES)
     candidates = materialize(found, "candidates")
     spread = max(1, total // blocks.BLOCK_BYTES + 1)
+    # A table between the two steps, so that the hashes of all contexts are gone before the texts are shuffled again.
+    answers = materialize(_least_documents(candidates, total, hot), "answers")
     by_block = candidates.repartition(int(spread), "block")
-    answers = _least_documents(by_block, total, hot)
     settled = materialize(by_block.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_settle, SETTLED), "settled")
-    release(candidates)
+    release(candidates, answers)
     whole = settled.where("kind = 0").select("id", "th", "spans")
     open_ = settled.where("kind = 1").select("h", "id", "th", "at", "text")
     indexed = open_.repartition(int(spread), "h").sortWithinPartitions("h", "id", "at").mapInPandas(_index, "id long, th long, spans binary")
