@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+FACTORS = _mix(SEEDS) | np.uint64(1)
+
+
 class Parts:
     """Stretches of words of some texts, with their words hashed.
 
@@ -75,6 +79,7 @@ class Units(Parts):
     """
 
     def __init__(self, texts: list[bytes]):
+        self.texts = len(texts)
         sizes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
         data = LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
@@ -87,7 +92,7 @@ class Units(Parts):
             super().__init__(none, none, hashes, hashes, none, begins, sizes)
             self.paragraphs = Parts(none, none, hashes, hashes, none, begins, sizes)
             return
-        term = (data.astype(np.uint64) + np.uint64(1)) * _powers(int((stop - at).max()) + 1)[np.minimum(place, int((stop - at).max()))]
+        term = (data.astype(np.uint64) + np.uint64(1)) * _powers(int((stop - at).max()) + 1).take(place, mode="clip")
         term[space] = 0
         word = _mix(np.add.reduceat(term, at) + (stop - at).astype(np.uint64))
         line = np.cumsum(data == 10)[at]
@@ -116,11 +121,13 @@ class Units(Parts):
     @staticmethod
     def _cut(line_end: np.ndarray, stop: np.ndarray, soft: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, past the last) word of each unit."""
+        softs = (np.nonzero(soft)[0] + 1).tolist()
         first, last, begin, line = [], [], 0, 0  # units from ``line`` on are in this line
         for i, final in zip((np.nonzero(stop)[0] + 1).tolist(), line_end[stop].tolist()):
             if i - begin >= SHINGLE:
                 if i - begin >= LONG:
-                    for j in (np.nonzero(soft[begin + SHINGLE - 1:i - SHINGLE])[0] + begin + SHINGLE).tolist():
+                    low = bisect_left(softs, begin + SHINGLE)
+                    for j in softs[low:bisect_left(softs, i - SHINGLE + 1, low)]:
                         if j - begin >= SHINGLE:
                             first.append(begin)
                             last.append(j)
@@ -157,11 +164,11 @@ def portions(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, Uni
 
 
 def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MinHash values, one row per unit."""
+    """MinHash values, one row per unit. Shingles are mixed already; an odd factor orders them anew for each seed."""
     starts = np.cumsum(counts) - counts
     if not len(counts):
         return np.zeros((0, len(SEEDS)), np.uint64)
-    return np.stack([np.minimum.reduceat(_mix(shingles ^ s), starts) for s in SEEDS], axis=1)
+    return np.stack([np.minimum.reduceat((shingles ^ s) * f, starts) for s, f in zip(SEEDS, FACTORS)], axis=1)
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
@@ -193,25 +200,47 @@ def _candidates(key: tuple, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataF
     The shingles of equal parts are given once a block; the others have none.
     """
     rows, table, out, named = blocks.documents(rows), blocks.known(asked, "keys"), [], set()
-    ids, ths, texts = (rows[c].tolist() for c in ("id", "th", "data"))
+    texts = rows["data"].tolist()
     for at, units in portions(texts) if len(table) else ():
-        chars: dict[int, np.ndarray] = {}
+        chars, begins = _characters(texts[at:at + units.texts])
         for u in (units, units.paragraphs):
             keys = blocks.short(band_keys(signatures(u.shingles, u.counts)).ravel())
-            hit = blocks.is_in(keys, table).reshape(-1, BANDS).any(axis=1)
-            starts, opening = np.cumsum(u.counts) - u.counts, np.searchsorted(u.doc, u.doc)
-            for i in np.nonzero(hit)[0]:
-                doc = int(u.doc[i]) + at
-                if doc not in chars:  # characters up to each byte: those that continue one do not count
-                    chars[doc] = np.concatenate([[0], np.cumsum((np.frombuffer(texts[doc], np.uint8) & 0xC0) != 0x80)]).astype(np.int32)
-                name, shingles = int(u.name[i].astype(np.int64)), None
-                if name not in named:
-                    named.add(name)
-                    shingles = np.unique(u.shingles[starts[i]:starts[i] + u.counts[i]]).tobytes()
-                out.append((
-                    ids[doc], ths[doc], u is not units, int(i - opening[i]), int(u.words[i]), int(chars[doc][u.start[i]]), int(chars[doc][u.end[i]]),
-                    name, shingles))
-    return pd.DataFrame(out, columns=["id", "th", "whole", "unit", "words", "start", "end", "uh", "shingles"])
+            hit = np.nonzero(blocks.is_in(keys, table).reshape(-1, BANDS).any(axis=1))[0]
+            if not len(hit):
+                continue
+            doc, names = u.doc[hit], u.name[hit].view(np.int64)
+            first = np.zeros(len(hit), bool)
+            first[np.unique(names, return_index=True)[1]] = True
+            new = np.array([f and n not in named for f, n in zip(first.tolist(), names.tolist())], dtype=bool)
+            named.update(names[new].tolist())
+            shingles = np.full(len(hit), None, dtype=object)
+            shingles[new] = _sets(u, hit[new])
+            place = lambda x: (chars[begins[doc] + x[hit]] - chars[begins[doc]]).astype(np.int32)
+            out.append(pd.DataFrame({
+                "id": rows["id"].to_numpy()[doc + at], "th": rows["th"].to_numpy()[doc + at], "whole": u is not units,
+                "unit": (hit - np.searchsorted(u.doc, doc)).astype(np.int32), "words": u.words[hit].astype(np.int32),
+                "start": place(u.start), "end": place(u.end), "uh": names, "shingles": shingles}))
+    columns = ["id", "th", "whole", "unit", "words", "start", "end", "uh", "shingles"]
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame([], columns=columns)
+
+
+def _characters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters up to each byte of all texts together: bytes that continue one do not count; where each text begins)."""
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    return np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)]), np.cumsum(sizes) - sizes
+
+
+def _sets(u: Parts, which: np.ndarray) -> list[bytes]:
+    """The sorted distinct shingles of some parts."""
+    n = u.counts[which]
+    part = np.repeat(np.arange(len(which)), n)
+    s = u.shingles[np.repeat((np.cumsum(u.counts) - u.counts)[which], n) + _counting(n)]
+    order = np.lexsort((s, part))
+    s, part = s[order], part[order]
+    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (part[1:] != part[:-1])]) if len(s) else np.zeros(0, bool)
+    data, ends = s[fresh].tobytes(), 8 * np.cumsum(np.bincount(part[fresh], minlength=len(which)))
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
 
 
 def _signed(frame: pd.DataFrame) -> np.ndarray:
