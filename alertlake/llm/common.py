@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver's JVM collect, so that Spark removes shuffle files that no plan needs any more.
+
+    What ended last is still referred to for a moment; the second collection finds it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB expression: crc32 of an ASCII string, bit by bit."""
     steps = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: [256 + ascii(({text})[i]), 0, 0, 0, 0, 0, 0, 0, 0]))"

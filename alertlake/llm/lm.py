@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertlake.llm.common import SPACES, materialize, raw, release, remainder, text_bytes
+from alertlake.llm.common import SPACES, let_go, materialize, raw, release, remainder, text_bytes
 
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 16 << 20      # bytes of corpus per part of the vocabulary
@@ -90,9 +89,15 @@ def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         context ^= context >> np.uint32(15)
         shift = np.arange(8, dtype=np.uint32)
         node = (np.uint32(1) << shift)[None, :] | symbol[:, None] >> (np.uint32(8) - shift)[None, :]
-        mixed = (context[:, :, None] + node[None, :, :] * np.uint32(0x2545F491)) * np.uint32(0x85EBCA77)
-        mixed ^= mixed >> np.uint32(13)
-        slots = (mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - SLOT_BITS)
+        node *= np.uint32(0x2545F491)
+        slots = np.empty((CONTEXTS, *node.shape), np.uint32)
+        for k in range(CONTEXTS):  # one at a time, so that it stays in the cache
+            mixed = slots[k]
+            np.add(context[k][:, None], node, out=mixed)
+            mixed *= np.uint32(0x85EBCA77)
+            mixed ^= mixed >> np.uint32(13)
+            mixed *= np.uint32(0xC2B2AE3D)
+            mixed >>= np.uint32(32 - SLOT_BITS)
     bits = (symbol[:, None] >> (np.uint32(7) - shift)[None, :]) & np.uint32(1)
     return slots, bits.astype(np.uint8), which
 
@@ -113,21 +118,25 @@ def count_bits(counters: np.ndarray, words: list[bytes], counts: np.ndarray) ->
         np.add.at(counters[k], (slots[k].ravel() << np.uint32(1)) + bits.ravel(), weight)
 
 
-def opinions(counters: np.ndarray, slots: np.ndarray, bits: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def opinions(counters: np.ndarray, slots: np.ndarray, bits: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(logits [contexts, n], gate [n]) of all bits; ``own`` is taken off the counter of the true bit."""
     y = bits.ravel()
+    own = np.stack([np.where(y == 0, own, 0), np.where(y == 1, own, 0)], axis=1)
     logits, known = np.empty((CONTEXTS, y.size), np.float32), {}
     for k in range(CONTEXTS):
         pair = counters[k].view(np.uint64).take(slots[k].ravel().astype(np.int64), mode="clip").view(np.float32).reshape(-1, 2)
+        pair = np.maximum(pair - own, 0)
         n0, n1 = pair[:, 0], pair[:, 1]
-        if own is not None:
-            n0 = np.maximum(n0 - np.where(y == 0, own, 0), 0)
-            n1 = np.maximum(n1 - np.where(y == 1, own, 0), 0)
         logits[k] = np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR)))
         if k in (3, CONTEXTS - 1):
             known[k] = n0 + n1
-    level = np.minimum(np.log2(known[CONTEXTS - 1] + 1), GATES[0] - 1).astype(np.int64) * GATES[1]
-    return logits, level + np.minimum(np.log2(known[3] + 1) / 2, GATES[1] - 1).astype(np.int64)
+    return logits, _gate(known[CONTEXTS - 1], known[3])
+
+
+def _gate(whole: np.ndarray, three: np.ndarray) -> np.ndarray:
+    """How often the whole spelling and the last three bytes were seen."""
+    level = np.minimum(np.log2(whole + 1), GATES[0] - 1).astype(np.int64) * GATES[1]
+    return level + np.minimum(np.log2(three + 1) / 2, GATES[1] - 1).astype(np.int64)
 
 
 def mix(logits: np.ndarray | list[np.ndarray], gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -167,16 +176,22 @@ def learn(counters: np.ndarray, weights: np.ndarray, squares: np.ndarray, seen:
 
 
 def word_bits(counters: np.ndarray, weights: np.ndarray, curve: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """log2 probability of each word."""
-    slots, bits, which = coded(words)
-    logits, gate = opinions(counters, slots, bits, None)
-    total = mix(logits, gate, weights)
-    low, up = on_map(total)
-    level = gate // GATES[1] * STEPS
-    refined = curve[level + low] * (1 - up) + curve[level + low + 1] * up
-    p = np.clip((1 / (1 + np.exp(-total)) + refined) / 2, LOW, 1 - LOW)
-    cost = np.log2(np.where(bits.ravel() == 1, p, 1 - p).astype(np.float64)).reshape(-1, 8).sum(axis=1)
-    return np.bincount(which, cost, len(words))
+    """log2 probability of each word; the counters become logits once for all of them."""
+    pairs, out = counters.reshape(CONTEXTS, -1, 2), [np.zeros(0)]
+    table = [np.log((n[:, 1] + np.float32(PRIOR)) / (n[:, 0] + np.float32(PRIOR))) for n in pairs]
+    seen = {k: pairs[k].sum(axis=1) for k in (3, CONTEXTS - 1)}
+    for s in range(0, len(words), CHUNK):
+        slots, bits, which = coded(words[s:s + CHUNK])
+        at = [slots[k].ravel().astype(np.int64) for k in range(CONTEXTS)]
+        gate = _gate(*(seen[k].take(at[k], mode="clip") for k in (CONTEXTS - 1, 3)))
+        total = mix([x.take(a, mode="clip") for x, a in zip(table, at)], gate, weights)
+        low, up = on_map(total)
+        level = gate // GATES[1] * STEPS
+        refined = curve[level + low] * (1 - up) + curve[level + low + 1] * up
+        p = np.clip((1 / (1 + np.exp(-total)) + refined) / 2, LOW, 1 - LOW)
+        cost = np.log2(np.where(bits.ravel() == 1, p, 1 - p).astype(np.float64)).reshape(-1, 8).sum(axis=1)
+        out.append(np.bincount(which, cost, len(words[s:s + CHUNK])))
+    return np.concatenate(out)
 
 
 def map_curve(seen: np.ndarray) -> np.ndarray:
@@ -236,6 +251,11 @@ def key_hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, kinds
 
 
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Part of the vocabulary in which a word stands."""
+    return (hashes % np.uint64(parts)).astype(np.int64)
+
+
 def streams(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(hash, spelling, text number) of the tokens of runs of whole texts of about ``size`` bytes."""
     first, held = 0, 0
@@ -300,11 +320,11 @@ class Symbols:
         return np.where(self.sorted[at] == hashes, self.number[at], self.own + kinds)
 
     def path(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token number, group, place in the group, bit) of every decision."""
+        """Number of decisions of each token; group, place in the group and bit of every decision."""
         n = self.length[symbols]
-        which = np.repeat(np.arange(len(symbols)), n)
-        at = np.arange(len(which)) + np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
-        return which, self.group.take(at), self.local.take(at), self.bit.take(at)
+        at = np.repeat(self.start[symbols] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return n, self.group.take(at), self.local.take(at), self.bit.take(at)
 
 
 def word_contexts(symbols: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -324,10 +344,17 @@ def word_contexts(symbols: np.ndarray, hashes: np.ndarray, kinds: np.ndarray, do
     return out ^ out >> np.uint32(15)
 
 
-def _slots(context: np.ndarray, which: np.ndarray, group: np.ndarray, local: np.ndarray) -> np.ndarray:
-    mixed = (context.take(which) + group) * np.uint32(0x85EBCA77)
+def _slots(context: np.ndarray, n: np.ndarray, group: np.ndarray, local: np.ndarray) -> np.ndarray:
+    mixed = np.repeat(context, n)
+    mixed += group
+    mixed *= np.uint32(0x85EBCA77)
     mixed ^= mixed >> np.uint32(13)
-    return ((mixed * np.uint32(0xC2B2AE3D)) >> np.uint32(35 - SLOT_BITS)).astype(np.int64) * 8 + local
+    mixed *= np.uint32(0xC2B2AE3D)
+    mixed >>= np.uint32(35 - SLOT_BITS)
+    at = mixed.astype(np.int64)
+    at <<= 3
+    at += local
+    return at
 
 
 def _levels(pair: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -352,16 +379,18 @@ class Learner:
                 self._step(s[i:i + STREAM], contexts[:, i:i + STREAM], rate)
 
     def _step(self, s: np.ndarray, contexts: np.ndarray, rate: float) -> None:
-        which, group, local, y = self.symbols.path(s)
+        n, group, local, y = self.symbols.path(s)
         places, logits, known = [], [], {}
         for k in range(CONTEXTS):
-            at = _slots(contexts[k], which, group, local)
-            pair = self.counters[k].view(np.uint64).take(at, mode="clip").view(np.float32).reshape(-1, 2)
-            n0, n1 = pair[:, 0], pair[:, 1]
-            logits.append(np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR))))
-            places.append(at * 2 + y)
+            at = _slots(contexts[k], n, group, local)
+            pair = self.counters[k].view(np.uint64).take(at, mode="clip").view(np.float32)
             if k in (2, 3):
-                known[k] = n0 + n1
+                known[k] = pair[::2] + pair[1::2]
+            pair += np.float32(PRIOR)
+            logits.append(np.log(pair[1::2] / pair[::2]))
+            at <<= 1
+            at += y
+            places.append(at)
         high, low = _levels(known[3], known[2])
         gate = (high + low).astype(np.int64)
         total = mix(logits, gate, self.weights.astype(np.float32))
@@ -396,15 +425,15 @@ class Stream:
         """Natural log of the probability of each symbol ``s``."""
         out = np.empty(len(s))
         for i in range(0, len(s), STREAM):
-            which, group, local, y = self.symbols.path(s[i:i + STREAM])
-            at = [_slots(contexts[k, i:i + STREAM], which, group, local) for k in range(CONTEXTS)]
+            n, group, local, y = self.symbols.path(s[i:i + STREAM])
+            at = [_slots(contexts[k, i:i + STREAM], n, group, local) for k in range(CONTEXTS)]
             gate = (self.high.take(at[3], mode="clip") + self.low.take(at[2], mode="clip")).astype(np.int64)
             total = mix([x.take(a, mode="clip") for x, a in zip(self.logit, at)], gate, self.weights)
             point, up = on_map(total)
             level = gate // GATES[1] * STEPS + point
             refined = self.curve[level] * (1 - up) + self.curve[level + 1] * up
             p = np.clip((1 / (1 + np.exp(-total)) + refined) / 2, LOW, 1 - LOW)
-            out[i:i + STREAM] = np.bincount(which, np.log(np.where(y == 1, p, 1 - p).astype(np.float64)), len(s[i:i + STREAM]))
+            out[i:i + STREAM] = np.bincount(np.repeat(np.arange(len(n)), n), np.log(np.where(y == 1, p, 1 - p).astype(np.float64)), len(n))
         return out
 
 
@@ -445,6 +474,7 @@ def fit_stream(rows: DataFrame, total: int, symbols: Symbols) -> tuple[list[byte
 
     schema = "team int, context int, segment int, data binary, total long, weights binary, seen binary"
     learned = materialize(dealt.mapInPandas(learn_team, schema), "learned")
+    let_go(rows.sparkSession)
     sums = learned.where("context >= 0").select("context", "segment", "data").groupBy("context", "segment")
     parts = {(r.context, r.segment): bytes(r.data) for r in sums.applyInPandas(add, "context int, segment int, data binary").collect()}  # of fixed size
     packed = [_pack(np.concatenate([_unpack(parts[k, i], np.float32) for i in range(SEGMENTS)])) for k in range(CONTEXTS)] if parts else []
@@ -454,6 +484,9 @@ def fit_stream(rows: DataFrame, total: int, symbols: Symbols) -> tuple[list[byte
         seen += np.frombuffer(r.seen)
         n += r.total
     release(learned)
+    shared.destroy()
+    del sums
+    let_go(rows.sparkSession)
     weights = weights / n if n else np.full(weights.shape, 0.3)
     return packed, weights.astype(np.float32), map_curve(seen).astype(np.float32)
 
@@ -471,7 +504,7 @@ def _merge(frame: pd.DataFrame) -> tuple[list[bytes], np.ndarray, list[np.ndarra
 
 
 def _gather(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame]:
-    """Distinct keys of each block by part, with their counts in its training texts."""
+    """Distinct keys of each block by part, in the order of their hashes, with their counts in its training texts."""
     rows = list(frames)
     if not rows:
         return
@@ -482,12 +515,15 @@ def _gather(frames: Iterator[pd.DataFrame], parts: int) -> Iterator[pd.DataFrame
                 taught.update(dict.fromkeys(tokens(text), 0))
             else:
                 taught.update(tokens(text))
-        by_part: dict[int, list[bytes]] = {}
-        for key in taught:
-            by_part.setdefault(zlib.crc32(key) % parts, []).append(key)
+        keys = np.array(list(taught), dtype=object)
+        names = key_hashes(keys)[0]
+        part = part_of(names, parts)
+        order = np.lexsort((names, part))
+        keys, part, n = keys[order], part[order], np.fromiter(taught.values(), np.int64, len(taught))[order]
+        cuts = np.nonzero(np.diff(part, prepend=-1, append=-1))[0]
         yield pd.DataFrame([
-            (p, int(block), b" ".join(keys), np.array([taught[k] for k in keys], np.int64).tobytes())
-            for p, keys in sorted(by_part.items())], columns=["part", "block", "keys", "counts"])
+            (int(part[i]), int(block), b" ".join(keys[i:j]), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])],
+            columns=["part", "block", "keys", "counts"])
 
 
 def _vocabulary(frame: pd.DataFrame) -> pd.DataFrame:
@@ -547,6 +583,8 @@ def fit(vocabulary: DataFrame, tasks: int) -> tuple:
 
     sums = rows.mapInPandas(count, "context int, data binary").groupBy("context").applyInPandas(add, "context int, data binary")
     packed = {r.context: bytes(r.data) for r in sums.collect()}  # six rows of fixed size
+    del sums
+    let_go(vocabulary.sparkSession)
     spark = vocabulary.sparkSession
     sent = spark.sparkContext.broadcast(packed)
     gates = GATES[0] * GATES[1]
@@ -563,6 +601,7 @@ def fit(vocabulary: DataFrame, tasks: int) -> tuple:
 
     weights, seen, total = np.zeros((gates, CONTEXTS)), np.zeros(GATES[0] * STEPS * 2), 0.0
     told = rows.mapInPandas(train, "total double, weights binary, seen binary").collect()  # one short row per task
+    sent.destroy()
     for r in sorted(told, key=lambda r: (r.total, r.weights)):
         weights += r.total * np.frombuffer(r.weights).reshape(gates, CONTEXTS)
         seen += np.frombuffer(r.seen)
@@ -609,51 +648,60 @@ def score_texts(docs: DataFrame, *, id: str = "doc_id", text: str = "text", held
     blocks, parts = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / part_bytes))
     held = remainder(F.col(id), 10) == 0 if held_out is None else held_out
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    taught = rows.where(~F.col("held")).select("id", "text", F.xxhash64("text").alias("th"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
     sent = rows.mapInPandas(lambda f: _gather(f, parts), "part int, block int, keys binary, counts binary")
     gathered = materialize(sent, "gathered")
     by_part = gathered.groupBy("part")
     schema = "keys binary, counts binary, n long, v long, top array<struct<n: long, word: binary>>, sums array<long>"
     vocabulary = materialize(by_part.applyInPandas(_vocabulary, schema), "vocabulary")
+    let_go(spark)
     n, v = (int(x or 0) for x in vocabulary.agg(F.sum("n"), F.sum("v")).first())
     symbols, share, distinct = _symbols(vocabulary, n)
-    taught = rows.where(~F.col("held")).select("id", "text", F.xxhash64("text").alias("th"))
     stream = fit_stream(taught, total, symbols)
     model = fit(vocabulary, math.ceil(parts / 4))
     shared = spark.sparkContext.broadcast((*model, symbols, share, distinct))
     learned = spark.sparkContext.broadcast((symbols, *stream))
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        """Count of each word, and its log10 share of its symbol."""
+        """Count of each word of a block in a part, in the order of hashes, and its log10 share of its symbol."""
         packed, weights, curve, symbols, share, distinct = shared.value
         counters = unpacked(packed)
         keys, c, at = _merge(frame)
-        bit = np.concatenate([word_bits(counters, weights, curve, keys[s:s + CHUNK]) for s in range(0, len(keys), CHUNK)])
-        s = symbols.of(*key_hashes(keys))
+        bit = word_bits(counters, weights, curve, keys)
+        names, kinds = key_hashes(keys)
+        s = symbols.of(names, kinds)
         of, kinds = share[s], distinct[s]
         first = np.log2(np.maximum(np.where(c > 0, c - DISCOUNT, 0) / np.maximum(of, 1), 1e-300))
         known = np.logaddexp2(first, bit + np.log2(np.maximum(DISCOUNT * kinds / np.maximum(of, 1), 1e-300)))
         score = np.where(s < symbols.own, 0, np.where(of > 0, known, bit)) * math.log10(2)
-        return pd.DataFrame([
-            (b, k, c[i].tobytes(), score[i].astype(np.float32).tobytes()) for b, k, i in zip(frame["block"], frame["keys"], at)],
-            columns=["block", "keys", "c", "score"])
+        once = [i[np.diff(names[i], prepend=np.uint64(0)) != 0] for i in at]
+        return pd.DataFrame({
+            "part": frame["part"], "block": frame["block"], "c": [c[i].tobytes() for i in once],
+            "score": [score[i].astype(np.float32).tobytes() for i in once]})
 
-    answers = by_part.applyInPandas(answer, "block int, keys binary, c binary, score binary")
+    # A table of their own, made before the texts are shuffled again: neither words nor texts lie beside them on the disks.
+    answers = materialize(by_part.applyInPandas(answer, "part int, block int, c binary, score binary"), "answers")
+    release(gathered, vocabulary)
+    shared.destroy()
+    let_go(spark)
 
     def judge(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         model = Stream(*learned.value)
-        names = np.concatenate([np.zeros(0, np.uint64), *[key_hashes(keys.split(b" "))[0] for keys in told["keys"]]])
-        order = np.argsort(names)
-        names = names[order]
-        c = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in told["c"]]])[order]
-        score = np.concatenate([np.zeros(0, np.float32), *[np.frombuffer(x, np.float32) for x in told["score"]]]).astype(np.float64)[order]
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        data, out, row = [raw(t) for t in texts["text"]], [], 0
+        data, out, row, first = [raw(t) for t in texts["text"]], [], 0, 0
         ids, helds = texts["id"].tolist(), texts["held"].tolist()
-        for hashes, kinds, doc in streams(data):
+        runs = list(streams(data))
+        names, number = np.unique(np.concatenate([hashes for hashes, _, _ in runs]), return_inverse=True)
+        told, order = told.sort_values("part"), np.argsort(part_of(names, parts), kind="stable")
+        c, score = np.empty(len(names), np.int64), np.empty(len(names))
+        c[order] = np.frombuffer(b"".join(told["c"]), np.int64)
+        score[order] = np.frombuffer(b"".join(told["score"]), np.float32)
+        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
+        for hashes, kinds, doc in runs:
             s = model.symbols.of(hashes, kinds)
             each = model.score(s, word_contexts(s, hashes, kinds, doc)) / math.log(10)
-            at = np.searchsorted(names, hashes)
+            at = number[first:first + len(s)]
+            first += len(s)
             each += score[at]
             edges = np.nonzero(np.diff(doc, prepend=-1, append=-1))[0]
             for i, j in zip(edges[:-1], edges[1:]):
